@@ -21,10 +21,31 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_quality import line_quality
+
+    return line_quality(documents(spark, sf_dir))
+
+
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .private_data import find_private_data
+
+    return find_private_data(documents(spark, sf_dir))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), shingle=4)
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_token_counts": op2_token_counts,
+        "op3_line_quality": op3_line_quality,
+        "op6_private_data": op6_private_data,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
