@@ -33,6 +33,12 @@ def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private_data(documents(spark, sf_dir))
 
 
+def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_duplicates import near_duplicates
 
@@ -45,6 +51,7 @@ def queries() -> dict:
         "op2_token_counts": op2_token_counts,
         "op3_line_quality": op3_line_quality,
         "op6_private_data": op6_private_data,
+        "op8_remove_repeats": op8_remove_repeats,
         "op10_near_duplicates": op10_near_duplicates,
     }
 
