@@ -27,12 +27,28 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(documents(spark, sf_dir))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .nearest import nearest_neighbours
+
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .private_data import find_private_data
 
     return find_private_data(documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import piece_report
+
+    return piece_report(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -50,7 +66,9 @@ def queries() -> dict:
         "op1_mix_sources": op1_mix_sources,
         "op2_token_counts": op2_token_counts,
         "op3_line_quality": op3_line_quality,
+        "op4_nearest_neighbours": op4_nearest_neighbours,
         "op6_private_data": op6_private_data,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_remove_repeats": op8_remove_repeats,
         "op10_near_duplicates": op10_near_duplicates,
     }
