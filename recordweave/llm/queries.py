@@ -35,6 +35,12 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_crf import quality_scores
+
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .private_data import find_private_data
 
@@ -55,6 +61,12 @@ def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op9_format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations
+
+    return format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_duplicates import near_duplicates
 
@@ -67,9 +79,11 @@ def queries() -> dict:
         "op2_token_counts": op2_token_counts,
         "op3_line_quality": op3_line_quality,
         "op4_nearest_neighbours": op4_nearest_neighbours,
+        "op5_line_crf": op5_line_crf,
         "op6_private_data": op6_private_data,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_remove_repeats": op8_remove_repeats,
+        "op9_format_conversations": op9_format_conversations,
         "op10_near_duplicates": op10_near_duplicates,
     }
 
@@ -77,4 +91,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op1_mix_sources": sql.MIX}
+    return {"op1_mix_sources": sql.MIX, "op9_format_conversations": sql.CHAT}

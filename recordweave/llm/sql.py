@@ -31,3 +31,19 @@ placed AS (
 took AS (SELECT doc_id, sum(size)::BIGINT AS n FROM placed WHERE upto <= budget GROUP BY doc_id)
 SELECT q.doc_id, q.size, q.source_size, q.target, COALESCE(t.n, 0)::BIGINT AS taken FROM queued q LEFT JOIN took t USING (doc_id)
 """
+
+CHAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS position,
+         COALESCE(floor(turn / 256.0), -1)::BIGINT AS part
+  FROM t),
+c AS (SELECT conv_id, list(md5(role || chr(0) || text) ORDER BY position) AS said FROM o GROUP BY conv_id),
+p AS (SELECT md5(array_to_string(list_slice(said, 1, n), ',')) AS prefix FROM (SELECT said, unnest(range(1, len(said))) AS n FROM c)),
+w AS (SELECT md5(array_to_string(said, ',')) AS whole, min(conv_id) AS conv_id FROM c GROUP BY 1),
+kept AS (SELECT conv_id FROM w WHERE whole NOT IN (SELECT prefix FROM p))
+SELECT conv_id, part, min(position) AS first_position, count(*) AS n_turns,
+       string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY position) AS rendered
+FROM o JOIN kept USING (conv_id) GROUP BY conv_id, part
+"""
