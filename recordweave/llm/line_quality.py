@@ -105,6 +105,28 @@ def document_lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFr
     return rows.mapInArrow(run, _FIELDS.format(id=kinds[doc_id], host=kinds[host]))
 
 
+def _frequent_lines(measured: DataFrame, max_documents: int) -> DataFrame:
+    """(row, line, words) of every line of a document that is above the limit on the document's host."""
+    host_key = F.coalesce(F.concat(F.lit("h"), F.col("host").cast("string")), F.lit(""))
+    held = measured.select("row", F.xxhash64(host_key).alias("host"), "content", F.explode(F.arrays_zip("lines", "line_words")).alias("line"))
+    held = held.select("row", "host", "content", F.col("line.lines").alias("line"), F.col("line.line_words").alias("words"))
+    counted = held.groupBy("host", "line", "content").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("one").alias("documents"))
+    frequent = counted.where(F.col("documents") > max_documents).select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    salted = held.select("row", "host", "line", "words", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int").alias("salt"))
+    return salted.join(frequent, ["host", "line", "salt"]).select("row", "line", "words")
+
+
+def _measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
+    return cut(document_lines(docs, doc_id, text, host).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _judged(measured: DataFrame, lost: DataFrame, least_left: float) -> DataFrame:
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    out = measured.drop("content", "lines", "line_words").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
+    out = out.withColumn("base_failed", failed).withColumn("share_left", F.when(F.col("n_words") > 0, 1 - F.col("n_removed_words") / F.col("n_words")).otherwise(0.0))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("share_left") >= least_left))
+
+
 def line_quality(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -118,18 +140,51 @@ def line_quality(
     Null or empty text: no words, so the base rules reject it.  A null host is a host of its own.  Repeated rows and
     null ids get a row each.  An empty table gives no rows.  Other columns are not read.
     """
-    measured = cut(document_lines(docs, doc_id, text, host).withColumn("row", F.monotonically_increasing_id()))
-    host_key = F.coalesce(F.concat(F.lit("h"), F.col("host").cast("string")), F.lit(""))
-    held = measured.select("row", F.xxhash64(host_key).alias("host"), "content", F.explode(F.arrays_zip("lines", "line_words")).alias("line"))
-    held = held.select("row", "host", "content", F.col("line.lines").alias("line"), F.col("line.line_words").alias("words"))
+    measured = _measured(docs, doc_id, text, host)
+    lost = _frequent_lines(measured, max_documents).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
+    out = _judged(measured, lost, least_left)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", "share_left")
 
-    counted = held.groupBy("host", "line", "content").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("one").alias("documents"))
-    frequent = counted.where(F.col("documents") > max_documents).select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    salted = held.select("row", "host", "line", "words", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int").alias("salt"))
-    lost = salted.join(frequent, ["host", "line", "salt"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
 
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = measured.drop("content", "lines", "line_words").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
-    out = out.withColumn("base_failed", failed).withColumn("share_left", F.when(F.col("n_words") > 0, 1 - F.col("n_removed_words") / F.col("n_words")).otherwise(0.0))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("share_left") >= least_left))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", "share_left")
+def without_lines(text: str, drop: list[int]) -> str:
+    """The text without the lines whose hash is in ``drop``."""
+    from xxhash import xxh3_64_intdigest
+
+    gone = set(drop)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    return "\n".join(x for x in text.split("\n") if not x.encode().split() or signed(xxh3_64_intdigest(normalised(x.encode()))) not in gone)
+
+
+def clean_documents(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    host: str = "source",
+    max_documents: int = MAX_DOCUMENTS_PER_HOST,
+    least_left: float = LEAST_SHARE_LEFT,
+) -> DataFrame:
+    """``docs`` without the rejected documents, and the others without lines above the limit; all columns stay.
+
+    n_chars, where there is one, follows the text.  Rows are judged by id: rows of one id stay if one of them is kept,
+    and lose the lines that any of them loses.  Rows with a null id go.
+    """
+    measured = _measured(docs, doc_id, text, host)
+    lost = _frequent_lines(measured, max_documents).groupBy("row").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("drop"))
+    kept = _judged(measured, lost, least_left).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("__drop"))
+    joined = docs.join(kept, F.col(doc_id) == F.col("__id"))
+    at, names = docs.columns.index(text), docs.columns
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            drops = batch.column(len(names)).to_pylist()
+            texts = [without_lines(t, d) if t and d else t for t, d in zip(batch.column(at).to_pylist(), drops, strict=True)]
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    out = joined.select(*[docs[c] for c in names], F.col("__drop")).mapInArrow(run, docs.schema)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
+    return out
