@@ -7,8 +7,9 @@
 4. Candidates are verified sequentially: batch after batch of signature values is compared, and a pair is dropped as
    soon as the posterior probability of reaching the threshold is below the chosen miss probability.
 5. Survivors are verified exactly, on full shingle sets.  Links make components.
-6. Buckets that still hold several components get their cross-component pairs compared, in blocks, the same way.
-   What is already connected is never paired again, so a huge group of near copies costs a row for each member.
+6. Buckets that still hold several components get their cross-component pairs compared and verified inside block
+   tasks, likeliest first.  What is already connected is never compared, and a task returns links that join
+   components, at most one less than its members: no group's pairs are ever listed.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ BANDS, BAND_ROWS = 20, 4
 SIGNATURE = 128
 #: Signature values compared at a time, and the posterior probability below which a pair is dropped.
 BATCH, MISS = 16, 1e-6
-#: Members of a block when a bucket's components are compared, and pairs of a hub per verification task.
-BLOCK, HUB_PAIRS = 256, 512
+#: Members and shingles of a block when a bucket's components are compared, and pairs of a hub per verification task.
+BLOCK, BLOCK_SHINGLES, HUB_PAIRS = 1024, 4 << 20, 512
 PERCENT = 80
 
 
@@ -122,7 +123,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
 def _bands(classes: DataFrame) -> DataFrame:
     width = 4 * BAND_ROWS
     keys = [F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(BANDS)]
-    return classes.select("cid", F.explode(F.array(*keys)).alias("bucket"))
+    return classes.select("cid", F.posexplode(F.array(*keys)).alias("band", "bucket"))
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -153,79 +154,9 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different components inside each bucket of ``members`` (bucket, cid, label, n, signature).
-
-    A bucket's members are dealt into blocks; a task gets two blocks at a time.
-    """
-    needed = least_matches(percent)
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    dealt = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "label", "n_shingles", "signature")
-    parts = session_of(members).conf.get("spark.sql.shuffle.partitions")
-    dealt = dealt.repartition(int(parts), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    def compare(rows: list) -> list:
-        import numpy as np
-
-        _, i, j, block, cid, label, n, sig = zip(*rows, strict=True)
-        sig = np.frombuffer(b"".join(sig), np.uint32).reshape(len(rows), SIGNATURE)
-        cid, label, n, block = map(np.asarray, (cid, label, n, block))
-        left = np.flatnonzero(block == i[0])
-        right = np.flatnonzero(block == j[0])
-        out = []
-        for k in left:
-            y = right[cid[right] > cid[k]] if i[0] == j[0] else right
-            y = y[(label[y] != label[k]) & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))]
-            if not len(y):
-                continue
-            matches = np.zeros(len(y), np.int64)
-            for b, least in enumerate(needed):
-                part = slice(b * BATCH, (b + 1) * BATCH)
-                matches = matches + (sig[y, part] == sig[k, part]).sum(1)
-                stays = matches >= least
-                y, matches = y[stays], matches[stays]
-            out += [(min(cid[k], c), max(cid[k], c)) for c in cid[y]]
-        return out
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        def emit(pairs: list):
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-        group: list = []
-        for batch in batches:
-            found: list = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[-1][:3] != row[:3]:
-                    found += compare(group)
-                    group = []
-                group.append(row)
-            yield emit(found)
-        if group:
-            yield emit(compare(group))
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """Links (a, b) among the pairs, confirmed on full sets: 100 x intersection >= percent x union.
-
-    Only the sets of documents in some pair are made.  Pairs are grouped by the member that is in most of them; its set
-    goes once to each task that compares it, and a hub of very many pairs is spread over tasks.
-    """
-    pairs = cut(pairs)
-    often = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("pairs"))
-    of = lambda x: often.select(F.col("cid").alias(x), F.col("pairs").alias(f"p{x}"))
-    turned = pairs.join(of("a"), "a").join(of("b"), "b")
-    swap = F.col("pb") > F.col("pa")
-    turned = turned.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("cid"), F.greatest("pa", "pb").alias("pairs"))
-    turned = cut(turned.withColumn("part", F.pmod(F.xxhash64("cid"), F.ceil(F.col("pairs") / HUB_PAIRS)).cast("int")).drop("pairs"))
-
-    wanted = often.join(classes.select("cid", "doc_id", "key1", "key2"), "cid").select("cid", F.col("doc_id").alias("want"), "key1", "key2")
+def _shingle_sets(wanted: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """(cid, members): the packed shingle sets of the wanted classes (cid, doc_id, key1, key2), made of the texts again."""
+    wanted = wanted.select("cid", F.col("doc_id").alias("want"), "key1", "key2")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("want"))).select("cid", "key1", "key2", "text")
 
     def sets(batches: Iterator) -> Iterator:
@@ -244,10 +175,33 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str
                     packed.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(packed, pa.binary())], ["cid", "members"])
 
-    made = cut(texts.mapInArrow(sets, "cid long, members binary").dropDuplicates(["cid"]))
-    leaves = turned.join(made, "cid").select("hub", "part", "cid", F.lit(1).alias("leaf"), "members")
-    hubs = turned.select("hub", "part").distinct().join(made, F.col("hub") == F.col("cid")).select("hub", "part", "cid", F.lit(0).alias("leaf"), "members")
-    parts = session_of(docs).conf.get("spark.sql.shuffle.partitions")
+    return texts.mapInArrow(sets, "cid long, members binary").dropDuplicates(["cid"])
+
+
+def linked(one, two, percent: int) -> bool:
+    """Whether two sorted arrays of distinct hashes reach the threshold: 100 x intersection >= percent x union."""
+    import numpy as np
+
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among pairs of members with hubs, confirmed on full sets.
+
+    Pairs are grouped by the member that is in most of them; its set goes once to each task that compares it, and a hub
+    of very many pairs is spread over tasks.
+    """
+    pairs = cut(pairs)
+    often = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("pairs"))
+    of = lambda x: often.select(F.col("cid").alias(x), F.col("pairs").alias(f"p{x}"))
+    turned = pairs.join(of("a"), "a").join(of("b"), "b")
+    swap = F.col("pb") > F.col("pa")
+    turned = turned.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("cid"), F.greatest("pa", "pb").alias("pairs"))
+    turned = cut(turned.withColumn("part", F.pmod(F.xxhash64("cid"), F.ceil(F.col("pairs") / HUB_PAIRS)).cast("int")).drop("pairs"))
+    leaves = turned.join(sets, "cid").select("hub", "part", "cid", F.lit(1).alias("leaf"), "members")
+    hubs = turned.select("hub", "part").distinct().join(sets, F.col("hub") == F.col("cid")).select("hub", "part", "cid", F.lit(0).alias("leaf"), "members")
+    parts = session_of(pairs).conf.get("spark.sql.shuffle.partitions")
     dealt = hubs.unionByName(leaves).repartition(int(parts), "hub", "part").sortWithinPartitions("hub", "part", "leaf")
 
     def compare(batches: Iterator) -> Iterator:
@@ -261,9 +215,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str
                 s = np.frombuffer(packed, np.uint64)
                 if not leaf:
                     own = s
-                    continue
-                both = len(np.intersect1d(own, s, assume_unique=True))
-                if 100 * both >= percent * (len(own) + len(s) - both):
+                elif linked(own, s, percent):
                     a.append(hub)
                     b.append(cid)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -271,6 +223,86 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str
     return cut(dealt.mapInArrow(compare, "a long, b long"))
 
 
+def _compare_block(rows: list, needed: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links that join components among a block pair's members (bucket, i, j, block, band, cid, label, n, signature, members)."""
+    import numpy as np
+
+    _, i, j, block, band, cid, label, n, sig, members = zip(*rows, strict=True)
+    sig = np.frombuffer(b"".join(sig), np.uint32).reshape(len(rows), SIGNATURE)
+    cid, label, n, block = map(np.asarray, (cid, label, n, block))
+    left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+    found = []
+    for k in left:
+        y = right[cid[right] > cid[k]] if i[0] == j[0] else right
+        y = y[(label[y] != label[k]) & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))]
+        # a pair that meets in several bands is compared in the first of them
+        earlier = band[0] * BAND_ROWS
+        if earlier and len(y):
+            y = y[~(sig[y, :earlier] == sig[k, :earlier]).reshape(len(y), band[0], BAND_ROWS).all(2).any(1)]
+        matches = np.zeros(len(y), np.int64)
+        for b, least in enumerate(needed):
+            part = slice(b * BATCH, (b + 1) * BATCH)
+            matches = matches + (sig[y, part] == sig[k, part]).sum(1)
+            stays = matches >= least
+            y, matches = y[stays], matches[stays]
+        found.append(np.stack([matches, np.full(len(y), k), y], 1))
+    found = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    out, sets = [], {}
+    for k, y in found[np.argsort(-found[:, 0], kind="stable"), 1:].tolist():
+        a, b = root(int(label[k])), root(int(label[y]))
+        if a == b:
+            continue
+        for x in (k, y):
+            if x not in sets:
+                sets[x] = np.frombuffer(members[x], np.uint64)
+        if linked(sets[k], sets[y], percent):
+            parent[max(a, b)] = min(a, b)
+            out.append((int(cid[k]), int(cid[y])))
+    return out
+
+
+def _cross_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside each bucket of ``members`` (bucket, band, cid, label, n_shingles, signature, members).
+
+    A bucket's members are dealt into blocks of bounded size; a task gets two blocks at a time.
+    """
+    needed = least_matches(percent)
+    sizes = members.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "cid", "label", "n_shingles", "signature", "members")
+    parts = session_of(members).conf.get("spark.sql.shuffle.partitions")
+    dealt = dealt.repartition(int(parts), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def emit(pairs: list):
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+        group: list = []
+        for batch in batches:
+            found: list = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[-1][:3] != row[:3]:
+                    found += _compare_block(group, needed, percent)
+                    group = []
+                group.append(row)
+            yield emit(found)
+        if group:
+            yield emit(_compare_block(group, needed, percent))
+
+    return cut(dealt.mapInArrow(run, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``.
 
@@ -290,14 +322,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     degree = shared.groupBy("cid").agg(F.sum("size").alias("degree"))
     hubs = shared.join(degree, "cid").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("cid")).alias("order"))).alias("top")).select("bucket", (-F.col("top.order")).alias("hub"))
     star = shared.join(hubs, "bucket").where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-    links = _verified(_plausible(star, classes, percent), classes, docs, doc_id, text, shingle, percent)
+    met = shared.select("cid").distinct().join(classes.select("cid", "doc_id", "key1", "key2"), "cid")
+    sets = cut(_shingle_sets(met, docs, doc_id, text, shingle))
+    links = _star_links(_plausible(star, classes, percent), sets, percent)
 
     labels = connected_components(links)
-    labelled = shared.select("bucket", "cid").join(labels, F.col("cid") == F.col("node"), "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
+    labelled = shared.select("bucket", "band", "cid").join(labels, F.col("cid") == F.col("node"), "left").select("bucket", "band", "cid", F.coalesce("label", "cid").alias("label"))
+    labelled = cut(labelled)
     open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
-    members = labelled.join(open_buckets, "bucket").join(classes.select("cid", "n_shingles", "signature"), "cid").select("bucket", "cid", "label", "n_shingles", "signature")
-    crossing = _cross_pairs(cut(members), percent).join(star, ["a", "b"], "left_anti")
-    more = _verified(crossing, classes, docs, doc_id, text, shingle, percent)
+    members = labelled.join(open_buckets, "bucket").join(classes.select("cid", "n_shingles", "signature"), "cid").join(sets, "cid")
+    more = _cross_links(members.select("bucket", "band", "cid", "label", "n_shingles", "signature", "members"), percent)
 
     labels = connected_components(links.unionByName(more))
     named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("key1", "key2", "doc_id", F.coalesce("label", "cid").alias("label"))
