@@ -63,7 +63,7 @@ def mix_sources(
     Other columns are not read.  Reruns agree: the order depends on ids alone, ties are between alike rows.
     """
     sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _order_key(doc_id).alias("h")))
-    targets = cut(source_targets(sized, weights, repeats).withColumn("share", F.col("target") / F.col("budget")))
+    targets = cut(source_targets(sized, weights, repeats).withColumn("share", F.coalesce(F.try_divide("target", "budget"), F.lit(0.0))))
     sized = sized.withColumn("range", (F.col("h") / F.lit(float(1 << 60) / RANGES)).cast("int"))
 
     # Running words of each source: sums of earlier ranges plus a window inside the range.
@@ -76,7 +76,7 @@ def mix_sources(
     queued = queued.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
     # A repeat finishes a whole source later; only repeats that can finish within the budget are made.
-    passes = F.when((F.col("size") > 0) & (F.col("share") > 0), F.least(F.lit(repeats), F.ceil(F.col("target") / F.col("source_size")).cast("int"))).otherwise(0)
+    passes = F.when((F.col("size") > 0) & (F.col("share") > 0), F.least(F.lit(repeats), F.ceil(F.try_divide("target", "source_size")).cast("int"))).otherwise(0)
     queued = cut(queued.select("doc_id", "source", "size", "h", "source_size", "target", "budget", "share", "words", passes.alias("passes")))
     copies = _copies(queued)
 
@@ -97,11 +97,11 @@ def mix_sources(
 
 
 def _finish(copy):
-    return (F.col("words") + copy * F.col("source_size")) / F.col("share")
+    return F.try_divide(F.col("words") + copy * F.col("source_size"), F.col("share"))
 
 
 def _slot(copy):
-    return F.least(F.floor(_finish(copy) / F.col("budget") * RANGES), F.lit(2 * RANGES)).cast("int")
+    return F.least(F.floor(F.try_divide(_finish(copy), F.col("budget")) * RANGES), F.lit(2 * RANGES)).cast("int")
 
 
 def _place(copy):

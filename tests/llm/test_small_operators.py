@@ -1,0 +1,193 @@
+"""Mixing, token counts, quality rules, classifier, SentencePiece and chat on small tables."""
+
+import random
+import zlib
+
+import public_tokenizers
+import pytest
+
+from recordweave.llm.chat import format_conversations
+from recordweave.llm.line_crf import quality_scores
+from recordweave.llm.line_quality import clean_documents, line_quality, repeat_words
+from recordweave.llm.mixing import mix_sources
+from recordweave.llm.pieces import PROBES, decode, encode, piece_report, read_model, rebuild, verify_parity
+from recordweave.llm.token_counts import token_counts
+
+ODD = [(1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (3, " \n\t ", None), (None, "x y", "b"), (4, "word " * 30_000, "b"), (5, "naïve <|endoftext|> 日本 😀\x1c\x85", "c")]
+BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def targets(sizes, weights=(5, 2, 1), most=3):
+    """Water filling by repetition."""
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    left, full, budget = set(names), {}, sum(sizes.values())
+    while True:
+        rest = budget - sum(full.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in left) for s in left}
+        over = {s for s in left if share[s] > most * sizes[s]}
+        if not over:
+            return full | share
+        full |= {s: most * sizes[s] for s in over}
+        left -= over
+        if not left:
+            return full
+
+
+def test_mix_targets_and_takes(spark, documents):
+    draw = random.Random(4)
+    rows = [(i, "w " * draw.randint(1, 40), draw.choice(["a", "b", "c", "d", None] + ["a"] * 6)) for i in range(1500)]
+    found = mix_sources(documents(rows)).toPandas()
+    again = mix_sources(documents(rows).repartition(3)).toPandas()
+    assert found.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
+    source = {i: s for i, _, s in rows}
+    sizes, takes = {}, {}
+    for r in found.itertuples():
+        sizes[source[r.doc_id]] = sizes.get(source[r.doc_id], 0) + r.size
+        takes[source[r.doc_id]] = takes.get(source[r.doc_id], 0) + r.taken
+        assert r.taken <= 3 * r.size and r.taken % r.size == 0
+    wanted = targets(sizes)
+    for r in found.itertuples():
+        assert abs(r.target - wanted[source[r.doc_id]]) < 1e-6 * r.target and r.source_size == sizes[source[r.doc_id]]
+    for s, t in wanted.items():
+        assert abs(takes[s] - t) <= 45 + 0.01 * t
+    assert sum(takes.values()) <= sum(sizes.values())
+
+
+def test_mix_odd_rows(documents):
+    found = mix_sources(documents(ODD)).toPandas()
+    assert len(found) == len(ODD) and found[found["size"] == 0].taken.sum() == 0
+    assert mix_sources(documents([])).count() == 0
+    assert mix_sources(documents([(1, None, None), (2, "", "a")])).toPandas().taken.tolist() == [0, 0]
+
+
+def test_token_counts_agree_with_the_library(documents):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    draw = random.Random(1)
+    parts = [" the", "it's", " 12", "\n\n", "  ", "é", "ß", "<|endoftext|>", " …", "\t", "�", "日", "x1", "'LL", "'ll", " qzx"]
+    rows = ODD + [(100 + i, "".join(draw.choice(parts) for _ in range(draw.randint(0, 60))), "r") for i in range(150)]
+    found = token_counts(documents(rows), BPE).collect()
+    wanted = sorted((i is None, i or 0, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens) for r in found) == wanted
+    assert all(r.over_limit == (r.n_tokens > 512) for r in found)
+    assert token_counts(documents([]), BPE).count() == 0
+
+
+def test_repeat_words_against_brute_force():
+    draw = random.Random(3)
+    for _ in range(200):
+        words = [draw.choice(b"abcd"[: draw.randint(1, 4)]) for _ in range(draw.randint(0, 30))]
+        seen, cover = {}, set()
+        for i in range(len(words) - 2):
+            seen.setdefault(tuple(words[i : i + 3]), []).append(i)
+        for places in seen.values():
+            if len(places) > 1:
+                cover |= {i + k for i in places for k in range(3)}
+        assert repeat_words(words) == len(cover)
+
+
+def prose(draw, n):
+    return " ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randint(3, 8))) for _ in range(n))
+
+
+def test_frequent_lines_and_depleted_documents(documents):
+    draw = random.Random(5)
+    menu = prose(draw, 40)
+    rows = [(i, f"{menu}\n{prose(draw, 60)}", "h") for i in range(30)]  # a shared line, most of the text is their own
+    rows += [(100 + i, f"{menu}\n{prose(draw, 12)}", "h") for i in range(5)]  # little but the shared line
+    rows += [(200 + i, f"{menu}\n{prose(draw, 12)}", "quiet") for i in range(5)]  # too few on their host
+    rows += [(300 + i, prose(draw, 1).join(["\n"] * 2) + "same text " + " ".join(map(str, range(60))), "copies") for i in range(1)] * 40  # copies count once
+    found = {r.doc_id: r for r in line_quality(documents(rows)).collect()}
+    assert all(found[i].kept and found[i].n_removed_words == 40 for i in range(30))
+    assert all(not found[100 + i].kept and not found[100 + i].base_failed for i in range(5))
+    assert all(found[200 + i].kept and found[200 + i].n_removed_words == 0 for i in range(5)) and found[300].kept
+    cleaned = {r.doc_id: r for r in clean_documents(documents(rows)).collect()}
+    assert menu not in cleaned[3].text and cleaned[3].n_chars == len(cleaned[3].text) and 101 not in cleaned and menu in cleaned[201].text
+    assert cleaned[3].h == 7
+
+
+def test_line_quality_odd_rows(documents):
+    found = line_quality(documents(ODD)).collect()
+    assert len(found) == len(ODD) and all(r.base_failed and not r.kept for r in found if r.n_words < 50)
+    assert line_quality(documents([])).count() == 0 and clean_documents(documents([])).count() == 0
+
+
+def labelled(n):
+    draw = random.Random(6)
+    rows, labels = [], []
+    for i in range(n):
+        bad = i % 3 == 0
+        lines = [(" ".join(w.upper() + "!!" for w in prose(draw, 12).split()) if bad else prose(draw, 12).capitalize() + ".") for _ in range(draw.randint(1, 6))]
+        rows.append((i, "\n".join(lines), "s"))
+        labels.append((i, int(not bad), 0))
+    return rows, labels
+
+
+def test_classifier_on_held_out_documents(spark, documents):
+    rows, labels = labelled(300)
+    found = quality_scores(documents(rows + [(None, "x", "s"), (900, None, "s"), (901, "", "s")]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    right = {i: q for i, q, _ in labels}
+    held = [r for r in found if r.held_out and r.doc_id in right]
+    assert len(found) == 303 and len(held) > 30 and sum(r.predicted == right[r.doc_id] for r in held) / len(held) > 0.95
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found if r.doc_id is not None)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found)
+
+
+def test_classifier_without_labels_or_documents(spark, documents):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r.score for r in quality_scores(documents([(1, "a", "s")]), none).collect()] == [0.5]
+    assert quality_scores(documents([]), none).count() == 0
+
+
+def test_pieces_agree_with_sentencepiece(documents):
+    import sentencepiece
+
+    with open(PIECES, "rb") as f:
+        data = f.read()
+    model = read_model(data)
+    verify_parity(rebuild(model), data)
+    library = sentencepiece.SentencePieceProcessor(model_proto=data)
+    draw = random.Random(2)
+    parts = ["a", " ", "  ", "ing", "é", "😀", "\n", "▁", "Th", "the ", "\x00", "1"]
+    rows = ODD + [(100 + i, "".join(draw.choice(parts) for _ in range(draw.randint(0, 40))), "r") for i in range(200)] + [(500 + i, p, "p") for i, p in enumerate(PROBES)]
+    encoded = decode(encode(documents(rows), PIECES), PIECES).collect()
+    assert len(encoded) == len(rows)
+    for r in encoded:
+        assert (r.ids is None and r.decoded is None) if r.text is None else (r.ids == library.encode(r.text) and r.decoded == library.decode(r.ids))
+    for r in piece_report(documents(rows), PIECES).collect():
+        assert r.round_trip or r.n_tokens
+    assert piece_report(documents([]), PIECES).count() == 0
+
+
+def test_unigram_models_are_rebuilt_too():
+    from recordweave.llm.pieces import UNIGRAM, Model
+
+    pieces = (("<unk>", 0.0, 2), ("▁", -3.0, 1), ("a", -2.0, 1), ("ab", -1.0, 1), ("b", -2.5, 1), ("▁a", -1.5, 1))
+    tokenizer = rebuild(Model(pieces, UNIGRAM, False, 0, b"", True, False, True))
+    assert tokenizer.encode("ab", add_special_tokens=False).tokens == ["▁", "ab"] or tokenizer.encode("ab", add_special_tokens=False).tokens == ["▁a", "b"]
+
+
+def test_snapshots_collapse(spark):
+    rows = []
+    talk = [("user", "hi"), ("assistant", "hello"), ("user", "bye"), ("assistant", None)]
+    for conv, n in ((1, 4), (2, 2), (3, 3), (4, 4)):  # 4 equals 1; 2 and 3 are snapshots
+        rows += [(conv, t, r, x, "extra") for t, (r, x) in enumerate(talk[:n])]
+    rows += [(5, 0, "user", "hi", "e"), (5, 1, "assistant", "other", "e"), (6, 0, "user", "hi", "e"), (None, 0, "user", "q", "e"), (7, None, "user", "z", "e"), (7, None, "user", "z", "e")]
+    rows += [(8, t, "user", f"m{t}", "e") for t in range(600)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n string")
+    found = {(r.conv_id, r.part): r for r in format_conversations(df).collect()}
+    assert {c for c, _ in found} == {1, 5, 7, 8} and [found[8, p].n_turns for p in range(3)] == [256, 256, 88]
+    assert found[1, 0].rendered.startswith("<|user|>\nhi\n<|end|>\n<|assistant|>\nhello\n") and found[7, -1].n_turns == 2
+    assert format_conversations(df.limit(0)).count() == 0
+
+
+
+@pytest.mark.parametrize("text", [None, "", "a b"])
+def test_word_count(spark, text):
+    from pyspark.sql import functions as F
+
+    from recordweave.llm.common import word_count
+
+    assert spark.createDataFrame([(text,)], "t string").select(word_count(F.col("t"))).first()[0] == len((text or "").split())
