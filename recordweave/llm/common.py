@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Functions that run on executors travel by value: executors need no copy of this library.
-cloudpickle.register_pickle_by_value(sys.modules["recordweave"])
-
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch: text batches stay small, whatever a row holds.
