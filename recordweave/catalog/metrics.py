@@ -94,14 +94,14 @@ SELECT grp, round(CASE WHEN isinf(x.le) THEN x.low ELSE x.low + (x.le - x.low) *
 def _quantile(name: str, q: float, by: str, label):
     @register(name, _Q.format(q=q, by=by))
     def run(spark, sf_dir):
-        rows = events(spark, sf_dir).select(label.alias("grp"), F.create_map(F.lit("v"), F.col("value").cast("string"), F.lit("g"), label.cast("string")).alias("fields"))
+        rows = events(spark, sf_dir).select(label().alias("grp"), F.create_map(F.lit("v"), F.col("value").cast("string"), F.lit("g"), label().cast("string")).alias("fields"))
         h = M.histogram(rows, M.MetricRule("h", "histogram", "v", label_fields={"grp": "g"}, buckets=_BOUNDS))
         return M.histogram_quantile(h, q, ("grp",)).select("grp", F.round("quantile", 6).alias("quantile"))
 
 
-_quantile("hist_quantile_p50", 0.5, "event_type", F.col("event_type"))
-_quantile("hist_quantile_p95", 0.95, "event_type", F.col("event_type"))
-_quantile("hist_quantile_by_le", 0.99, "'all'", F.lit("all"))
+_quantile("hist_quantile_p50", 0.5, "event_type", lambda: F.col("event_type"))
+_quantile("hist_quantile_p95", 0.95, "event_type", lambda: F.col("event_type"))
+_quantile("hist_quantile_by_le", 0.99, "'all'", lambda: F.lit("all"))
 
 
 @register(
