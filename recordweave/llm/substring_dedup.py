@@ -52,7 +52,7 @@ def _phrases(rows: DataFrame, buckets: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        parser, names = Parser(), ["bucket", "local", "triggers", "phrases", "docs"]
+        parser, names = Parser(), ["bucket", "local", "triggers", "phrases", "places", "docs"]
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), text_bytes(batch.column(1))
             parts = []
@@ -69,7 +69,7 @@ def _phrases(rows: DataFrame, buckets: int) -> DataFrame:
             fresh = np.append(True, (phrase[1:] != phrase[:-1]) | (trigger[1:] != trigger[:-1]))
             first = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
             later = (doc > first) & np.append(True, fresh[1:] | (doc[1:] != doc[:-1]))
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for local, chosen in ((False, fresh), (True, later)):
                 t, p, d = trigger[chosen], phrase[chosen], doc[chosen]
                 # verdicts need no meeting: they are dealt by document, evenly
@@ -78,12 +78,15 @@ def _phrases(rows: DataFrame, buckets: int) -> DataFrame:
                 t, p, d, b = t[by], p[by], d[by], b[by]
                 edges = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b)) if len(b) else []
                 for x, y in zip(edges[:-1], edges[1:], strict=True):
-                    for column, value in zip(out, (int(b[x]), local, b"" if local else t[x:y].tobytes(), p[x:y].tobytes(), d[x:y].tobytes()), strict=True):
+                    # 14 bytes a record: 32 bits of the trigger (in its bucket), the phrase, a place in the row's own documents
+                    own, place = np.unique(d[x:y], return_inverse=True)
+                    low = b"" if local else (t[x:y] >> np.uint64(32)).astype(np.uint32).tobytes()
+                    for column, value in zip(out, (int(b[x]), local, low, p[x:y].tobytes(), place.astype(np.uint16).tobytes(), own.tobytes()), strict=True):
                         column.append(value)
-            kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    return rows.mapInArrow(run, "bucket int, local boolean, triggers binary, phrases binary, docs binary")
+    return rows.mapInArrow(run, "bucket int, local boolean, triggers binary, phrases binary, places binary, docs binary")
 
 
 def _grouped(doc, *values):
@@ -98,19 +101,26 @@ def _grouped(doc, *values):
     return [pa.array(doc[edges[:-1]].astype(np.int64)), *lists]
 
 
-def _decide(packed: DataFrame) -> DataFrame:
-    """Verdicts by document: phrases that an earlier document holds, and dictionary phrases that must be compared."""
+def _decide(packed: DataFrame, parts: int) -> DataFrame:
+    """Verdicts, packed for parts of the documents: phrases that an earlier document holds, and dictionary phrases that
+    must be compared."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        read = lambda local, name, kind: np.frombuffer(b"".join(x for x, y in zip(table.column(name).to_pylist(), local_rows, strict=True) if y == local), kind)
-        local_rows = table.column("local").to_pylist()
-        done_phrase, done_doc = read(True, "phrases", np.uint64), read(True, "docs", np.int64)
-        trigger, phrase, doc = read(False, "triggers", np.uint64), read(False, "phrases", np.uint64), read(False, "docs", np.int64)
-        names, none = ["doc_id", "repeats", "compared"], np.empty(0, np.uint64)
-        parts = []
+        done_phrase, done_doc, trigger, phrase, doc = ([np.empty(0, k)] for k in (np.uint64, np.int64, np.uint32, np.uint64, np.int64))
+        for local, t, p, place, own in zip(*(table.column(c).to_pylist() for c in ("local", "triggers", "phrases", "places", "docs")), strict=True):
+            d = np.frombuffer(own, np.int64)[np.frombuffer(place, np.uint16)]
+            if local:
+                done_phrase.append(np.frombuffer(p, np.uint64))
+                done_doc.append(d)
+            else:
+                trigger.append(np.frombuffer(t, np.uint32))
+                phrase.append(np.frombuffer(p, np.uint64))
+                doc.append(d)
+        done_phrase, done_doc, trigger, phrase, doc = map(np.concatenate, (done_phrase, done_doc, trigger, phrase, doc))
+        found = []
         if len(doc):
             order = np.lexsort((doc, phrase, trigger))
             trigger, phrase, doc = trigger[order], phrase[order], doc[order]
@@ -123,20 +133,42 @@ def _decide(packed: DataFrame) -> DataFrame:
             edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             least, most = np.minimum.reduceat(doc[entry], edges), np.maximum.reduceat(doc[entry], edges)
             contested = entry[(least < most)[group]]
-            parts.append((doc[contested], phrase[contested], True))
-        parts.append((done_doc, done_phrase, False))
-        doc = np.concatenate([p[0] for p in parts])
-        both = np.concatenate([p[1] for p in parts])
-        flags = np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
-        found = []
+            found.append((doc[contested], phrase[contested], True))
+        found.append((done_doc, done_phrase, False))
+        doc = np.concatenate([f[0] for f in found])
+        phrase = np.concatenate([f[1] for f in found])
+        compared = np.concatenate([np.full(len(f[0]), f[2]) for f in found])
+        part = (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(parts)
+        by = np.argsort(part, kind="stable")
+        doc, phrase, compared, part = doc[by], phrase[by], compared[by], part[by]
+        edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+        cut_up = lambda x: [x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        columns = [pa.array(part[edges[:-1]].astype(np.int32)), *(pa.array(cut_up(x), pa.binary()) for x in (doc, phrase, compared))]
+        return pa.table(columns, names=["part", "docs", "phrases", "compared"])
+
+    return packed.groupBy("bucket").applyInArrow(run, "part int, docs binary, phrases binary, compared binary")
+
+
+def _by_document(verdicts: DataFrame) -> DataFrame:
+    """(id, repeats, compared): one row for each document that has verdicts."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        doc, phrase, compared = read("docs", np.int64), read("phrases", np.uint64), read("compared", np.bool_)
+        order = np.lexsort((compared, doc))
+        doc, phrase, compared = doc[order], phrase[order].view(np.int64), compared[order]
+        edges = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
+        # the lists' offsets count the values of either kind before each document
+        lists = []
         for wanted in (False, True):
-            d, lists = _grouped(doc[flags == wanted], both[flags == wanted])
-            empty = pa.array([[]] * len(d), pa.list_(pa.int64())) if len(d) else pa.array([], pa.list_(pa.int64()))
-            found.append(pa.table([d, *((empty, lists) if wanted else (lists, empty))], names=names))
-        del none
-        return pa.concat_tables(found)
+            mine = compared == wanted
+            lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(mine))[edges].astype(np.int32)), pa.array(phrase[mine])))
+        return pa.table([pa.array(doc[edges[:-1]]), *lists], names=["id", "repeats", "compared"])
 
-    return packed.groupBy("bucket").applyInArrow(run, "doc_id long, repeats array<long>, compared array<long>")
+    return verdicts.groupBy("part").applyInArrow(run, "id long, repeats array<long>, compared array<long>")
 
 
 def _pieces(joined: DataFrame, buckets: int) -> DataFrame:
@@ -250,12 +282,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = max(1, -(-total // BUCKET_BYTES))
     numbered = rows.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
 
-    verdicts = cut(_decide(_phrases(numbered, buckets)))
-    merged = lambda df, *names: df.groupBy("doc_id").agg(*[F.flatten(F.collect_list(n)).alias(n) for n in names])
-    replies = merged(verdicts, "repeats", "compared").withColumnRenamed("doc_id", "id")
+    replies = _by_document(cut(_decide(_phrases(numbered, buckets), buckets)))
 
-    joined = rows.join(replies, F.col("doc_id").cast("long") == F.col("id"), "left")
-    dictionary = _pieces(joined.where(F.size("compared") > 0).select(F.col("id"), "text", "compared"), buckets)
-    windows = merged(_sorted_windows(dictionary), "phrases", "masks").withColumnRenamed("doc_id", "id2")
-    final = joined.join(windows, F.col("id") == F.col("id2"), "left")
-    return _removed(final.select("doc_id", "text", "repeats", "phrases", "masks"), kind)
+    # Both joins below shuffle the same texts the same way, so Spark shuffles them once.
+    joined = numbered.join(replies, F.col("doc_id") == F.col("id"), "left")
+    dictionary = _pieces(joined.where(F.size("compared") > 0).select("id", "text", "compared"), buckets)
+    windows = _sorted_windows(dictionary).groupBy(F.col("doc_id").alias("id2")).agg(*[F.flatten(F.collect_list(n)).alias(n) for n in ("phrases", "masks")])
+    final = joined.join(windows, F.col("id") == F.col("id2"), "left").select("doc_id", "text", "repeats", "phrases", "masks")
+    nameless = rows.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", *[F.lit(None).cast("array<long>").alias(c) for c in ("repeats", "phrases", "masks")])
+    out = _removed(final, "long").unionByName(_removed(nameless, "long"))
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
