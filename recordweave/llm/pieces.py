@@ -255,22 +255,37 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "deco
 def piece_report(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_bytes, n_tokens, n_byte_tokens, ids_sha256, round_trip): encodes every text and decodes it again.
 
-    n_byte_tokens counts pieces of the byte fallback.  ids_sha256 is the hash of the ids, comma-joined.  round_trip
-    tells whether decoding gives the text back (it can't where the text holds the marker itself).  Null text counts as
-    empty.  One row for each row of ``docs``, repeated ones too; an empty table gives none.
+    n_byte_tokens counts pieces of the byte fallback.  ids_sha256 is the hash of the ids as little-endian 32-bit
+    integers.  round_trip tells whether decoding gives the text back (it can't where the text holds the marker itself).
+    Null text counts as empty.  One row for each row of ``docs``, repeated ones too; an empty table gives none.
     """
-    with open(model_path, "rb") as f:
-        model = read_model(f.read())
+    spark = session_of(docs)
+    small_batches(spark)
+    model, tokenizer = _load(model_path)
     low = [i for i, (_, _, kind) in enumerate(model.pieces) if kind == BYTE]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    both = decode(encode(rows, model_path), model_path)
-    first, last = (min(low), max(low)) if low else (-1, -1)
-    fallback = F.size(F.filter("ids", lambda x: x.between(first, last))) if low else F.lit(0)
-    return both.select(
-        "doc_id",
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        F.size("ids").cast("long").alias("n_tokens"),
-        fallback.cast("long").alias("n_byte_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        (F.col("decoded") == F.col("text")).alias("round_trip"),
-    )
+    first, last = (min(low), max(low)) if low else (-1, -2)
+    shared = spark.sparkContext.broadcast(tokenizer.to_str())
+
+    def run(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        encoder = Encoder(shared.value)
+        names = ["doc_id", "n_bytes", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        for batch in batches:
+            texts, out = [t or "" for t in batch.column(1).to_pylist()], []
+            for i in range(0, len(texts), CALL):
+                part = texts[i : i + CALL]
+                for t, packed in zip(part, encoder.encode(part), strict=True):
+                    ids = np.frombuffer(packed, np.int32)
+                    fallback = int(((ids >= first) & (ids <= last)).sum())
+                    out.append((len(t.encode()), len(ids), fallback, hashlib.sha256(packed).hexdigest(), encoder.decode(ids.tolist()) == t))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds)], names)
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = dict(docs.dtypes)[doc_id]
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean")
