@@ -252,7 +252,13 @@ _multiline("multiline_maxlines", MultilineSpec("^START", max_lines=3, timeout_se
 _multiline("multiline_timeout", MultilineSpec("^START", timeout_seconds=20_000.0))
 
 
-@register("multiline_parsed", None)
+@register(
+    "multiline_parsed",
+    f"""WITH l AS (SELECT * FROM ({duck_lines(_STACK)}) WHERE line <> ''),
+g AS (SELECT *, sum(CASE WHEN line LIKE 'START%' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS grp FROM l),
+c AS (SELECT *, (row_number() OVER (PARTITION BY source, grp ORDER BY event_id) - 1) // 500 AS chunk FROM g)
+SELECT source, min(event_id) AS seq, nullif(regexp_extract(arg_min(line, event_id), '^\\w+ (\\d+)', 1), '') AS id, count(*)::INT AS n_lines FROM c GROUP BY source, grp, chunk""",
+)
 def multiline_parsed(spark, sf_dir):
     records = assemble(lines(spark, sf_dir, _STACK), MultilineSpec("^START", timeout_seconds=1e9), order="event_id")
     spec = ParserSpec("regex", pattern=r"^(?P<kind>\w+) (?P<id>\d+)")
