@@ -192,7 +192,6 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Pairs are grouped by the member that is in most of them; its set goes once to each task that compares it, and a hub
     of very many pairs is spread over tasks.
     """
-    pairs = cut(pairs)
     often = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("pairs"))
     of = lambda x: often.select(F.col("cid").alias(x), F.col("pairs").alias(f"p{x}"))
     turned = pairs.join(of("a"), "a").join(of("b"), "b")
@@ -269,16 +268,18 @@ def _compare_block(rows: list, needed: list[int], percent: int) -> list[tuple[in
     return out
 
 
-def _cross_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links between components inside each bucket of ``members`` (bucket, band, cid, label, n_shingles, signature, members).
+def _cross_links(members: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside each bucket of ``members`` (bucket, band, cid, label, n_shingles, blocks), with
+    the signatures and sets of ``payload`` (cid, signature, members).
 
-    A bucket's members are dealt into blocks of bounded size; a task gets two blocks at a time.
+    A bucket's members are dealt into blocks of bounded size; a task gets two blocks at a time.  Signatures and sets
+    join the dealt rows last, so they are shuffled once.
     """
     needed = least_matches(percent)
-    sizes = members.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "cid", "label", "n_shingles", "signature", "members")
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "cid", "label", "n_shingles")
+    dealt = dealt.join(payload, "cid").select("bucket", "i", "j", "block", "band", "cid", "label", "n_shingles", "signature", "members")
     parts = session_of(members).conf.get("spark.sql.shuffle.partitions")
     dealt = dealt.repartition(int(parts), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
@@ -322,16 +323,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     degree = shared.groupBy("cid").agg(F.sum("size").alias("degree"))
     hubs = shared.join(degree, "cid").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("cid")).alias("order"))).alias("top")).select("bucket", (-F.col("top.order")).alias("hub"))
     star = shared.join(hubs, "bucket").where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-    met = shared.select("cid").distinct().join(classes.select("cid", "doc_id", "key1", "key2"), "cid")
-    sets = cut(_shingle_sets(met, docs, doc_id, text, shingle))
-    links = _star_links(_plausible(star, classes, percent), sets, percent)
+    pairs = cut(_plausible(star, classes, percent))
+    # Sets are made for documents of plausible pairs, and for those that meet others beside a hub.
+    met = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(shared.where("size > 2").select("cid")).distinct()
+    sets = cut(_shingle_sets(met.join(classes.select("cid", "doc_id", "key1", "key2"), "cid"), docs, doc_id, text, shingle))
+    links = _star_links(pairs, sets, percent)
 
+    # Each bucket's pairs with its hub are settled; what is left are members beside the hub, in different components.
     labels = connected_components(links)
-    labelled = shared.select("bucket", "band", "cid").join(labels, F.col("cid") == F.col("node"), "left").select("bucket", "band", "cid", F.coalesce("label", "cid").alias("label"))
-    labelled = cut(labelled)
-    open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
-    members = labelled.join(open_buckets, "bucket").join(classes.select("cid", "n_shingles", "signature"), "cid").join(sets, "cid")
-    more = _cross_links(members.select("bucket", "band", "cid", "label", "n_shingles", "signature", "members"), percent)
+    rest = shared.select("bucket", "band", "cid").join(hubs, "bucket").where("cid <> hub").drop("hub")
+    rest = rest.join(labels, F.col("cid") == F.col("node"), "left").select("bucket", "band", "cid", F.coalesce("label", "cid").alias("label"))
+    rest = cut(rest.join(classes.select("cid", "n_shingles"), "cid"))
+    still_open = rest.groupBy("bucket").agg(
+        F.min("label").alias("least"), F.max("label").alias("most"),
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+    ).where("least <> most").select("bucket", "blocks")
+    more = _cross_links(rest.join(still_open, "bucket"), classes.select("cid", "signature").join(sets, "cid"), percent)
 
     labels = connected_components(links.unionByName(more))
     named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("key1", "key2", "doc_id", F.coalesce("label", "cid").alias("label"))
