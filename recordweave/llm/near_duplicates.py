@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = full.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
 
-    bands = cut(_bands(classes))
+    bands = _bands(classes)  # cheaper to make twice than to store: twenty rows a class
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = cut(bands.join(buckets, "bucket"))
     degree = shared.groupBy("cid").agg(F.sum("size").alias("degree"))
