@@ -108,6 +108,33 @@ def test_frequent_lines_and_depleted_documents(documents):
     assert cleaned[3].h == 7
 
 
+def test_near_copies_do_not_condemn_their_lines(documents):
+    draw = random.Random(15)
+    lines = [prose(draw, 12) for _ in range(10)]
+    rows = []
+    for i in range(120):  # each has one word of one line changed
+        at = draw.randrange(10)
+        words = lines[at].split()
+        words[draw.randrange(12)] = f"edit{i}"
+        rows.append((i, "\n".join([*lines[:at], " ".join(words), *lines[at + 1 :]]), "s"))
+    menu = prose(draw, 40)
+    rows += [(500 + i, f"{menu}\n{prose(draw, 60)}", "s") for i in range(60)]  # a line of independent documents
+    found = {r.doc_id: r for r in line_quality(documents(rows)).collect()}
+    assert all(found[i].kept and found[i].n_removed_words == 0 for i in range(120))
+    assert all(found[500 + i].kept and found[500 + i].n_removed_words == 40 for i in range(60))
+    cleaned = {r.doc_id: r.text for r in clean_documents(documents(rows)).collect()}
+    assert all(cleaned[i] == t for i, t, _ in rows[:120]) and not any(menu in t for t in cleaned.values())
+
+
+def test_line_limit_follows_the_host(documents):
+    draw = random.Random(16)
+    menu = prose(draw, 9)
+    rows = [(i, f"{menu}\n{prose(draw, 60)}", "s") for i in range(30)]
+    small = line_quality(documents(rows)).where("n_removed_words > 0").count()
+    large = line_quality(documents(rows + [(100 + i, f"own line {i}", "s") for i in range(40_000)])).where("n_removed_words > 0").count()
+    assert (small, large) == (30, 0)
+
+
 def test_line_quality_odd_rows(documents):
     found = line_quality(documents(ODD)).collect()
     assert len(found) == len(ODD) and all(r.base_failed and not r.kept for r in found if r.n_words < 50)
