@@ -204,11 +204,13 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """``docs`` with every span replaced by its kind in angle brackets; all columns stay, n_chars follows the text.
 
     The spans of all kinds are united first (overlapping ones become one, named by the first), so nothing of an
-    identifier is left behind.  Documents are told apart by id; rows of one id must hold the same text.
+    identifier is left behind.  Ids may be null or repeated: a row's spans follow from its text, whose hash joins them.
     """
-    rows, spans = private_spans(docs, doc_id, text)
-    flat = spans.join(rows, "row").dropDuplicates(["doc_id"]).select("doc_id", "spans")
-    found = flat.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    keyed = F.md5(F.col(text).cast("binary"))
+    rows, spans = private_spans(docs.select(keyed.alias("__key"), F.col(text)), "__key", text)
+    flat = spans.join(rows, "row").groupBy("doc_id").agg(F.first("spans").alias("__spans"))
+    # As binary on both sides: the join deals both anew, so Spark can split the rows of a text that very many hold.
+    found = flat.select(F.unhex("doc_id").alias("__key"), "__spans")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     state = F.struct(F.lit(0).cast("bigint").alias("upto"), F.array().cast("array<string>").alias("parts"))
     ordered = F.array_sort(F.col("__spans"), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
@@ -219,7 +221,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         return F.when(span["start"] >= s["upto"], F.struct(span["end"].alias("upto"), new.alias("parts"))).otherwise(F.struct(F.greatest(s["upto"], span["end"]).alias("upto"), s["parts"].alias("parts")))
 
     pieces = F.aggregate(ordered, state, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col(text), s["upto"].cast("int") + 1, F.length(F.col(text)))))
-    joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col("__id")), "left")
+    joined = docs.withColumn("__of", F.unhex(keyed)).join(found, F.col("__of") == F.col("__key"), "left")
     out = joined.withColumn(text, F.when(F.size("__spans") > 0, pieces).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length(F.col(text)).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))

@@ -70,6 +70,12 @@ def test_redaction(documents):
     assert found[2].text == "clean" and found[3].text is None and found[2].h == 7
 
 
+def test_redaction_of_rows_with_null_and_repeated_ids(documents):
+    rows = [(None, "mail a.b@c.de now", "s"), (None, "clean text that is long enough", "s"), (4, "call +1 (319) 555-0100", "s"), (4, "at x@y.org", "s"), (4, "nothing in here at all", "s"), (None, None, "s")]
+    found = sorted((str(r.doc_id), str(r.text)) for r in redact(documents(rows)).collect())
+    assert found == sorted([("None", "mail <EMAIL> now"), ("None", "clean text that is long enough"), ("4", "call <PHONE>"), ("4", "at <EMAIL>"), ("4", "nothing in here at all"), ("None", "None")])
+
+
 def test_nearest_against_brute_force(spark):
     draw = np.random.default_rng(9)
     centres = draw.standard_normal((10, 16))
