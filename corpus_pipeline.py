@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from recordweave.llm.common import cut
 from recordweave.llm.line_quality import clean_documents
-from recordweave.llm.mixing import mix_sources
+from recordweave.llm.mixing import mixed_documents
 from recordweave.llm.near_duplicates import near_duplicates
 from recordweave.llm.pieces import encode
 from recordweave.llm.private_data import redact
@@ -37,10 +37,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (0 to 3 times)."""
-    mixed = mix_sources(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
-    times = F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size")).cast("int")).otherwise(0)
-    taken = docs.join(mixed.where("__taken > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return mixed_documents(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

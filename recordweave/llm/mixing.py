@@ -10,7 +10,7 @@ source and range), then a window inside each (source, range); no task holds a wh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, word_count
@@ -62,7 +62,28 @@ def mix_sources(
     are documents of their own.  A document of size 0 has nothing to take (taken 0).  An empty table gives no rows.
     Other columns are not read.  Reruns agree: the order depends on ids alone, ties are between alike rows.
     """
-    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _order_key(doc_id).alias("h")))
+    return _times(docs, doc_id, text, source, weights, repeats).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+
+
+def mixed_documents(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    repeats: int = MAX_REPEATS,
+) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix_sources`` takes each of them, whatever their ids; all columns stay."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    times = _times(rows, doc_id, text, source, weights, repeats, F.col("__row")).where("times > 0").select("row", "times")
+    taken = rows.join(times, F.col("__row") == times["row"]).select(*[rows[c] for c in docs.columns], times["times"].alias("__times"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("__times", F.lit(1))))).select(*docs.columns)
+
+
+def _times(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[int, ...], repeats: int, row: Column | None = None) -> DataFrame:
+    """(row, doc_id, size, source_size, target, times) of each row of ``docs``; ``row`` is null if none is given."""
+    row = F.lit(None).cast("long") if row is None else row
+    sized = cut(docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _order_key(doc_id).alias("h")))
     targets = cut(source_targets(sized, weights, repeats).withColumn("share", F.coalesce(F.try_divide("target", "budget"), F.lit(0.0))))
     sized = sized.withColumn("range", (F.col("h") / F.lit(float(1 << 60) / RANGES)).cast("int"))
 
@@ -77,7 +98,7 @@ def mix_sources(
 
     # A repeat finishes a whole source later; only repeats that can finish within the budget are made.
     passes = F.when((F.col("size") > 0) & (F.col("share") > 0), F.least(F.lit(repeats), F.ceil(F.try_divide("target", "source_size")).cast("int"))).otherwise(0)
-    queued = cut(queued.select("doc_id", "source", "size", "h", "source_size", "target", "budget", "share", "words", passes.alias("passes")))
+    queued = cut(queued.select("row", "doc_id", "source", "size", "h", "source_size", "target", "budget", "share", "words", passes.alias("passes")))
     copies = _copies(queued)
 
     # The global sort by finish time, in slots: sums place whole slots, only the slot that holds the cut is sorted.
@@ -93,7 +114,7 @@ def mix_sources(
     # Each row then counts the repeats that stand at or before the cut.
     finished = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda c: F.when((c < F.col("passes")) & _before_cut(c), 1).otherwise(0))
     taken = F.aggregate(finished, F.lit(0), lambda x, y: x + y)
-    return queued.crossJoin(F.broadcast(one)).select("doc_id", "size", "source_size", "target", (F.col("size") * taken).cast("long").alias("taken"))
+    return queued.crossJoin(F.broadcast(one)).select("row", "doc_id", "size", "source_size", "target", taken.alias("times"))
 
 
 def _finish(copy):

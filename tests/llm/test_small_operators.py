@@ -9,7 +9,7 @@ import pytest
 from recordweave.llm.chat import format_conversations
 from recordweave.llm.line_crf import quality_scores
 from recordweave.llm.line_quality import clean_documents, line_quality, repeat_words
-from recordweave.llm.mixing import mix_sources
+from recordweave.llm.mixing import mix_sources, mixed_documents
 from recordweave.llm.pieces import PROBES, decode, encode, piece_report, read_model, rebuild, verify_parity
 from recordweave.llm.token_counts import token_counts
 
@@ -54,6 +54,20 @@ def test_mix_targets_and_takes(spark, documents):
     assert sum(takes.values()) <= sum(sizes.values())
 
 
+def test_mix_takes_rows_of_one_id_apart(documents):
+    draw = random.Random(18)
+    rows = [(draw.choice([7, None, i, i]), "w " * draw.choice([0, 1, 40, 900]) + f"t{i}", draw.choice("abc")) for i in range(300)]
+    taken = {}
+    for r in mix_sources(documents(rows)).collect():
+        taken[r.doc_id, r.size] = taken.get((r.doc_id, r.size), 0) + r.taken
+    given = {}
+    for r in mixed_documents(documents(rows)).collect():
+        key = r.doc_id, len(r.text.split())
+        given[key] = given.get(key, 0) + key[1]
+    assert given == {k: n for k, n in taken.items() if n}
+    assert mixed_documents(documents([])).count() == 0
+
+
 def test_mix_odd_rows(documents):
     found = mix_sources(documents(ODD)).toPandas()
     assert len(found) == len(ODD) and found[found["size"] == 0].taken.sum() == 0
