@@ -230,13 +230,16 @@ def clean_documents(
 ) -> DataFrame:
     """``docs`` without the rejected documents, and the others without lines above the limit; all columns stay.
 
-    n_chars, where there is one, follows the text.  Rows are judged by id: rows of one id stay if one of them is kept,
-    and lose the lines that any of them loses.  Rows with a null id go.
+    n_chars, where there is one, follows the text.  Each row is judged as in ``line_quality``, whatever its id: a verdict
+    follows from host and text alone, so it is joined by their hash.
     """
-    measured = _measured(docs, doc_id, text, host)
+    host_key = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))
+    keyed = F.md5(F.concat(F.length(host_key).cast("string"), F.lit(":"), host_key, F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    measured = _measured(docs.select(keyed.alias("__key"), F.col(text), F.col(host)), "__key", text, host)
     lost = _frequent_lines(measured, max_documents).groupBy("row").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("drop"))
-    kept = _judged(measured, lost, least_left).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("__drop"))
-    joined = docs.join(kept, F.col(doc_id) == F.col("__id"))
+    kept = _judged(measured, lost, least_left).where("kept").groupBy("doc_id").agg(F.first("drop").alias("__drop"))
+    # As binary on both sides: the join deals both anew, so Spark can split the rows of a text that very many hold.
+    joined = docs.withColumn("__of", F.unhex(keyed)).join(kept.select(F.unhex("doc_id").alias("__key"), "__drop"), F.col("__of") == F.col("__key"))
     at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator) -> Iterator:
@@ -249,7 +252,7 @@ def clean_documents(
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = joined.select(*[docs[c] for c in names], F.col("__drop")).mapInArrow(run, docs.schema)
+    out = joined.select(*names, "__drop").mapInArrow(run, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
     return out

@@ -122,6 +122,15 @@ def test_frequent_lines_and_depleted_documents(documents):
     assert cleaned[3].h == 7
 
 
+def test_rows_are_cleaned_alone_whatever_their_ids(documents):
+    draw = random.Random(17)
+    menu, good = prose(draw, 40), [prose(draw, 60) for _ in range(4)]
+    rows = [(None, good[0], "s"), (None, "junk", "s"), (7, good[1], "s"), (7, "junk " * 90, "s"), (8, f"{menu}\n{good[2]}", "s"), (8, f"{menu}\n{good[3]}", "quiet")]
+    rows += [(100 + i, f"{menu}\n{prose(draw, 60)}", "s") for i in range(30)]
+    found = [(r.doc_id, r.text) for r in clean_documents(documents(rows)).collect() if r.doc_id is None or r.doc_id < 100]
+    assert sorted(found, key=str) == sorted([(None, good[0]), (7, good[1]), (8, good[2]), (8, f"{menu}\n{good[3]}")], key=str)
+
+
 def test_near_copies_do_not_condemn_their_lines(documents):
     draw = random.Random(15)
     lines = [prose(draw, 12) for _ in range(10)]
