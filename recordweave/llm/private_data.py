@@ -1,7 +1,7 @@
 """Personal data by fixed patterns and by bootstrapped contextual extraction.
 
-Seed entities (what the fixed patterns find, and keys of published formats) are instances; the one or two words before
-an instance are lexical patterns.  Patterns and instances form a bipartite graph.  Rounds of scoring pass confidence
+Seed entities (the spans that the fixed patterns find, spaces and checks included, and keys of published formats) are
+instances; the one or two words before an instance are lexical patterns.  Patterns and instances form a bipartite graph.  Rounds of scoring pass confidence
 over it: a pattern is as good as the share of known instances among all that it precedes, an instance is as good as
 the patterns that precede it.  Patterns of high confidence then mark identifiers that no fixed pattern knows.
 
@@ -33,6 +33,7 @@ _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _KEY_SEED = r"\A(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,64}|gh[pousr]_[0-9A-Za-z]{36})\z"
 #: Lengths of an identifier; shorter strings are counts, versions and years.
 SHORTEST, LONGEST = 6, 200
+_OPENING, _CLOSING = r"[\"'(\[{<]*", r"[\"')\]}>.,;:!?]+\z"
 #: Least confidence of a pattern and of an instance, least known instances behind a pattern, rounds of scoring.
 CONFIDENT, SUPPORT, ROUNDS = 0.7, 5, 3
 #: Parts of a pattern's key where it joins instances: a very common word is spread over so many tasks.
@@ -40,10 +41,9 @@ SALT = 16
 _LEFT = 80
 
 
-def _stream(kind: int, text: Column, pattern: str, needed: Column, context: bool = False) -> Column:
-    """Matches of a kind and what lies between them (lengths, for contexts also the end of it)."""
-    left = (lambda g: F.substring(g, -_LEFT, _LEFT)) if context else (lambda g: F.lit(None).cast("string"))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("n"), left(g).alias("left")))
+def _stream(kind: int, text: Column, pattern: str, needed: Column) -> Column:
+    """Matches of a kind and what lies between them (its length and its end)."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("n"), F.substring(g, -_LEFT, _LEFT).alias("left")))
     found = F.struct(F.lit(kind).alias("kind"), gaps.alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
     return F.when(needed, found)
 
@@ -58,7 +58,7 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         _stream(1, t, _IP, t.rlike(r"[0-9]\.[0-9]")),
         _stream(2, t, _CARD, digit),
         _stream(3, t, _PHONE, t.contains("+")),
-        _stream(_CANDIDATE, t, _TOKEN, digit | at, context=True),
+        _stream(_CANDIDATE, t, _TOKEN, digit | at),
     )
     kept = F.filter(streams, lambda s: s.isNotNull() & (F.size(s["hits"]) > 0))
     return cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", kept.alias("streams")))
@@ -94,30 +94,59 @@ def base_spans(occurrences: DataFrame) -> DataFrame:
         .when(F.col("kind") == 2, F.when(F.length(digits).between(16, 19), _luhn(digits)).otherwise(False))
         .when(F.col("kind") == 3, F.length(digits).between(8, 15))
     )
-    return occurrences.where((F.col("kind") != _CANDIDATE) & passes).select("row", "kind", "start", "end")
+    return occurrences.where((F.col("kind") != _CANDIDATE) & passes).select("row", "kind", "start", "end", "hit", "left")
 
 
-def candidates(occurrences: DataFrame) -> DataFrame:
-    """Identifier-like strings with their two patterns (one word before, two words before) and the kind of a seed."""
-    c = occurrences.where((F.col("kind") == _CANDIDATE) & F.length("hit").between(SHORTEST, LONGEST))
+def _patterns(left: Column, name: Column) -> Column:
+    """One word and two words before a string: ``left`` stands before it, ``name`` (name= or name:) is its own head.
+
+    A name that ends ``left`` without a blank is treated alike, as are opening quotes and brackets.
+    """
+    near = F.regexp_replace(left, rf"{_OPENING}\z", "")
+    glued = F.regexp_extract(near, r"([^\x20\x09-\x0D0-9@,{}]*[=:])\z", 1)
+    near = F.regexp_replace(near, r"[^\x20\x09-\x0D0-9@,{}]*[=:]\z", "")
+    context = F.concat_ws(" ", F.regexp_replace(near, "[0-9]", "0"), F.regexp_replace(F.concat(glued, name), "([=:])", " $1"))
+    before = F.filter(F.split(F.lower(context), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    last, second = (lambda w: F.get(w, F.size(w) - 1)), (lambda w: F.get(w, F.size(w) - 2))
+    return F.array_distinct(F.array_compact(F.transform(F.array(before), lambda w: F.array(last(w), F.concat_ws(" ", second(w), last(w))))[0]))
+
+
+def _values(tokens: DataFrame) -> DataFrame:
+    """(row, start, end, value, patterns) of tokens (row, start, hit, left) without what encloses them."""
     # name=value and name:value: the name is context
-    c = c.withColumn("head", F.regexp_extract("hit", r"\A([^0-9@]*[=:])?[\"'(\[{<]*", 0)).withColumn("name", F.regexp_extract("hit", r"\A([^0-9@]*[=:])", 1))
-    c = c.withColumn("value", F.regexp_replace(F.expr("substring(hit, length(head) + 1)"), r"[\"')\]}>.,;:!?]+\z", ""))
-    c = c.where(F.length("value") >= SHORTEST).withColumn("start", F.col("start") + F.length("head")).withColumn("end", F.col("start") + F.length("value"))
-    context = F.concat_ws(" ", F.regexp_replace("left", "[0-9]", "0"), F.regexp_replace("name", "([=:])", " $1"))
-    c = c.withColumn("before", F.filter(F.split(F.lower(context), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    last, second = F.get("before", F.size("before") - 1), F.get("before", F.size("before") - 2)
-    c = c.withColumn("patterns", F.array_compact(F.array(last, F.concat_ws(" ", second, last))))
-    v, digits = F.col("value"), F.length(F.regexp_replace("value", "[^0-9]", ""))
-    seed = (
-        F.when(v.rlike(r"\A[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++\z"), 0)
-        .when(v.rlike(r"\A(?:[0-9]{1,3}\.){3}[0-9]{1,3}\z"), 1)
-        .when(v.rlike(r"\A[0-9-]+\z") & digits.between(16, 19), 2)
-        .when(v.rlike(r"\A\+[0-9().-]+\z") & digits.between(8, 15), 3)
-        .when(v.rlike(_KEY_SEED), 4)
-    )
-    shape = F.when(v.contains("@"), 0).when(v.rlike(r"\A[0-9.()+-]+\z"), 1).otherwise(2)
-    return c.select("row", "start", "end", "value", F.array_distinct("patterns").alias("patterns"), seed.alias("seed"), shape.alias("shape")).where(v.rlike("[0-9]"))
+    c = tokens.withColumn("head", F.regexp_extract("hit", rf"\A([^0-9@]*[=:])?{_OPENING}", 0)).withColumn("name", F.regexp_extract("hit", r"\A([^0-9@]*[=:])", 1))
+    c = c.withColumn("value", F.regexp_replace(F.expr("substring(hit, length(head) + 1)"), _CLOSING, "")).where(F.length("value") >= SHORTEST)
+    c = c.withColumn("start", F.col("start") + F.length("head")).withColumn("end", F.col("start") + F.length("value"))
+    return c.where(F.col("value").rlike("[0-9@]"))
+
+
+def _marked(spans: DataFrame, base: DataFrame) -> DataFrame:
+    """``spans`` with ``clear``: whether they overlap no base span, by one ordered pass over a document's spans."""
+    fixed = base.select("row", "start", "end", F.lit(0).alias("added"))
+    both = spans.withColumn("added", F.lit(1)).unionByName(fixed, allowMissingColumns=True)
+    back = Window.partitionBy("row").orderBy("start", "added").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("row").orderBy("start", "added").rowsBetween(1, Window.unboundedFollowing)
+    fixed_end, fixed_start = F.when(F.col("added") == 0, F.col("end")), F.when(F.col("added") == 0, F.col("start"))
+    both = both.withColumn("end_before", F.max(fixed_end).over(back)).withColumn("start_after", F.min(fixed_start).over(ahead))
+    clear = (F.coalesce("end_before", F.lit(0)) <= F.col("start")) & (F.coalesce("start_after", F.col("end")) >= F.col("end"))
+    return both.withColumn("clear", clear).where("added = 1").drop("added", "end_before", "start_after")
+
+
+def candidates(occurrences: DataFrame) -> DataFrame:
+    """Instances with their patterns: the spans of the fixed patterns and published keys, which are seeds of their kind,
+    and identifier-like strings that overlap no such span (row, start, end, value, patterns, seed, shape)."""
+    base = base_spans(occurrences)
+    tokens = occurrences.where((F.col("kind") == _CANDIDATE) & (F.length("hit") <= LONGEST)).select("row", "start", "hit", "left")
+    kept = ["row", "start", "end", "hit", "left", "name", "value"]
+    whole = cut(_marked(_values(tokens).select(*kept), base))
+    found = whole.where("clear").select(*kept)
+    found = found.withColumn("seed", F.when(F.col("value").rlike(_KEY_SEED), 4))
+    # What is glued to the match before (its own token) is no word before this one.
+    seeds = base.withColumn("left", F.regexp_replace("left", r"\A[^\x20\x09-\x0D]++(?=[\x20\x09-\x0D])", "")).select("row", "start", "end", "left", F.lit("").alias("name"), F.col("hit").alias("value"), F.col("kind").cast("int").alias("seed"))
+    found = found.drop("hit").unionByName(seeds)
+    v = F.col("value")
+    shape = F.when(v.contains("@"), 0).when(v.rlike(r"\A[\x200-9.()+-]+\z"), 1).otherwise(2)
+    return found.select("row", "start", "end", "value", _patterns(F.col("left"), F.col("name")).alias("patterns"), "seed", shape.alias("shape"))
 
 
 def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -147,21 +176,12 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return patterns
 
 
-def discovered_spans(found: DataFrame, patterns: DataFrame, base: DataFrame) -> DataFrame:
-    """Key seeds, and instances that confident patterns precede, where they overlap no base span."""
+def discovered_spans(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Key seeds, and instances that confident patterns precede."""
     salted = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     rest = found.where("seed is null").select("row", "start", "end", "shape", F.explode("patterns").alias("pattern"), F.pmod(F.xxhash64("value"), F.lit(SALT)).cast("int").alias("salt"))
     hits = rest.join(salted, ["pattern", "shape", "salt"]).groupBy("row", "start", "end").agg(F.max(F.struct("confidence", F.col("kind"))).alias("best"))
-    spans = hits.select("row", F.col("best.kind").alias("kind"), "start", "end").unionByName(found.where("seed = 4").select("row", F.lit(4).alias("kind"), "start", "end"))
-    # Overlap with base spans, by one ordered pass over a document's spans: base spans never start inside each other
-    # enough to matter, so the farthest end before and the nearest start after decide.
-    both = spans.withColumn("added", F.lit(1)).unionByName(base.withColumn("added", F.lit(0)))
-    back = Window.partitionBy("row").orderBy("start", "added").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("row").orderBy("start", "added").rowsBetween(1, Window.unboundedFollowing)
-    fixed_end, fixed_start = F.when(F.col("added") == 0, F.col("end")), F.when(F.col("added") == 0, F.col("start"))
-    both = both.withColumn("end_before", F.max(fixed_end).over(back)).withColumn("start_after", F.min(fixed_start).over(ahead))
-    clear = (F.coalesce("end_before", F.lit(0)) <= F.col("start")) & (F.coalesce("start_after", F.col("end")) >= F.col("end"))
-    return both.where((F.col("added") == 1) & clear).select("row", "kind", "start", "end")
+    return hits.select("row", F.col("best.kind").alias("kind"), "start", "end").unionByName(found.where("seed = 4").select("row", F.lit(4).alias("kind"), "start", "end"))
 
 
 def _joined(spans: Column) -> Column:
@@ -177,9 +197,9 @@ def private_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(scanned, spans): a row per document (row, doc_id), and the sorted spans of those that have any (row, base, spans)."""
     scanned = scan(docs, doc_id, text)
     seen = cut(_occurrences(scanned))
-    base = base_spans(seen)
+    base = base_spans(seen).select("row", "kind", "start", "end")
     found = cut(candidates(seen))
-    added = discovered_spans(found, confident_patterns(found), base)
+    added = discovered_spans(found, confident_patterns(found))
     spans = base.withColumn("fixed", F.lit(True)).unionByName(added.withColumn("fixed", F.lit(False)))
     one = F.struct("kind", "start", "end")
     spans = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("fixed"), one))).alias("base"), F.sort_array(F.collect_list(one)).alias("spans"))

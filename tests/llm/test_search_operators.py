@@ -63,6 +63,21 @@ def test_contexts_discover_unseen_identifiers(documents):
     assert all(spans[100 + i].count("key:") == 1 for i in range(6)) and not any(spans[200 + i] for i in range(6))
 
 
+def test_seeds_are_what_the_fixed_patterns_find(documents):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefg") for _ in range(6))
+    rows = [(i, f"{word()} email: {word()}.{word()}@x.com {word()}", "s") for i in range(40)] + [(100, "zz email: bob@intranet zz", "s")]  # no digit
+    rows += [(200 + i, f"{word()} fon: +1 (319) 555-{1000 + i} {word()}", "s") for i in range(40)] + [(300, "zz fon: 555-0100-77 zz", "s")]  # with spaces
+    good = [n for n in ("4111 1111 1111 " + str(x) for x in range(1000, 2000)) if luhn(n.replace(" ", ""))]
+    rows += [(400 + i, f"{word()} card no: {n} {word()}", "s") for i, n in enumerate(good[:40])] + [(500, "zz card no: 4111111111111112 zz", "s")]  # fails Luhn
+    rows += [(600 + i, f"{word()} host is 10.2.3.{i} {word()}", "s") for i in range(40)] + [(700, "zz host is 10.2.3.999 zz", "s")]
+    texts = {i: t for i, t, _ in rows}
+    spans = {r.doc_id: r.spans for r in find_private_data(documents(rows)).collect()}
+    for i, kind, value in [(100, "email", "bob@intranet"), (300, "phone", "555-0100-77"), (500, "card", "4111111111111112"), (700, "ip", "10.2.3.999")]:
+        at = texts[i].index(value)
+        assert spans[i] == f"{kind}:{at}:{at + len(value)}", (i, spans[i])
+
+
 def test_redaction(documents):
     rows = [(1, "mail a.b@c.de or +1 (319) 555-0100 now", "s"), (2, "clean", "s"), (3, None, "s")]
     found = {r.doc_id: r for r in redact(documents(rows)).collect()}
