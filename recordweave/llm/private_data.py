@@ -31,8 +31,13 @@ _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 
 #: Seeds beyond the base kinds: published key formats (prefix and capital letters, or 32 to 64 hex digits).
 _KEY_SEED = r"\A(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,64}|gh[pousr]_[0-9A-Za-z]{36})\z"
-#: Lengths of an identifier; shorter strings are counts, versions and years.
-SHORTEST, LONGEST = 6, 200
+#: Least length of an identifier; shorter strings are counts, versions and years.
+SHORTEST = 6
+#: Longer tokens, and those that hold a fixed pattern's span, fall apart at quotes, commas, braces, = and :.
+SPLIT_FROM = 200
+_PIECE = r"[^\"',{}=:]++"
+#: Longer values are hashed where they are the graph's keys.
+_KEY_CHARS = 64
 _OPENING, _CLOSING = r"[\"'(\[{<]*", r"[\"')\]}>.,;:!?]+\z"
 #: Least confidence of a pattern and of an instance, least known instances behind a pattern, rounds of scoring.
 CONFIDENT, SUPPORT, ROUNDS = 0.7, 5, 3
@@ -132,21 +137,37 @@ def _marked(spans: DataFrame, base: DataFrame) -> DataFrame:
     return both.withColumn("clear", clear).where("added = 1").drop("added", "end_before", "start_after")
 
 
+def _pieces(tokens: DataFrame) -> DataFrame:
+    """Parts (row, start, hit, left) of tokens (row, start, hit, left) between quotes, commas, braces, = and :."""
+    parts = F.arrays_zip(F.split("hit", _PIECE, -1).alias("gap"), F.regexp_extract_all("hit", F.lit(_PIECE), F.lit(0)).alias("hit"))
+    p = tokens.select("row", F.col("start").alias("token"), F.col("left").alias("outer"), F.posexplode(parts).alias("pos", "m"))
+    p = p.select("row", "token", "outer", "pos", "m.gap", "m.hit").where("hit is not null")
+    order = Window.partitionBy("row", "token").orderBy("pos")
+    ended = F.sum(F.length("gap") + F.length("hit")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    tail = lambda x: F.substring(x, -_LEFT, _LEFT)
+    earlier = F.when(F.col("pos") > 1, F.lag(tail(F.col("gap"))).over(order)).otherwise(F.concat("outer", F.coalesce(F.lag(tail(F.col("gap"))).over(order), F.lit(""))))
+    left = tail(F.concat(earlier, F.coalesce(F.lag(tail(F.col("hit"))).over(order), F.lit("")), tail(F.col("gap"))))
+    return p.select("row", (F.col("token") + ended - F.length("hit")).alias("start"), "hit", left.alias("left"))
+
+
 def candidates(occurrences: DataFrame) -> DataFrame:
     """Instances with their patterns: the spans of the fixed patterns and published keys, which are seeds of their kind,
     and identifier-like strings that overlap no such span (row, start, end, value, patterns, seed, shape)."""
     base = base_spans(occurrences)
-    tokens = occurrences.where((F.col("kind") == _CANDIDATE) & (F.length("hit") <= LONGEST)).select("row", "start", "hit", "left")
+    tokens = occurrences.where(F.col("kind") == _CANDIDATE).select("row", "start", "hit", "left")
     kept = ["row", "start", "end", "hit", "left", "name", "value"]
-    whole = cut(_marked(_values(tokens).select(*kept), base))
-    found = whole.where("clear").select(*kept)
+    whole = cut(_marked(_values(tokens).withColumn("from", F.col("start") - F.length("head")).select(*kept, "from"), base))
+    split = ~F.col("clear") | (F.length("hit") > SPLIT_FROM)
+    pieces = _marked(_values(_pieces(whole.where(split).select("row", F.col("from").alias("start"), "hit", "left"))).select(*kept), base).where("clear")
+    found = whole.where(~split).select(*kept).unionByName(pieces.select(*kept))
     found = found.withColumn("seed", F.when(F.col("value").rlike(_KEY_SEED), 4))
     # What is glued to the match before (its own token) is no word before this one.
     seeds = base.withColumn("left", F.regexp_replace("left", r"\A[^\x20\x09-\x0D]++(?=[\x20\x09-\x0D])", "")).select("row", "start", "end", "left", F.lit("").alias("name"), F.col("hit").alias("value"), F.col("kind").cast("int").alias("seed"))
     found = found.drop("hit").unionByName(seeds)
     v = F.col("value")
     shape = F.when(v.contains("@"), 0).when(v.rlike(r"\A[\x200-9.()+-]+\z"), 1).otherwise(2)
-    return found.select("row", "start", "end", "value", _patterns(F.col("left"), F.col("name")).alias("patterns"), "seed", shape.alias("shape"))
+    key = F.when(F.length(v) > _KEY_CHARS, F.sha2(v, 256)).otherwise(v)
+    return found.select("row", "start", "end", key.alias("value"), _patterns(F.col("left"), F.col("name")).alias("patterns"), "seed", shape.alias("shape"))
 
 
 def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -78,6 +78,22 @@ def test_seeds_are_what_the_fixed_patterns_find(documents):
         assert spans[i] == f"{kind}:{at}:{at + len(value)}", (i, spans[i])
 
 
+def test_long_identifiers_and_long_tokens(documents):
+    draw = random.Random(10)
+    word = lambda: "".join(draw.choice("abcdefg") for _ in range(6))
+    hexed = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n - 1)) + "7"
+    rows = [(i, f"{word()} bearer {hexed(40)} {word()}", "s") for i in range(40)]
+    rows += [(100 + i, f'{word()} "token":"{hexed(40)}" {word()}', "s") for i in range(40)]
+    long, inner = hexed(20) + "." + hexed(300), hexed(18)
+    rows += [(200, f"zz bearer {long} zz", "s"), (201, "zz {" + '"level":"x",' * 30 + f'"token":"{inner}","n":1' + "} zz", "s"), (202, f'zz {{"mail":"a@b.co","token":"{inner}"}} zz', "s")]
+    texts = {i: t for i, t, _ in rows}
+    spans = {r.doc_id: r.spans.split(",") for r in find_private_data(documents(rows)).collect()}
+    for i, value in [(200, long), (201, inner), (202, inner)]:
+        at = texts[i].index(value)
+        assert f"key:{at}:{at + len(value)}" in spans[i], (i, spans[i])
+    assert redact(documents(rows)).where("doc_id = 200").first().text == "zz bearer <KEY> zz"
+
+
 def test_redaction(documents):
     rows = [(1, "mail a.b@c.de or +1 (319) 555-0100 now", "s"), (2, "clean", "s"), (3, None, "s")]
     found = {r.doc_id: r for r in redact(documents(rows)).collect()}
