@@ -15,7 +15,7 @@ from recordweave.llm.common import cut
 from recordweave.llm.line_quality import clean_documents
 from recordweave.llm.mixing import mixed_documents
 from recordweave.llm.near_duplicates import near_duplicates
-from recordweave.llm.pieces import encode
+from recordweave.llm.pieces import decode, encode
 from recordweave.llm.private_data import redact
 
 
@@ -41,10 +41,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the piece ids of their texts."""
+    """Documents with the piece ids of their texts, and whether decoding the ids gives the text back."""
     import public_tokenizers
 
-    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = decode(encode(docs, model), model, text="__decoded")
+    return coded.withColumn("round_trip", F.col("__decoded").eqNullSafe(F.col("text"))).drop("__decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

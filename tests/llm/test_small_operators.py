@@ -211,6 +211,14 @@ def test_pieces_agree_with_sentencepiece(documents):
     assert piece_report(documents([]), PIECES).count() == 0
 
 
+def test_last_stage_decodes_too(spark, documents):
+    import corpus_pipeline
+
+    rows = [(1, "plain words, and a naïve 日本 😀", "s"), (2, "holds the marker ▁ itself", "s"), (3, None, "s"), (4, "", "s")]
+    found = {r.doc_id: r.round_trip for r in corpus_pipeline.STAGES[-1][1](spark, documents(rows), "").collect()}
+    assert found == {1: True, 2: False, 3: True, 4: True}
+
+
 def test_unigram_models_are_rebuilt_too():
     from recordweave.llm.pieces import UNIGRAM, Model
 
