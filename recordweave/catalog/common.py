@@ -46,9 +46,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the files make fewer partitions than that: parsing costs more than moving lines.
+    Tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lines(spark: SparkSession, sf_dir: str, expression: str, *more: str) -> DataFrame:
     """(event_id, ts, source, line, ...) of the events."""
-    return events(spark, sf_dir).selectExpr("event_id", "ts", f"concat('app', {USER}) AS source", f"{spark_line(expression)} AS line", *more)
+    return spread(events(spark, sf_dir)).selectExpr("event_id", "ts", f"concat('app', {USER}) AS source", f"{spark_line(expression)} AS line", *more)
 
 
 def duck_lines(expression: str, *more: str) -> str:

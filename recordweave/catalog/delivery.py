@@ -117,7 +117,18 @@ def rate_limit(spark, sf_dir):
     return rate_limited(_seq(spark, sf_dir), 1.0, "user_id")
 
 
-@register("breaker_states", None)
+@register(
+    "breaker_states",
+    """WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS seq, epoch(ts)::DOUBLE AS t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+f AS (
+ SELECT k, rn, seq, 'closed' AS state, true AS allowed, CASE WHEN bad THEN 1 ELSE 0 END AS in_row, 'closed' AS after, 0.0::DOUBLE AS until FROM e WHERE rn = 1
+ UNION ALL
+ SELECT k, rn, seq, state, state <> 'open', CASE WHEN state = 'closed' AND bad THEN in_row + 1 ELSE 0 END,
+  CASE WHEN state = 'closed' AND bad AND in_row + 1 >= 2 THEN 'open' WHEN state = 'half-open' THEN CASE WHEN bad THEN 'open' ELSE 'closed' END ELSE state END,
+  CASE WHEN (state = 'closed' AND bad AND in_row + 1 >= 2) OR (state = 'half-open' AND bad) THEN t + 20000.0 ELSE until END
+ FROM (SELECT e.k, e.rn, e.seq, e.t, e.bad, f.in_row, f.until, CASE WHEN f.after = 'open' AND e.t > f.until THEN 'half-open' ELSE f.after END AS state FROM f JOIN e ON e.k = f.k AND e.rn = f.rn + 1))
+SELECT k AS "by", seq, state, allowed FROM f""",
+)
 def breaker_states(spark, sf_dir):
     return D.breaker_states(_seq(spark, sf_dir), "user_id", F.col("event_type") == "error", trips=2, timeout=20_000.0, interval=0.0)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inputs as I
-from ..operators.parsers import DEFAULT, merge_input, parse
+from ..operators.parsers import DEFAULT, explode_fields, merge_input, parse
 from .common import ID, NORMAL, USER, events, register
 
 _BODY = f"""CASE event_id % 3 WHEN 0 THEN '{{"message":"m' || {ID} || '","n":' || {ID} || '}}' WHEN 1 THEN '{{"user":"u' || {USER} || '"}}' ELSE 'plain ' || {ID} END"""
@@ -73,7 +73,7 @@ def _messages(spark, sf_dir):
 
 @register("syslog_fields", f"SELECT event_id, unnest(['source_ip', 'input_type', 'format', 'raw_message']) AS key, unnest(['10.0.0.' || (user_id % 250), 'syslog', 'rfc3164', {_SYSLOG}]) AS value FROM events")
 def syslog_fields(spark, sf_dir):
-    return I.syslog_events(_messages(spark, sf_dir)).select("event_id", F.explode("fields").alias("key", "value"))
+    return explode_fields(I.syslog_events(_messages(spark, sf_dir)), "event_id")
 
 
 @register("syslog_parsed", "SELECT event_id, (event_id % 192 // 8)::INT AS facility, (event_id % 8)::INT AS severity, 'host' AS host, 'app' AS tag, 'did ' || event_id AS content FROM events")
@@ -93,7 +93,7 @@ def _pods(spark, sf_dir):
     "SELECT event_id, unnest(['kubernetes.namespace', 'kubernetes.pod', 'kubernetes.container', 'input_type', 'kubernetes.labels.app']) AS key, unnest(['ns' || (user_id % 3), 'pod-' || user_id, 'web-main', 'kubernetes', event_type]) AS value FROM events WHERE event_id % 2 = 0 AND event_id % 5 <> 0",
 )
 def k8s_enrich(spark, sf_dir):
-    return I.pod_events(_pods(spark, sf_dir), "main", metadata=True).select("event_id", F.explode("fields").alias("key", "value"))
+    return explode_fields(I.pod_events(_pods(spark, sf_dir), "main", metadata=True), "event_id")
 
 
 @register("k8s_flat", "SELECT event_id, 'ns' || (user_id % 3) AS namespace, 'kubernetes' AS input_type FROM events WHERE event_id % 5 <> 0")

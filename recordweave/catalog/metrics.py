@@ -59,10 +59,19 @@ def metric_long(spark, sf_dir):
     return M.extract(rows, [M.MetricRule("n", "counter", "one"), M.MetricRule("last", "gauge", "value")]).select("metric", "value")
 
 
-@register("prometheus_text", "SELECT 'extracted_n{kind=\"' || event_type || '\"} ' || count(*) || '.0' AS line FROM events GROUP BY event_type")
+@register(
+    "prometheus_text",
+    """WITH c AS (SELECT event_type, count(*) AS n, count(*) FILTER (event_id % 40 <= 10) AS low, sum(event_id % 40) AS total FROM events GROUP BY 1),
+l AS (SELECT 'extracted_n{kind="' || event_type || '"} ' AS head, n AS v FROM c UNION ALL SELECT 'extracted_d_bucket{kind="' || event_type || '",le="10"} ', low FROM c
+ UNION ALL SELECT 'extracted_d_bucket{kind="' || event_type || '",le="1e+07"} ', n FROM c UNION ALL SELECT 'extracted_d_bucket{kind="' || event_type || '",le="+Inf"} ', n FROM c
+ UNION ALL SELECT 'extracted_d_count{kind="' || event_type || '"} ', n FROM c UNION ALL SELECT 'extracted_d_sum{kind="' || event_type || '"} ', total FROM c)
+SELECT head || CASE WHEN v < 1000000 THEN v::VARCHAR ELSE regexp_replace(rtrim(substr(v::VARCHAR, 1, 1) || '.' || substr(v::VARCHAR, 2), '0'), '\\.$', '') || 'e+' || lpad((length(v::VARCHAR) - 1)::VARCHAR, 2, '0') END AS line FROM l""",
+)
 def prometheus_text(spark, sf_dir):
-    rows = _events(spark, sf_dir).withColumn("fields", F.map_concat("fields", F.create_map(F.lit("one"), F.lit("1"))))
-    return M.prometheus_text(M.extract(rows, [M.MetricRule("n", "counter", "one", label_fields={"kind": "type"})]))
+    d = (F.col("seq") % 40).cast("string")
+    rows = _events(spark, sf_dir).withColumn("fields", F.map_concat("fields", F.create_map(F.lit("one"), F.lit("1"), F.lit("d"), d)))
+    kind = {"kind": "type"}
+    return M.prometheus_text(M.extract(rows, [M.MetricRule("n", "counter", "one", label_fields=kind), M.MetricRule("d", "histogram", "d", label_fields=kind, buckets=(10.0, 1e7))]))
 
 
 _BUCKET = "time_bucket(INTERVAL '5 minutes', ts)"
@@ -104,36 +113,58 @@ _quantile("hist_quantile_p95", 0.95, "event_type", lambda: F.col("event_type"))
 _quantile("hist_quantile_by_le", 0.99, "'all'", lambda: F.lit("all"))
 
 
+#: A batch of each output for each user; latency is a whole number, so both engines fold it alike.
+_BATCHES = """b AS (SELECT event_type AS output, user_id AS seq, count(*) AS events, count(*) FILTER (event_id % 10 = 0) AS failed, sum(event_id)::BIGINT AS bytes, (sum(event_id) % 500 + 1)::DOUBLE AS latency_ms,
+ max(ts) AS sent_at, CASE WHEN count(*) FILTER (event_id % 10 = 0) > 0 THEN 'error of ' || user_id END AS error FROM events GROUP BY 1, 2)"""
+_OUTPUT_SQL = f"""WITH RECURSIVE {_BATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY output ORDER BY seq) AS rn FROM b),
+f AS (SELECT output, rn, latency_ms AS folded FROM r WHERE rn = 1 UNION ALL SELECT r.output, r.rn, (f.folded + r.latency_ms) / 2 FROM f JOIN r ON r.output = f.output AND r.rn = f.rn + 1),
+o AS (SELECT output, sum(events)::BIGINT AS events_sent, sum(failed)::BIGINT AS events_failed, sum(bytes)::BIGINT AS bytes_sent, count(*) AS batches_sent, sum(events) / count(*) AS avg_batch_size, max(sent_at) AS last_sent,
+ arg_max(error, (sent_at, seq)) FILTER (error IS NOT NULL) AS last_error, arg_max(sent_at, (sent_at, seq)) FILTER (error IS NOT NULL) AS last_error_at FROM b GROUP BY 1),
+m AS (SELECT o.*, f.folded AS avg_latency_ms FROM o JOIN (SELECT output, arg_max(folded, rn) AS folded FROM f GROUP BY 1) f USING (output))"""
+_AT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+
+
 @register(
     "output_metrics",
-    """WITH b AS (SELECT event_type AS output, user_id AS seq, count(*) AS events, sum(CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS failed, sum(event_id) AS bytes FROM events GROUP BY 1, 2)
-SELECT output, sum(events)::BIGINT AS events_sent, sum(failed)::BIGINT AS events_failed, sum(bytes)::BIGINT AS bytes_sent, count(*) AS batches_sent, round(sum(events) / count(*), 6) AS avg_batch_size FROM b GROUP BY 1""",
+    f"{_OUTPUT_SQL} SELECT output, events_sent, events_failed, bytes_sent, batches_sent, round(avg_batch_size, 6) AS avg_batch_size, round(avg_latency_ms, 6) AS avg_latency_ms, {_AT.format('last_sent')} AS last_sent, last_error FROM m",
 )
 def output_metrics(spark, sf_dir):
-    return _outputs(spark, sf_dir).select("output", "events_sent", "events_failed", "bytes_sent", "batches_sent", F.round("avg_batch_size", 6).alias("avg_batch_size"))
+    return _outputs(spark, sf_dir).select(
+        "output", "events_sent", "events_failed", "bytes_sent", "batches_sent", F.round("avg_batch_size", 6).alias("avg_batch_size"), F.round("avg_latency_ms", 6).alias("avg_latency_ms"),
+        F.date_format("last_sent", "yyyy-MM-dd HH:mm:ss").alias("last_sent"), "last_error",
+    )
 
 
 def _outputs(spark, sf_dir):
     e = events(spark, sf_dir)
     b = e.groupBy(F.col("event_type").alias("output"), F.col("user_id").alias("seq")).agg(
-        F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_id") % 10 == 0).alias("failed"), F.sum("event_id").alias("bytes"), F.avg("value").alias("latency_ms"), F.max("ts").alias("sent_at"), F.lit(None).cast("string").alias("error")
+        F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_id") % 10 == 0).alias("failed"), F.sum("event_id").alias("bytes"), (F.sum("event_id") % 500 + 1).cast("double").alias("latency_ms"), F.max("ts").alias("sent_at")
     )
-    return D.output_metrics(b)
+    return D.output_metrics(b.withColumn("error", F.when(F.col("failed") > 0, F.concat(F.lit("error of "), F.col("seq").cast("string")))))
 
 
 @register(
     "router_rollup",
-    """WITH b AS (SELECT event_type AS output, user_id AS seq, count(*) AS events FROM events GROUP BY 1, 2), o AS (SELECT output, sum(events) AS s, count(*) AS n FROM b GROUP BY 1)
-SELECT sum(s)::BIGINT AS events_sent, sum(n)::BIGINT AS batches_sent, round(avg(s / n), 6) AS avg_batch_size FROM o""",
+    f"""{_OUTPUT_SQL} SELECT sum(events_sent)::BIGINT AS events_sent, sum(events_failed)::BIGINT AS events_failed, sum(bytes_sent)::BIGINT AS bytes_sent, sum(batches_sent)::BIGINT AS batches_sent,
+ round(avg(avg_batch_size), 6) AS avg_batch_size, round(avg(avg_latency_ms), 6) AS avg_latency_ms, {_AT.format('max(last_sent)')} AS last_sent, arg_max(last_error, (last_error_at, output)) AS last_error FROM m""",
 )
 def router_rollup(spark, sf_dir):
-    return D.router_metrics(_outputs(spark, sf_dir)).select("events_sent", "batches_sent", F.round("avg_batch_size", 6).alias("avg_batch_size"))
+    return D.router_metrics(_outputs(spark, sf_dir)).select(
+        "events_sent", "events_failed", "bytes_sent", "batches_sent", F.round("avg_batch_size", 6).alias("avg_batch_size"), F.round("avg_latency_ms", 6).alias("avg_latency_ms"),
+        F.date_format("last_sent", "yyyy-MM-dd HH:mm:ss").alias("last_sent"), "last_error",
+    )
+
+
+_STATUS = "CASE event_type WHEN 'error' THEN 'unhealthy' WHEN 'view' THEN 'degraded' ELSE 'healthy' END"
 
 
-@register("health_rollup", "SELECT 'unhealthy' AS status")
+@register(
+    "health_rollup",
+    f"""SELECT user_id, CASE max(CASE {_STATUS} WHEN 'unhealthy' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END) WHEN 2 THEN 'unhealthy' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS status FROM events WHERE event_id % 5 = 0 GROUP BY 1""",
+)
 def health_rollup(spark, sf_dir):
-    c = events(spark, sf_dir).select(F.when(F.col("event_type") == "error", "unhealthy").when(F.col("event_type") == "view", "degraded").otherwise("healthy").alias("status"))
-    return D.overall_health(c)
+    c = events(spark, sf_dir).where("event_id % 5 = 0").select("user_id", F.expr(_STATUS).alias("status"))
+    return D.overall_health(c, "user_id")
 
 
 @register("load_stats", "SELECT count(*) AS processed, round(count(*) / (epoch(max(ts)) - epoch(min(ts))), 8) AS per_second, round(100.0 * count(*) FILTER (event_type <> 'error') / count(*), 6) AS success FROM events")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.grok import BASE, TEMPLATES, expand
+from ..functions.grok import BASE, compile_grok
+from ..functions.regexes import matches
 from ..functions.times import infer_time
 from ..operators.multiline import MultilineSpec, assemble
-from ..operators.parsers import DEFAULT, ParserSpec, event_json, normal_level, parse
+from ..operators.parsers import DEFAULT, ParserSpec, event_json, explode_fields, normal_level, parse
 from .common import ID, LEVEL, NORMAL, NUMBER, UPPER, USER, duck_line, duck_lines, events, lines, register, spark_line
 
 JSON_LINE = f"""'{{{{"ts":"' || {{iso}} || '","level":"' || {LEVEL} || '","msg":"event ' || {ID} || '","user":"u' || {USER} || '","type":"' || event_type || '","k":' || CAST({NUMBER} AS STRING) || '}}}}'"""
@@ -27,7 +28,7 @@ SELECT * FROM f""",
 )
 def json_fields_long(spark, sf_dir):
     spec = ParserSpec("json", time_field="ts", custom_fields={"env": "prod"})
-    return parse(lines(spark, sf_dir, JSON_LINE), spec).select("event_id", F.explode("fields").alias("key", "value"))
+    return explode_fields(parse(lines(spark, sf_dir, JSON_LINE), spec), "event_id")
 
 
 _BAD = f"CASE WHEN event_id % 7 = 0 THEN 'broken ' || {JSON_LINE} WHEN event_id % 7 = 1 THEN '[' || {ID} || ']' WHEN event_id % 7 = 2 THEN '' ELSE {JSON_LINE} END"
@@ -63,7 +64,7 @@ _NESTED = f"""'{{{{"msg":"m","error":{{{{"message":"Internal error","code":' ||
     """SELECT event_id, unnest(['error', 'list', 'none', 'ratio', 'one']) AS key, unnest(['map[code:' || (event_id % 1000) || ' message:Internal error]', '[1 x <nil> true]', '<nil>', '3.5', '1']) AS value FROM events""",
 )
 def json_nested_text(spark, sf_dir):
-    return parse(lines(spark, sf_dir, _NESTED), ParserSpec("json")).select("event_id", F.explode("fields").alias("key", "value"))
+    return explode_fields(parse(lines(spark, sf_dir, _NESTED), ParserSpec("json")), "event_id")
 
 
 _REGEX_LINE = f"CASE WHEN event_id % 11 = 0 THEN 'no match here ' || {ID} ELSE {{iso}} || ' [' || {UPPER} || '] user=' || {USER} || ' event ' || {ID} END"
@@ -141,50 +142,10 @@ def level_normalize(spark, sf_dir):
     return s.groupBy("spelled", normal_level(F.col("spelled")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _re2(template: str) -> str:
-    """A grok template for DuckDB's engine, with numbered groups for its fields only."""
-    text = expand(TEMPLATES.get(template, template))
-    out, i = [], 0
-    while i < len(text):
-        c = text[i]
-        if c == "\\":
-            out.append(text[i : i + 2])
-            i += 2
-        elif text.startswith("(?P<", i):
-            out.append("(")
-            i = text.index(">", i) + 1
-        elif c == "(" and text[i + 1] != "?":
-            out.append("(?:")
-            i += 1
-        else:
-            out.append(c)
-            i += 1
-    return "".join(out).replace("'", "''")
-
-
-def _one_group(template: str, name: str) -> str:
-    """DuckDB expression of one field of a template ('' where the group took no part)."""
-    text = expand(TEMPLATES.get(template, template)).replace(f"(?P<{name}>", "\0")
-    import re
-
-    text = re.sub(r"\(\?P<[a-z0-9_]+>", "(?:", text)
-    out, i = [], 0
-    while i < len(text):
-        c = text[i]
-        if c == "\\":
-            out.append(text[i : i + 2])
-            i += 2
-            continue
-        out.append("(?:" if c == "(" and text[i + 1] != "?" else "(" if c == "\0" else c)
-        i += 1
-    return f"regexp_extract(line, '{''.join(out)}', 1)".replace("''", "''")
-
-
-def _grok_query(name: str, template: str, expression: str, fields: tuple[str, ...], spec: ParserSpec | None = None):
-    pattern = _re2(template)
-    columns = ", ".join(f"nullif({_one_group(template, f)}, '') AS {f}" if f != "message" else f"CASE WHEN regexp_matches(line, '{pattern}') THEN {_one_group(template, f)} ELSE line END AS message" for f in fields)
-
-    @register(name, f"WITH l AS ({duck_lines(expression)}) SELECT event_id, {columns} FROM l")
+def _grok_query(name: str, template: str, expression: str, fields: dict[str, str], spec: ParserSpec | None = None):
+    """``fields`` says in SQL what each field must be, by the columns that the line was made of."""
+
+    @register(name, f"SELECT event_id, {', '.join(f'{sql} AS {f}' for f, sql in fields.items())} FROM (SELECT *, {duck_line(expression)} AS line FROM events)")
     def run(spark, sf_dir):
         out = parse(lines(spark, sf_dir, expression), spec or ParserSpec("grok", grok_pattern=template, time_field="none", level_field="none"))
         shown = [F.col("message") if f == "message" else F.nullif(F.try_element_at("fields", F.lit(f)), F.lit("")).alias(f) for f in fields]
@@ -193,20 +154,62 @@ def _grok_query(name: str, template: str, expression: str, fields: tuple[str, ..
     return run
 
 
-_grok_query("grok_syslog", "syslog", f"{{syslog}} || ' web' || {USER} || ' ' || event_type || CASE WHEN event_id % 3 = 0 THEN '[' || CAST(event_id + 1 AS STRING) || ']' ELSE '' END || ': did ' || {ID}", ("program", "pid", "message"))
-_grok_query("grok_java", "java", f"{{iso}} || ' ' || {UPPER} || ' [worker-' || {USER} || '] com.shop.' || event_type || ' - handled ' || {ID}", ("timestamp", "level", "thread", "logger", "message"))
-_grok_query("grok_python", "python", f"{{plain}} || ' - shop.' || event_type || ' - ' || {UPPER} || ' - handled ' || {ID}", ("timestamp", "level", "logger", "message"))
-_grok_query("grok_go", "go", f"CASE WHEN event_id % 5 = 0 THEN 'panic: ' || {ID} ELSE {{iso}} || ' ' || {UPPER} || ' handled ' || {ID} END", ("timestamp", "level", "message"))
-_HTTP = f"CASE event_id % 3 WHEN 0 THEN ' HTTP/1.1' WHEN 1 THEN ' HTTP/2' ELSE '' END"
-_grok_query("grok_apache", "apache", f"'10.0.' || CAST(user_id % 200 AS STRING) || '.7 - u' || {USER} || ' [' || {{http}} || ' +0000] \"GET /' || event_type || {_HTTP} || '\" 200 ' || CASE WHEN event_id % 4 = 0 THEN '-' ELSE {ID} END", ("clientip", "auth", "verb", "request", "httpversion", "rawrequest", "response", "bytes"))
-_grok_query("grok_nginx", "nginx", f"'host' || {USER} || '.example.com - u [' || {{http}} || ' +0000] \"POST /' || event_type || {_HTTP} || '\" 404 ' || {ID} || ' \"-\" \"agent/1\"'", ("clientip", "verb", "request", "rawrequest", "response", "bytes", "referrer", "agent"))
+_grok_query(
+    "grok_syslog", "syslog", f"{{syslog}} || ' web' || {USER} || ' ' || event_type || CASE WHEN event_id % 3 = 0 THEN '[' || CAST(event_id + 1 AS STRING) || ']' ELSE '' END || ': did ' || {ID}",
+    {"program": "event_type", "pid": "CASE WHEN event_id % 3 = 0 THEN CAST(event_id + 1 AS VARCHAR) END", "message": f"'did ' || {ID}"},
+)
+_grok_query(
+    "grok_java", "java", f"{{iso}} || ' ' || {UPPER} || ' [worker-' || {USER} || '] com.shop.' || event_type || ' - handled ' || {ID}",
+    {"timestamp": duck_line("{iso}"), "level": UPPER, "thread": f"'worker-' || {USER}", "logger": "'com.shop.' || event_type", "message": f"'handled ' || {ID}"},
+)
+_grok_query(
+    "grok_python", "python", f"{{plain}} || ' - shop.' || event_type || ' - ' || {UPPER} || ' - handled ' || {ID}",
+    {"timestamp": duck_line("{plain}"), "level": UPPER, "logger": "'shop.' || event_type", "message": f"'handled ' || {ID}"},
+)
+_grok_query(
+    "grok_go", "go", f"CASE WHEN event_id % 5 = 0 THEN 'panic: ' || {ID} ELSE {{iso}} || ' ' || {UPPER} || ' handled ' || {ID} END",
+    {"timestamp": f"CASE WHEN event_id % 5 > 0 THEN {duck_line('{iso}')} END", "level": f"CASE WHEN event_id % 5 > 0 THEN {UPPER} END", "message": f"CASE WHEN event_id % 5 = 0 THEN 'panic: ' ELSE 'handled ' END || {ID}"},
+)
+_HTTP = "CASE event_id % 3 WHEN 0 THEN ' HTTP/1.1' WHEN 1 THEN ' HTTP/2' ELSE '' END"
+#: A decimal version is no number of the dictionary: such requests stay whole.
+_verb = lambda sql: f"CASE WHEN event_id % 3 > 0 THEN {sql} END"
+_raw = lambda verb: f"CASE WHEN event_id % 3 = 0 THEN '{verb} /' || event_type || ' HTTP/1.1' END"
+_grok_query(
+    "grok_apache", "apache", f"'10.0.' || CAST(user_id % 200 AS STRING) || '.7 - u' || {USER} || ' [' || {{http}} || ' +0000] \"GET /' || event_type || {_HTTP} || '\" 200 ' || CASE WHEN event_id % 4 = 0 THEN '-' ELSE {ID} END",
+    {"clientip": "'10.0.' || (user_id % 200) || '.7'", "auth": f"'u' || {USER}", "verb": _verb("'GET'"), "request": _verb("'/' || event_type"), "httpversion": "CASE WHEN event_id % 3 = 1 THEN '2' END", "rawrequest": _raw("GET"), "response": "'200'", "bytes": f"CASE WHEN event_id % 4 > 0 THEN {ID} END"},
+)
+_grok_query(
+    "grok_nginx", "nginx", f"'host' || {USER} || '.example.com - u [' || {{http}} || ' +0000] \"POST /' || event_type || {_HTTP} || '\" 404 ' || {ID} || ' \"-\" \"agent/1\"'",
+    {"clientip": f"'host' || {USER} || '.example.com'", "verb": _verb("'POST'"), "request": _verb("'/' || event_type"), "rawrequest": _raw("POST"), "response": "'404'", "bytes": ID, "referrer": "'-'", "agent": "'agent/1'"},
+)
 _CUSTOM = r"%{IP:client_ip} - %{USER:user} %{WORD:method} %{NOTSPACE:path} %{INT:status}"
-_grok_query("grok_custom", _CUSTOM, f"'192.168.1.' || CAST(user_id % 300 AS STRING) || ' - u' || {USER} || ' GET /' || event_type || ' ' || CAST(200 + event_id % 5 AS STRING)", ("client_ip", "user", "method", "path", "status"), ParserSpec("grok", pattern=_CUSTOM))
-
-
-@register("grok_dictionary", "SELECT * FROM (VALUES ('base', {}), ('templates', {})) v(kind, n)".format(len(BASE), len(TEMPLATES)))
+_address = lambda sql: f"CASE WHEN user_id % 300 < 256 THEN {sql} END"  # noqa: E731  larger parts are no address
+_grok_query(
+    "grok_custom", _CUSTOM, f"'192.168.1.' || CAST(user_id % 300 AS STRING) || ' - u' || {USER} || ' GET /' || event_type || ' ' || CAST(200 + event_id % 5 AS STRING)",
+    {"client_ip": _address("'192.168.1.' || (user_id % 300)"), "user": _address(f"'u' || {USER}"), "method": _address("'GET'"), "path": _address("'/' || event_type"), "status": _address("CAST(200 + event_id % 5 AS VARCHAR)")},
+    ParserSpec("grok", pattern=_CUSTOM),
+)
+
+#: For each base pattern a text that it matches whole, and one that it doesn't.
+_SAMPLES = {
+    "USERNAME": ("a.b-c_9", "a b"), "USER": ("root", "ro ot"), "INT": ("-12", "1.5"), "NUMBER": ("+7", "x"), "WORD": ("abc_1", "a-b"), "NOTSPACE": ("a/b!", "a b"), "SPACE": ("  ", "x"),
+    "DATA": ("any thing", "two\nlines"), "GREEDYDATA": ("any thing", "two\nlines"), "MONTHDAY": ("31", "32"), "MONTH": ("Sep", "Foo"), "YEAR": ("2024", "123"), "HOUR": ("23", "24"), "MINUTE": ("59", "60"),
+    "SECOND": ("60.123", "61"), "TIME": ("12:30:01,5", "12-30"), "TIMESTAMP_ISO8601": ("2024-01-02T03:04:05.678Z", "2024-01-02"), "ISO8601_TIMEZONE": ("+02:00", "2"), "IP": ("10.0.0.1", "10.0.0.256"),
+    "IPV4": ("255.255.255.0", "1.2.3"), "IPV6": ("2001:db8::1", "12345::"), "HOSTNAME": ("a.example-1.com", "-a"), "LOGLEVEL": ("WARNING", "warn"), "SYSLOGBASE": ("Jan 02 03:04:05 web1 sshd[12]:", "Jan 02 web1"),
+    "COMMONAPACHELOG": ('1.2.3.4 - bob [02/Jan/2024:03:04:05 +0000] "GET /x" 200 -', "GET /x"), "HTTPDATE": ("02/Jan/2024:03:04:05 +0000", "2024"), "IPORHOST": ("::1", "_"), "POSINT": ("10", "0"),
+}
+
+
+@register("grok_dictionary", "SELECT unnest([" + ", ".join(f"'{n}'" for n in _SAMPLES) + "]) AS name, true AS matches, false AS rejects")
 def grok_dictionary(spark, sf_dir):
-    return spark.createDataFrame([("base", len(BASE)), ("templates", len(TEMPLATES))], "kind string, n int")
+    if set(_SAMPLES) != set(BASE):
+        raise ValueError(f"no samples for {set(_SAMPLES) ^ set(BASE)}")
+    found = None
+    for name, (good, bad) in _SAMPLES.items():
+        whole = compile_grok(f"^(?:%{{{name}}})$")
+        row = spark.range(1).select(F.lit(name).alias("name"), matches(F.lit(good), whole).alias("matches"), matches(F.lit(bad), whole).alias("rejects"))
+        found = row if found is None else found.unionByName(row)
+    return found
 
 
 @register(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import next_power_of_two, percentage, success_rate, valid_field_name, valid_host_port, valid_ip, valid_path
 from ..functions.values import number_text, parse_float
+from ..operators.parsers import explode_fields
 from ..operators.transforms import TransformSpec, is_sensitive, sanitized, transform, typed_view
 from .common import ID, NUMBER, USER, duck_line, events, register, spark_line
 
@@ -19,7 +20,7 @@ def _rows(spark, sf_dir):
 
 
 def _long(df):
-    return df.select("event_id", F.explode("fields").alias("key", "value"))
+    return explode_fields(df, "event_id")
 
 
 def _duck(pairs: dict[str, str]) -> str:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Stands between groups in the one-pass extraction; texts that hold it take the pass per group.
 _SEPARATOR = "\u0001"
 _SPACE = r"\t\n\f\r "
+#: Edges of ASCII words; Java's own look at all letters.
+_EDGE, _NO_EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))", r"(?:(?<!\w)(?!\w)|(?<=\w)(?=\w))"
 #: Groups from which one pass is cheaper than one pass for each.
 ONE_PASS = 3
 
@@ -79,7 +81,7 @@ def translate(pattern: str, capture_all: bool = False) -> Pattern:
                 out.append(re.sub(r"([^\w\s])", r"\\\1", pattern[i + 2 : end if end >= 0 else len(pattern)]))
                 i = end + 2 if end >= 0 else len(pattern)
                 continue
-            out.append({"\\s": f"[{_SPACE}]", "\\S": f"[^{_SPACE}]"}.get(pair, pair))
+            out.append({"\\s": f"[{_SPACE}]", "\\S": f"[^{_SPACE}]", "\\b": _EDGE, "\\B": _NO_EDGE}.get(pair, pair))
             i += 2
         elif c == "(":
             rest = pattern[i:]
@@ -111,6 +113,39 @@ def translate(pattern: str, capture_all: bool = False) -> Pattern:
     return Pattern("(?d)" + "".join(out), tuple(names))
 
 
+#: Java's names of ASCII classes, as ranges.
+_ASCII_CLASSES = {
+    "Alnum": "0-9A-Za-z", "Alpha": "A-Za-z", "ASCII": r"\x00-\x7f", "Blank": r"\t ", "Cntrl": r"\x00-\x1f\x7f", "Digit": "0-9", "Graph": "!-~", "Lower": "a-z", "Print": " -~",
+    "Punct": r"!-/:-@\[-`{-~", "Space": r"\t-\r ", "Upper": "A-Z", "XDigit": "0-9A-Fa-f",
+}
+
+
+def compile_python(pattern: str) -> re.Pattern:
+    """The same translation for the few places that match in Python (streams with state), so both give one result.
+
+    Unicode classes and what Python's engine lacks are refused.
+    """
+    out, inside = [], False
+    for token in re.findall(r"\\[pP]\{\w+\}|\\.|.", translate(pattern).java.removeprefix("(?d)"), re.S):
+        if token == "\\z":
+            token = r"\Z"
+        elif m := re.fullmatch(r"\\([pP])\{(\w+)\}", token):
+            if m[2] not in _ASCII_CLASSES or (inside and m[1] == "P"):
+                raise PatternError(f"{token} is not supported in streams")
+            token = _ASCII_CLASSES[m[2]] if inside else f"[{'^' if m[1] == 'P' else ''}{_ASCII_CLASSES[m[2]]}]"
+        elif token == "[":
+            if inside:
+                raise PatternError("negated classes inside brackets are not supported in streams")
+            inside = True
+        elif token == "]":
+            inside = False
+        out.append(token)
+    try:
+        return re.compile("".join(out), re.ASCII)
+    except re.error as e:
+        raise PatternError(str(e)) from e
+
+
 def matches(text: Column, pattern: Pattern) -> Column:
     return text.rlike(pattern.java)
 

@@ -29,6 +29,10 @@ LAYOUTS = (
 _ELEMENT = re.compile("|".join(map(re.escape, sorted(_ELEMENTS, key=len, reverse=True))) + r"|[.,](?:0+|9+)|[A-Za-z]+|'")
 
 
+_ISO_LAYOUT = LAYOUTS[0]
+_ISO = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})\z"
+
+
 def java_layout(layout: str) -> str:
     """A reference-time layout in Java letters.  A fraction after the seconds is read whether or not the layout has it."""
 
@@ -46,6 +50,8 @@ def java_layout(layout: str) -> str:
 
 def parse_layout(text: Column, layout: str) -> Column:
     """Timestamp by one layout, null where it doesn't fit.  Fractions beyond microseconds are cut."""
+    if layout == _ISO_LAYOUT:  # what Spark's own cast reads, far faster than a formatter
+        return F.when(text.rlike(_ISO), F.translate(text, ",", ".").try_cast("timestamp"))
     java = java_layout(layout)
     if "yyyy" not in java and "yy" not in java:  # the year is 0 then; such times only have their other parts
         return F.try_to_timestamp(F.concat(F.lit("0000 "), text), F.lit("yyyy " + java))
@@ -55,7 +61,7 @@ def parse_layout(text: Column, layout: str) -> Column:
 def _micros(text: Column) -> Column:
     """Fractions of any length, after dot or comma, as six digits."""
     padded = F.regexp_replace(text, r"(:\d{2})[.,](\d{1,9})", "$1.$2000000")
-    return F.regexp_replace(padded, r"(:\d{2}\.\d{6})\d+", "$1")
+    return F.when(text.rlike("[.,]"), F.regexp_replace(padded, r"(:\d{2}\.\d{6})\d+", "$1")).otherwise(text)
 
 
 def infer_time(text: Column) -> Column:

@@ -7,13 +7,29 @@ from pyspark.sql import functions as F
 
 #: Decimal, infinite and not-a-number forms; no surrounding blanks, no type suffix.
 _NUMBER = r"\A[+-]?(?:(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))\z"
-#: Levels of nested objects and lists that are rendered; deeper ones stay JSON text.
-DEPTH = 3
+#: Hexadecimal forms need their binary exponent; digits may stand on either side of the point.
+_HEX = r"\A([+-]?)0[xX](?=\.?[0-9a-fA-F])([0-9a-fA-F]*)(?:\.([0-9a-fA-F]*))?[pP]([+-]?[0-9]+)\z"
+
+
+def _hex_float(text: Column) -> Column:
+    """A hexadecimal number: fifteen significant digits (a double holds fourteen at most) times a power of two."""
+    part = lambda i: F.regexp_extract(text, _HEX, i)
+    read = F.struct(part(1).alias("sign"), F.ltrim(F.concat(part(2), part(3)), F.lit("0")).alias("digits"), (part(4).cast("double") - 4 * F.length(part(3))).alias("power"))
+
+    def value(x: Column) -> Column:
+        lead = F.rpad(F.substring(x["digits"], 1, 15), 15, "0")
+        power = x["power"] + 4 * (F.length(x["digits"]) - 15)
+        half = F.floor(power / 2)  # two steps: neither overflows where the result doesn't
+        size = F.conv(lead, 16, 10).cast("double") * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
+        return F.when(x["sign"] == "-", -size).otherwise(size)
+
+    return F.get(F.transform(F.array(read), value), 0)
 
 
 def parse_float(text: Column) -> Column:
     """Double, or null where the text is no number; stricter than a cast (blanks and suffixes are refused)."""
-    return F.when(text.rlike(_NUMBER), F.regexp_replace(text, r"(?i)\A([+-]?)inf(?:inity)?\z", "$1Infinity").try_cast("double"))
+    plain = F.when(text.rlike(_NUMBER), F.regexp_replace(text, r"(?i)\A([+-]?)inf(?:inity)?\z", "$1Infinity").try_cast("double"))
+    return F.when(text.rlike(_HEX), _hex_float(text)).otherwise(plain)
 
 
 def _number_sql(double: str, n: int = 0) -> str:
@@ -40,24 +56,24 @@ def number_text(column: str) -> Column:
 _SHORT = r"^-?(?:0|[1-9][0-9]{0,5})(?:\.(?!0000)[0-9]{0,9}[1-9])?$"
 
 
-def _value_sql(value: str, depth: int) -> str:
-    x, t, k = f"x{depth}", f"x{depth}.t", f"x{depth}.k"
-    nested = ""
-    if depth:
-        e, v = f"e{depth}", f"v{depth}"
-        pairs = f"array_sort(map_entries(CAST({x}.v AS map<string,variant>)), (a, b) -> IF(a.key < b.key, -1, 1))"
-        nested = (
-            f"WHEN {k} LIKE 'OBJECT%' THEN concat('map[', array_join(transform({pairs}, {e} -> concat({e}.key, ':', {_value_sql(f'{e}.value', depth - 1)})), ' '), ']') "
-            f"WHEN {k} LIKE 'ARRAY%' THEN concat('[', array_join(transform(CAST({x}.v AS array<variant>), {v} -> {_value_sql(v, depth - 1)}), ' '), ']') "
-        )
-    shown = (
-        f"CASE WHEN {k} IS NULL OR {k} = 'VOID' THEN '<nil>' WHEN {k} IN ('STRING', 'BOOLEAN') THEN {t} {nested}"
-        f"WHEN {k} LIKE 'OBJECT%' OR {k} LIKE 'ARRAY%' OR rlike({t}, r'{_SHORT}') THEN {t} ELSE coalesce({_number_sql(f'try_cast({t} AS double)', depth)}, {t}) END"
-    )
-    return f"transform(array(named_struct('k', schema_of_variant({value}), 't', string({value}), 'v', {value})), {x} -> {shown})[0]"
-
-
-def value_texts(column: str, depth: int = DEPTH) -> Column:
+#: Parts of a JSON text: strings, punctuation, and numbers or names.
+_PART = r'"(?:[^"\\\\]++|\\\\.)*+"|[{}\\[\\],:]|[^"{}\\[\\],:\\s]++'
+
+
+def _number_or_name(text: str, n: int) -> str:
+    return f"IF(rlike({text}, r'{_SHORT}') OR {text} IN ('true', 'false'), {text}, coalesce({_number_sql(f'try_cast({text} AS double)', n)}, {text}))"
+
+
+def _nested_sql(json: str) -> str:
+    """SQL of a nested value's text.  Every part of the JSON text is rendered by itself, so any depth is."""
+    shown = f"CASE x WHEN '{{' THEN 'map[' WHEN '}}' THEN ']' WHEN ',' THEN ' ' WHEN '[' THEN x WHEN ']' THEN x WHEN ':' THEN x WHEN 'null' THEN '<nil>' ELSE IF(startswith(x, '\"'), string(parse_json(x)), {_number_or_name('x', 1)}) END"
+    return f"array_join(transform(regexp_extract_all({json}, '{_PART}', 0), x -> {shown}), '')"
+
+
+def value_texts(column: str) -> Column:
     """A map<string,variant> column with its JSON values as text: strings as they are, numbers shortest, null as <nil>,
-    objects as map[k:v ...] in key order, lists as [v ...]."""
-    return F.expr(f"transform_values({column}, (k, v) -> {_value_sql('v', depth)})")
+    objects as map[k:v ...] in key order, lists as [v ...], whatever their depth."""
+    plain = "IF(contains(j, '\\\\'), string(v), substring(j, 2, length(j) - 2))"
+    other = f"IF(j = 'null', '<nil>', IF(startswith(j, '{{') OR startswith(j, '['), {_nested_sql('j')}, {_number_or_name('j', 0)}))"
+    text = f"IF(startswith(j, '\"'), {plain}, {other})"
+    return F.expr(f"transform_values({column}, (k, v) -> transform(array(coalesce(to_json(v), 'null')), j -> {text})[0])")

@@ -124,25 +124,29 @@ def retry_letters(letters: DataFrame, now: Column) -> DataFrame:
 def output_metrics(batches: DataFrame, by: str = "output") -> DataFrame:
     """Per output: sums and averages of its batches (output, events, failed, bytes, latency_ms, seq)."""
     folded = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("seq", "latency_ms"))), lambda x: x["latency_ms"]), F.lit(0.0), lambda a, x: F.when(a == 0, x).otherwise((a + x) / 2))
+    last_failed = F.when(F.col("error").isNotNull(), F.struct("sent_at", "seq"))
     return batches.groupBy(by).agg(
         F.sum("events").alias("events_sent"), F.sum("failed").alias("events_failed"), F.sum("bytes").alias("bytes_sent"), F.count(F.lit(1)).alias("batches_sent"),
         (F.sum("events") / F.count(F.lit(1))).alias("avg_batch_size"), folded.alias("avg_latency_ms"), F.max("sent_at").alias("last_sent"),
-        F.max_by("error", F.when(F.col("error").isNotNull(), F.col("sent_at"))).alias("last_error"),
-    )
+        F.max_by("error", last_failed).alias("last_error"), F.max(last_failed).alias("last_error_at"),
+    ).withColumn("last_error_at", F.col("last_error_at.sent_at"))
 
 
-def router_metrics(outputs: DataFrame) -> DataFrame:
-    """All outputs together: sums, the mean of their means, the latest send and error."""
+def router_metrics(outputs: DataFrame, by: str = "output") -> DataFrame:
+    """All outputs together: sums, the mean of their means, the latest send and error (of equal times the last output's)."""
+    failed = F.when(F.col("last_error").isNotNull(), F.struct("last_error_at", by))
     return outputs.agg(
         F.sum("events_sent").alias("events_sent"), F.sum("events_failed").alias("events_failed"), F.sum("bytes_sent").alias("bytes_sent"), F.sum("batches_sent").alias("batches_sent"),
         F.avg("avg_batch_size").alias("avg_batch_size"), F.avg("avg_latency_ms").alias("avg_latency_ms"), F.max("last_sent").alias("last_sent"),
+        F.max_by("last_error", failed).alias("last_error"),
     )
 
 
-def overall_health(components: DataFrame) -> DataFrame:
-    """(status): the worst of all; healthy when there is none."""
+def overall_health(components: DataFrame, *by: str) -> DataFrame:
+    """(by, status): the worst of all components of each group; without groups healthy when there is none."""
     severity = F.when(F.col("status") == "unhealthy", 2).when(F.col("status") == "degraded", 1).otherwise(0)
-    return components.agg(F.element_at(F.array(F.lit("healthy"), F.lit("degraded"), F.lit("unhealthy")), F.coalesce(F.max(severity), F.lit(0)) + 1).alias("status"))
+    names = F.array(F.lit("healthy"), F.lit("degraded"), F.lit("unhealthy"))
+    return components.groupBy(*by).agg(F.element_at(names, F.coalesce(F.max(severity), F.lit(0)) + 1).alias("status"))
 
 
 def breaker_states(calls: DataFrame, by: str, failed: Column, order: str = "seq", ts: str = "ts", trips: int = 5, timeout: float = 60.0, interval: float = 60.0, probes: int = 1) -> DataFrame:

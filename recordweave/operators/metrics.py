@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regexes import translate
-from ..functions.values import parse_float
+from ..functions.values import number_text, parse_float
 
 # Bucket bounds.
 DEFAULT_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -94,12 +94,15 @@ def histogram(events: DataFrame, rule: MetricRule) -> DataFrame:
 
 
 def extract(events: DataFrame, rules: list[MetricRule], order: tuple[str, ...] = ("timestamp", "seq")) -> DataFrame:
-    """Long table (metric, labels, le, value) of all rules."""
+    """Long table (metric, labels, le, value) of all rules; a histogram also has the series <metric>_sum and <metric>_count."""
     out = None
     for rule in rules:
         labels = F.create_map(*[x for n in label_names(rule) for x in (F.lit(n), F.col(n))]) if label_names(rule) else F.create_map().cast("map<string,string>")
         if rule.kind == "histogram":
-            df = histogram(events, rule).select(F.lit(rule.metric).alias("metric"), labels.alias("labels"), "le", F.col("bucket_count").cast("double").alias("value"))
+            one = F.struct(F.lit(rule.metric).alias("metric"), "le", F.col("bucket_count").cast("double").alias("value"))
+            series = [F.struct(F.lit(f"{rule.metric}_{n}").alias("metric"), F.lit(None).cast("double").alias("le"), F.col(n).cast("double").alias("value")) for n in ("sum", "count")]
+            rows = F.explode(F.when(F.col("le") == float("inf"), F.array(one, *series)).otherwise(F.array(one))).alias("m")
+            df = histogram(events, rule).select(labels.alias("labels"), rows).select("m.metric", "labels", "m.le", "m.value")
         else:
             df = (counter(events, rule) if rule.kind == "counter" else gauge(events, rule, order)).select(F.lit(rule.metric).alias("metric"), labels.alias("labels"), F.lit(None).cast("double").alias("le"), "value")
         out = df if out is None else out.unionByName(df)
@@ -128,9 +131,21 @@ def histogram_quantile(buckets: DataFrame, q: float, by: tuple[str, ...] = ()) -
     return hit.select(*by, value.alias("quantile"))
 
 
+def _escaped(value: Column) -> Column:
+    """A label value for the exposition: backslash, quote and line end are escaped."""
+    return F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+
 def prometheus_text(metrics: DataFrame) -> DataFrame:
-    """(line) of the exposition format for a long metric table."""
-    pairs = F.concat(F.map_entries("labels"), F.when(F.col("le").isNotNull(), F.array(F.struct(F.lit("le").alias("key"), F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("string")).alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>")))
-    shown = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["key"], F.lit('="'), p["value"], F.lit('"'))), ",")
+    """(line) of the exposition format for a long metric table; numbers are the shortest text (10, 0.5, 1e+07)."""
+    m = metrics.withColumns({"__le": number_text("le"), "__value": number_text("value")})
+    bound = F.when(F.col("le").isNotNull(), F.array(F.struct(F.lit("le").alias("key"), F.col("__le").alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    pairs = F.concat(F.map_entries("labels"), bound)
+    shown = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["key"], F.lit('="'), _escaped(p["value"]), F.lit('"'))), ",")
     name = F.concat("metric", F.when(F.col("le").isNotNull(), "_bucket").otherwise(""))
-    return metrics.select(F.concat(name, F.when(shown != "", F.concat(F.lit("{"), shown, F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string")).alias("line"))
+    return m.select(F.concat(name, F.when(shown != "", F.concat(F.lit("{"), shown, F.lit("}"))).otherwise(""), F.lit(" "), F.col("__value")).alias("line"))
+
+
+def type_lines(rules: list[MetricRule]) -> list[str]:
+    """What the exposition says before the series of each metric: its help and its kind."""
+    return [x for r in rules for x in (f"# HELP {r.metric} Extracted metric: {r.name}", f"# TYPE {r.metric} {r.kind}")]

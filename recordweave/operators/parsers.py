@@ -71,6 +71,21 @@ def normal_level(level: Column) -> Column:
     return F.coalesce(F.try_element_at(table, level), level)
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a costly column that is computed once a row, whatever later steps do with it.
+
+    The optimiser copies a projection's expressions into filters that it pushes below (and into what an explode
+    implies); it doesn't copy a generator's.  Filters on other columns still reach the scan.
+    """
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def explode_fields(events: DataFrame, *columns: str) -> DataFrame:
+    """(columns, key, value): a row for each field of each event.  The null row of an event without fields is dropped
+    after the explode, so no filter on the fields' size makes the plan compute them twice."""
+    return events.select(*columns, F.explode_outer("fields").alias("key", "value")).where("key is not null")
+
+
 def _literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv]).cast("map<string,string>") if values else F.create_map().cast("map<string,string>")
 
@@ -93,8 +108,7 @@ def _from_groups(rows: DataFrame, spec: ParserSpec, pattern: Pattern, time: str,
     line, now = F.col("__line"), F.col("__now")
     special = {x for x in (time, level, message) if x}
     wanted = tuple(n for n in pattern.names if n in special or ((not spec.keep or n in spec.keep) and n not in spec.drop))
-    # Intermediate columns: the optimiser keeps a costly projection apart, so the match runs once a row.
-    rows = rows.withColumn("__groups", capture(line, pattern, wanted))
+    rows = once(rows, "__groups", capture(line, pattern, wanted))
     groups = F.col("__groups")
     get = lambda name: F.try_element_at(groups, F.lit(name)) if name in pattern.names else F.lit(None).cast("string")
     rows = rows.withColumn("__time", (parse_layout(get(time), spec.time_format) if spec.time_format else infer_time(get(time))) if time else F.lit(None).cast("timestamp"))
@@ -128,8 +142,7 @@ def _json(rows: DataFrame, spec: ParserSpec) -> DataFrame:
     looked = list(dict.fromkeys([*level_keys, *MESSAGE_KEYS, *(x for x in (spec.message_field, spec.time_field) if x)]))
     name = {k: f"__s{i}" for i, k in enumerate(looked)}
     element = lambda k: F.try_element_at(values, F.lit(k))
-    # Three projections, each costly part once a row: the document, the strings that are looked at, the event.
-    rows = rows.withColumn("__values", F.from_json(line, "map<string,variant>"))
+    rows = once(rows, "__values", F.from_json(line, "map<string,variant>"))
     rows = rows.withColumns({name[k]: F.when(F.schema_of_variant(element(k)) == "STRING", element(k).cast("string")) for k in looked})
     string = lambda k: F.col(name[k])
     first_key = lambda keys, get: F.coalesce(*[F.when(get(k).isNotNull(), F.lit(k)) for k in keys])
@@ -144,16 +157,16 @@ def _json(rows: DataFrame, spec: ParserSpec) -> DataFrame:
         F.when(filled(own).isNull(), probed_key) if own else probed_key,
         F.when(F.col("__time").isNotNull(), F.lit(spec.time_field)) if spec.time_field else nothing,
     )
-    rows = rows.withColumn("__taken", F.array_compact(taken))
     wanted = lambda k: (k.isin(*spec.keep) if spec.keep else F.lit(True)) & (~k.isin(*spec.drop) if spec.drop else F.lit(True))
-    rows = rows.withColumn("__left", F.map_filter(values, lambda k, v: ~F.array_contains("__taken", k) & wanted(k)))
+    # Bound by a transform: a plain column would be copied into the lambda and computed for every key.
+    rows = rows.withColumn("__left", F.get(F.transform(F.array(F.array_compact(taken)), lambda t: F.map_filter(values, lambda k, v: ~F.array_contains(t, k) & wanted(k))), 0))
     fields = value_texts("__left")
     fields = F.map_concat(fields, _literal_map(spec.custom_fields)) if spec.custom_fields else fields
     message = F.coalesce(*([filled(own)] if own else []), *[filled(k) for k in MESSAGE_KEYS], line)
     timestamp = F.when(time.isNull(), now).otherwise(F.coalesce("__time", F.lit(ZERO_TIME).cast("timestamp")))
     level = F.coalesce(normal_level(F.coalesce(*[string(k) for k in level_keys])), F.lit(""))
     out = _with_event(rows, (line != "") & values.isNotNull(), timestamp, message, level, fields)
-    return out.drop("__values", "__time", "__taken", "__left", *name.values())
+    return out.drop("__values", "__time", "__left", *name.values())
 
 
 _KINDS: dict[str, Parser] = {"regex": _regex, "json": _json, "grok": _grok}

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.regexes import translate
+from ..functions.regexes import compile_python
 from ..operators.multiline import MultilineSpec
 
 
@@ -23,9 +23,7 @@ class Records(StatefulProcessor):
         self.spec = spec
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        import re
-
-        self.compiled = re.compile(self.spec.pattern)
+        self.compiled = compile_python(self.spec.pattern)
         self.handle = handle
         self.state = handle.getValueState("open", "lines array<string>, last double")
 
@@ -73,7 +71,7 @@ class Records(StatefulProcessor):
 
 def multiline_stream(lines: DataFrame, spec: MultilineSpec) -> DataFrame:
     """(source, line, n_lines) of a stream of (source, seq, ts, line).  Needs the RocksDB state store."""
-    translate(spec.pattern)  # refuses what only one engine reads
+    compile_python(spec.pattern)  # refuses what only one engine reads
     slim = lines.selectExpr("source", "seq", "cast(ts AS double) AS t", "line")
     return slim.groupBy("source").transformWithStateInPandas(Records(spec), "source string, line string, n_lines int", "Append", "ProcessingTime")
 

@@ -101,3 +101,73 @@ def test_ipv6_in_ip(spark):
 def test_unknown_parser(spark):
     with pytest.raises(ValueError):
         one(spark, "x", ParserSpec("nope"))
+
+
+def test_a_filter_or_explode_does_not_copy_the_parse(spark):
+    from recordweave.operators.parsers import explode_fields
+
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("props AS line", "ts", "event_id AS day")
+    for spec, mark in ((ParserSpec("json"), "from_json"), (ParserSpec("regex", pattern=r"^(?P<a>\S+) (?P<b>\S+) (?P<c>\S+)$"), "regexp_replace(__line")):
+        out = parse(df, spec)
+        for used in (out.where("level = 'error' and size(fields) > 0 and not is_error and day = 7"), explode_fields(out, "raw"), out.selectExpr("explode(fields)")):
+            plan = used._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count(mark) == 1, plan[:2000]
+    plan = parse(df, ParserSpec("json")).where("day = 5 and level = ''")
+    assert "PushedFilters: [IsNotNull(event_id), EqualTo(event_id,5)]" in plan._jdf.queryExecution().toString()
+
+
+def test_nested_values_of_any_depth(spark):
+    line = '{"a":{"z":[1,2.50,{"q":{"r":{"s":[null,true,"x\\"y, {b}"]}}}],"b":1e21},"e":[],"o":{},"n":-0.00001}'
+    df = spark.createDataFrame([(line,)], "line string").selectExpr("line", "current_timestamp() AS ts")
+    fields = parse(df, ParserSpec("json")).first()["fields"]
+    assert fields == {"a": 'map[b:1e+21 z:[1 2.5 map[q:map[r:map[s:[<nil> true x"y, {b}]]]]]]', "e": "[]", "o": "map[]", "n": "-1e-05"}
+
+
+@pytest.mark.parametrize(("text", "value"), [("0x1p4", 16.0), ("-0X1.8p1", -3.0), ("0x.8p0", 0.5), ("0x1.fffffffffffffp1023", 1.7976931348623157e308), ("0x1p-1074", 5e-324), ("0x10", None), ("0xp1", None), ("0x0p9", 0.0)])
+def test_hexadecimal_numbers(spark, text, value):
+    from recordweave.functions.values import parse_float
+
+    assert spark.createDataFrame([(text,)], "t string").select(parse_float(F.col("t"))).first()[0] == value
+
+
+@pytest.mark.parametrize("pattern", [r"^\S+ end$", r"[[:alpha:]]+\d", r"(?i)START", r"a\z", r"\bx\b", r"[^\s]x"])
+def test_streams_match_as_batches_do(spark, pattern):
+    from recordweave.functions.regexes import compile_python, matches, translate
+
+    texts = ["one end", "one end\n", "é end", "é1", "b1", "start", "START", "a", "a\n", "éxé", "x", "\x0bx", " x", "\xa0x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    batch = [r[0] for r in df.select(matches(F.col("t"), translate(pattern))).collect()]
+    assert [compile_python(pattern).search(t) is not None for t in texts] == batch
+
+
+def test_exposition_text(spark):
+    from recordweave.operators.metrics import MetricRule, extract, prometheus_text, type_lines
+
+    df = spark.createDataFrame([({"d": "3", "k": 'a"b\\c\nd'},), ({"d": "30000000", "k": 'a"b\\c\nd'},)], "fields map<string,string>").selectExpr("fields", "1L AS timestamp", "1L AS seq")
+    rules = [MetricRule("d", "histogram", "d", label_fields={"kind": "k"}, buckets=(10.0, 1e7))]
+    label = 'kind="a\\"b\\\\c\\nd"'
+    assert sorted(r[0] for r in prometheus_text(extract(df, rules)).collect()) == sorted([
+        f'extracted_d_bucket{{{label},le="10"}} 1', f'extracted_d_bucket{{{label},le="1e+07"}} 1', f'extracted_d_bucket{{{label},le="+Inf"}} 2', f"extracted_d_sum{{{label}}} 3.0000003e+07", f"extracted_d_count{{{label}}} 2",
+    ])
+    assert type_lines(rules)[-1] == "# TYPE extracted_d histogram"
+
+
+def test_parser_counts(spark):
+    from recordweave.operators.parsers import parser_stats
+
+    df = spark.createDataFrame([("x y z",), ("",)], "line string").selectExpr("line", "current_timestamp() AS ts")
+    assert parser_stats(parse(df)).first().asDict() == {"parsed": 1, "failed": 1}
+
+
+def test_secrets_and_jitter(tmp_path, monkeypatch):
+    import random
+
+    from recordweave.functions.checks import jittered, secret
+
+    monkeypatch.setenv("RW_TEST", "v")
+    (tmp_path / "s").write_text(" hidden \n")
+    assert [secret("env:RW_TEST"), secret(f"file:{tmp_path / 's'}"), secret("plain")] == ["v", "hidden", "plain"]
+    with pytest.raises(KeyError):
+        secret("env:RW_NOT_SET")
+    waits = [jittered(10.0, random.Random(i)) for i in range(200)]
+    assert 9 <= min(waits) < 9.3 and 10.7 < max(waits) <= 11
