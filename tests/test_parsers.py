@@ -107,7 +107,7 @@ def test_a_filter_or_explode_does_not_copy_the_parse(spark):
     from recordweave.operators.parsers import explode_fields
 
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("props AS line", "ts", "event_id AS day")
-    for spec, mark in ((ParserSpec("json"), "from_json"), (ParserSpec("regex", pattern=r"^(?P<a>\S+) (?P<b>\S+) (?P<c>\S+)$"), "regexp_replace(__line")):
+    for spec, mark in ((ParserSpec("json"), "from_json"), (ParserSpec("regex", pattern=r"^(?P<a>\S+) (?P<b>\S+) (?P<c>\S+)$", level_field="a"), "regexp_replace(__line")):
         out = parse(df, spec)
         for used in (out.where("level = 'error' and size(fields) > 0 and not is_error and day = 7"), explode_fields(out, "raw"), out.selectExpr("explode(fields)")):
             plan = used._jdf.queryExecution().optimizedPlan().toString()
