@@ -4,6 +4,10 @@ A trigger is the position of the least rolling hash (leftmost on ties) among the
 MATCH bytes.  Consecutive windows with one trigger make a phrase: the bytes that these windows cover.  Whatever MATCH
 bytes two texts share, both parse them with the same trigger at the same place, so equal windows always lie in phrases
 of one trigger string, and comparing phrases trigger by trigger misses nothing.
+
+A string that very many phrases would have as their trigger makes a poor one.  Such strings can be given as ``common``:
+they come last in the order, so a window has one as its trigger only where it holds nothing else.  The trigger still
+follows from the window's bytes alone.
 """
 
 from __future__ import annotations
@@ -11,15 +15,19 @@ from __future__ import annotations
 MATCH, TRIGGER = 50, 20
 _WINDOW = MATCH - TRIGGER + 1
 _BASE = 0x9E3779B97F4A7C15
-_PLACE_BITS = 28
+#: Bytes parsed at a time.  A longer text is parsed in pieces that overlap by MATCH - 1 bytes: a phrase may end at their
+#: border, which only makes two phrases of one trigger out of one.
+PIECE = 1 << 22
+_PLACE_BITS = 23
 
 
 class Parser:
     """Parses many texts at once; arrays for powers grow with the longest buffer."""
 
-    def __init__(self, seed: int = 77):
+    def __init__(self, seed: int = 77, common=()):
         import numpy as np
 
+        self.common = np.sort(np.asarray(common, np.uint64))
         draw = np.random.default_rng(seed)
         self.codes = draw.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         self.up = self.down = np.ones(1, np.uint64)
@@ -55,10 +63,21 @@ class Parser:
     def parse(self, texts: list[bytes]):
         """(text index, start in the text, windows, trigger hash, phrase hash) of all phrases, in order; all arrays.
 
-        Texts of less than MATCH bytes have none.
+        Texts of less than MATCH bytes have none.  Together the texts hold PIECE bytes at most, or it is one text.
         """
         import numpy as np
 
+        if len(texts) == 1 and len(texts[0]) > PIECE:
+            parts = []
+            for at in range(0, len(texts[0]) - MATCH + 1, PIECE - MATCH + 1):
+                text, start, *rest = self._parse([texts[0][at : at + PIECE]])
+                parts.append((text, start + at, *rest))
+            return tuple(map(np.concatenate, zip(*parts, strict=True)))
+        return self._parse(texts)
+
+    def _parse(self, texts: list[bytes]):
+        import numpy as np
+
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         data = np.frombuffer(b"".join(texts), np.uint8)
         n = len(data)
@@ -73,6 +92,9 @@ class Parser:
         x ^= x >> np.uint64(29)
         place = np.uint64((1 << _PLACE_BITS) - 1)
         least = (x & ~place) | np.arange(grams, dtype=np.uint64)
+        if len(self.common):
+            near = self.common[np.minimum(np.searchsorted(self.common, x), len(self.common) - 1)] == x
+            least[near] |= ~place
         width = 1
         while 2 * width <= _WINDOW:
             least = np.minimum(least[:-width], least[width:])
@@ -100,8 +122,8 @@ class Parser:
         return text, start - begin[text], count, x[trigger[start]], phrase
 
 
-def windows_of(pieces: list[bytes], parser: Parser):
-    """Two hashes of every MATCH-byte window of the pieces, and the piece and offset of each; all arrays."""
+def suffixes_of(pieces: list[bytes]):
+    """The suffixes of MATCH bytes and more of the pieces: their first MATCH bytes, and the piece and offset of each."""
     import numpy as np
 
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -110,9 +132,8 @@ def windows_of(pieces: list[bytes], parser: Parser):
     counts = np.maximum(lengths - MATCH + 1, 0)
     piece = np.repeat(np.arange(len(pieces)), counts)
     offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = begin[piece] + offset
-    out = []
-    for p in (parser, Parser(78)):
-        sums = p.sums(data)
-        out.append(p.hashes(sums, start, MATCH))
-    return out[0], out[1], piece, offset
+    if not len(piece):
+        return np.empty((0, 7), ">u8"), piece, offset
+    head = np.zeros((len(piece), 56), np.uint8)
+    head[:, :MATCH] = np.lib.stride_tricks.sliding_window_view(data, MATCH)[begin[piece] + offset]
+    return head.view(">u8"), piece, offset

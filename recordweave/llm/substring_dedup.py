@@ -1,16 +1,22 @@
 """Exact substring deduplication by prefix-free parsing.
 
-Rolling-hash triggers parse every text into phrases (see phrases.py).  The distinct phrases are the dictionary, kept
-with the first document that holds each; the parse of a document is its sequence of phrases.  Only the order of
-suffixes up to MATCH bytes matters here, and equal windows lie under equal triggers, so the suffix order of the corpus
-falls apart by trigger:
-
-* a phrase that an earlier document also holds is a repeat from end to end: nothing has to be sorted;
-* under a trigger with several phrases, the suffixes of the dictionary phrases (their MATCH-byte windows) are sorted,
-  and neighbours that agree on MATCH bytes get their first document.  Each distinct phrase enters once, whatever the
-  number of documents that hold it, which is what makes highly repetitive text cheap.
-
-Verdicts go back to documents by phrase hash; a document parses its text again to place them.
+Rolling-hash triggers parse every text into phrases (see phrases.py); neighbours overlap by MATCH - 1 bytes.  The distinct
+phrases are the dictionary; the parse of a document is its sequence of phrases.  As in any prefix-free parsing, the order
+of the corpus' suffixes follows from two smaller ones: suffixes of dictionary phrases, and suffixes of the parse where
+dictionary suffixes are equal.  Every suffix of the corpus has its first MATCH bytes inside one phrase, and only whether
+MATCH bytes agree matters here, so both are needed to a depth only:
+
+* the parse is ordered by phrase, then document (its suffixes to the depth of one phrase): the first entry of a phrase is
+  the first document that holds it, and a later document that holds it too repeats it from end to end;
+* the suffix array of the dictionary is ordered by bytes to the depth of MATCH.  It falls apart by trigger, since equal
+  suffixes lie under equal triggers, and triggers with one phrase, or one document, need none.  Each distinct phrase
+  enters once, whatever the number of documents that hold it, which makes highly repetitive text cheap.
+
+Combined, the corpus order is that of dictionary suffixes, each with the parse's entries of its phrase: a run of suffixes
+that agree on MATCH bytes has its first document at its head, and what other documents hold of the run goes.
+
+Verdicts go back to documents by phrase; a document parses its text again to place them.  Strings that would be the
+trigger of very many phrases are found on a sample and demoted, so no trigger gathers a share of the corpus.
 """
 
 from __future__ import annotations
@@ -21,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, session_of, small_batches, text_bytes
-from .phrases import MATCH, Parser, windows_of
+from .phrases import MATCH, Parser, suffixes_of
 
 #: Text bytes whose phrases share a bucket (about 1.2 million records, some 40 MB in a worker).
 BUCKET_BYTES = 20 << 20
-#: Text bytes parsed at a time; a longer text is parsed alone.
+#: Text bytes parsed at a time; a longer text is parsed alone, in pieces.
 CHUNK = 1 << 19
+#: Documents (about so many at least, and of all the share) whose phrases show common triggers, the distinct phrases there
+#: that make a trigger common, and the most triggers that are demoted (those of most phrases).  Any choice gives the same
+#: result; it only deals the work.
+SAMPLE, SAMPLE_SHARE, COMMON, MOST_COMMON = 20_000, 0.002, 50, 10_000
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -41,7 +51,32 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def _phrases(rows: DataFrame, buckets: int) -> DataFrame:
+def common_triggers(rows: DataFrame, total_rows: int) -> list[int]:
+    """Triggers of very many distinct phrases in a sample of documents, as signed numbers (a bounded list)."""
+    share = max(SAMPLE_SHARE, min(1.0, SAMPLE / max(total_rows, 1)))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        parser = Parser()
+        for batch in batches:
+            texts = text_bytes(batch.column(0))
+            for begin, end in chunks(texts):
+                _, _, _, trigger, phrase = parser.parse(texts[begin:end])
+                pairs = np.unique(np.stack([trigger, phrase], 1), axis=0) if len(trigger) else np.empty((0, 2), np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].view(np.int64) if len(pairs) else [], pa.int64()) for i in (0, 1)], ["trigger", "phrase"])
+
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    found = sample.mapInArrow(run, "trigger long, phrase long").distinct().groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    return [r["trigger"] for r in found.orderBy(F.desc("n"), "trigger").limit(MOST_COMMON).collect()]
+
+
+def _unsigned(numbers: list[int]) -> list[int]:
+    return [n % (1 << 64) for n in numbers]
+
+
+def _phrases(rows: DataFrame, buckets: int, common: list[int]) -> DataFrame:
     """Packed records of each bucket: distinct phrases of a batch with their first document, and local verdicts.
 
     A phrase that an earlier document of the same batch holds is decided on the spot, so a phrase that very many
@@ -52,7 +87,7 @@ def _phrases(rows: DataFrame, buckets: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        parser, names = Parser(), ["bucket", "local", "triggers", "phrases", "places", "docs"]
+        parser, names = Parser(common=_unsigned(common)), ["bucket", "local", "triggers", "phrases", "places", "docs"]
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), text_bytes(batch.column(1))
             parts = []
@@ -171,14 +206,14 @@ def _by_document(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("part").applyInArrow(run, "id long, repeats array<long>, compared array<long>")
 
 
-def _pieces(joined: DataFrame, buckets: int) -> DataFrame:
+def _pieces(joined: DataFrame, buckets: int, common: list[int]) -> DataFrame:
     """The dictionary phrases to compare, with their bytes: (bucket, doc_id, phrase, piece)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        parser = Parser()
+        parser = Parser(common=_unsigned(common))
         for batch in batches:
             ids, texts, wanted = batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()
             out: list[list] = [[], [], [], []]
@@ -197,19 +232,20 @@ def _pieces(joined: DataFrame, buckets: int) -> DataFrame:
     return joined.mapInArrow(run, "bucket int, doc_id long, phrase long, piece binary")
 
 
-def _sorted_windows(pieces: DataFrame) -> DataFrame:
-    """Sorts the suffixes of a bucket's dictionary phrases; (doc_id, phrases, masks): bit i marks the i-th window."""
+def _suffix_array(pieces: DataFrame) -> DataFrame:
+    """Orders the suffixes of a bucket's dictionary phrases by their bytes, then by document; (doc_id, phrases, masks): bit i
+    marks a phrase's i-th suffix as one that an earlier document holds."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
         doc, phrase = table.column("doc_id").to_numpy(), table.column("phrase").to_numpy()
-        one, two, piece, offset = windows_of(table.column("piece").to_pylist(), Parser())
-        order = np.lexsort((doc[piece], two, one))
-        one, two, piece, offset = one[order], two[order], piece[order], offset[order]
-        fresh = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])) if len(one) else np.empty(0, bool)
-        repeated = doc[piece] > doc[piece][np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(one) else fresh
+        head, piece, offset = suffixes_of(table.column("piece").to_pylist())
+        order = np.lexsort((doc[piece], *(head[:, i] for i in range(head.shape[1] - 1, -1, -1))))
+        head, piece, offset = head[order], piece[order], offset[order]
+        fresh = np.append(True, (head[1:] != head[:-1]).any(1)) if len(head) else np.empty(0, bool)
+        repeated = doc[piece] > doc[piece][np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(head) else fresh
         masks = np.zeros(len(doc), np.int64)
         np.bitwise_or.at(masks, piece[repeated], np.left_shift(np.int64(1), offset[repeated]))
         hit = masks != 0
@@ -218,21 +254,21 @@ def _sorted_windows(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("bucket").applyInArrow(run, "doc_id long, phrases array<long>, masks array<long>")
 
 
-def _removed(joined: DataFrame, kind: str) -> DataFrame:
+def _removed(joined: DataFrame, kind: str, common: list[int]) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import hashlib
 
         import numpy as np
         import pyarrow as pa
 
-        parser = Parser()
+        parser = Parser(common=_unsigned(common))
         for batch in batches:
             texts = text_bytes(batch.column(1))
             repeats, phrases, masks = (batch.column(i).to_pylist() for i in (2, 3, 4))
             n_removed, n_spans, digest = [], [], []
             for begin, end in chunks(texts):
                 busy = [i for i in range(begin, end) if repeats[i] or phrases[i]]
-                text, start, count, _, phrase = parser.parse([texts[i] for i in busy])
+                text, start, count, _, phrase = parser.parse([texts[i] for i in busy])  # one text, or few bytes
                 edges = np.searchsorted(text, np.arange(len(busy) + 1))
                 place = {i: k for k, i in enumerate(busy)}
                 for i in range(begin, end):
@@ -278,17 +314,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     small_batches(spark)
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets = max(1, -(-total // BUCKET_BYTES))
     numbered = rows.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
 
-    replies = _by_document(cut(_decide(_phrases(numbered, buckets), buckets)))
+    common = common_triggers(numbered, count)
+    replies = _by_document(cut(_decide(_phrases(numbered, buckets, common), buckets)))
 
     # Both joins below shuffle the same texts the same way, so Spark shuffles them once.
     joined = numbered.join(replies, F.col("doc_id") == F.col("id"), "left")
-    dictionary = _pieces(joined.where(F.size("compared") > 0).select("id", "text", "compared"), buckets)
-    windows = _sorted_windows(dictionary).groupBy(F.col("doc_id").alias("id2")).agg(*[F.flatten(F.collect_list(n)).alias(n) for n in ("phrases", "masks")])
+    dictionary = _pieces(joined.where(F.size("compared") > 0).select("id", "text", "compared"), buckets, common)
+    windows = _suffix_array(dictionary).groupBy(F.col("doc_id").alias("id2")).agg(*[F.flatten(F.collect_list(n)).alias(n) for n in ("phrases", "masks")])
     final = joined.join(windows, F.col("id") == F.col("id2"), "left").select("doc_id", "text", "repeats", "phrases", "masks")
     nameless = rows.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", *[F.lit(None).cast("array<long>").alias(c) for c in ("repeats", "phrases", "masks")])
-    out = _removed(final, "long").unionByName(_removed(nameless, "long"))
+    out = _removed(final, "long", common).unionByName(_removed(nameless, "long", common))
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -244,3 +244,48 @@ def test_pipeline(spark, documents):
     final = docs.collect()
     assert all("<EMAIL>" in r.text and "@" not in r.text and len(r.ids) > 0 for r in final)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and len(corpus_pipeline.STAGES) == 5
+
+
+def brute_repeats(rows):
+    """(n_bytes, n_removed, n_spans, kept_sha256) of rows with unique ids."""
+    first, out = {}, {}
+    for i, t, _ in rows:
+        data = t.encode()
+        for p in range(len(data) - 49):
+            w = data[p : p + 50]
+            first[w] = min(first.get(w, i), i)
+    for i, t, _ in rows:
+        data = t.encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - 49):
+            if first[data[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(data, gone, strict=True) if not g)
+        out[i] = (len(data), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_repeats_around_a_string_that_all_documents_hold(documents):
+    from recordweave.llm.substring_dedup import common_triggers
+
+    draw = random.Random(21)
+    noise = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    common = noise(45)  # below MATCH: a trigger, but never a repeat by itself
+    rows = [(i, noise(draw.randint(20, 60)) + common + noise(draw.randint(20, 60)), "s") for i in range(300)]
+    rows += [(300 + i, noise(30) + rows[i][1][draw.randint(0, 9) :] + noise(30), "s") for i in range(60)]
+    df = documents(rows)
+    assert common_triggers(df.select("doc_id", "text"), 360)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect()}
+    assert found == brute_repeats(rows)
+
+
+def test_repeats_in_texts_longer_than_a_piece(documents, monkeypatch):
+    from recordweave.llm import phrases
+
+    monkeypatch.setattr(phrases, "PIECE", 300)  # functions travel by value, so workers see it too
+    draw = random.Random(22)
+    noise = lambda n: "".join(draw.choice("abc") for _ in range(n))
+    shared = [noise(200) for _ in range(6)]
+    rows = [(i, "".join(noise(draw.randint(0, 90)) + draw.choice(shared) for _ in range(draw.randint(1, 12))), "s") for i in range(40)]
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(documents(rows)).collect()}
+    assert found == brute_repeats(rows)
