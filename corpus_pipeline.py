@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordweave.llm.common import cut
+from recordweave.llm.common import cut, unused
 from recordweave.llm.line_quality import clean_documents
 from recordweave.llm.mixing import mixed_documents
-from recordweave.llm.near_duplicates import near_duplicates
+from recordweave.llm.near_duplicates import without_near_duplicates
 from recordweave.llm.pieces import decode, encode
 from recordweave.llm.private_data import redact
 
@@ -26,8 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id (five-word shingles, similarity 0.8)."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return without_near_duplicates(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +35,21 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (0 to 3 times)."""
+    """Documents as often as the mix takes them (0 to 3 times); null and empty texts have nothing to take and go."""
     return mixed_documents(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the piece ids of their texts, and whether decoding the ids gives the text back."""
+    """Documents with the piece ids of their texts, and whether decoding the ids gives the text back.
+
+    Null text has null ids, an empty one none.  Columns named ids and round_trip are replaced; others stay.
+    """
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = decode(encode(docs, model), model, text="__decoded")
-    return coded.withColumn("round_trip", F.col("__decoded").eqNullSafe(F.col("text"))).drop("__decoded")
+    (decoded,) = unused(docs, "__decoded")
+    coded = decode(encode(docs, model), model, text=decoded)
+    return coded.withColumn("round_trip", F.col(decoded).eqNullSafe(F.col("text"))).drop(decoded)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

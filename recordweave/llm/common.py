@@ -26,16 +26,30 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared checkpoint folder and cuts its lineage.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir.  Only where that is unset (tests, local
-    runs) a temporary folder is taken.  A lost executor loses nothing: the files are in shared storage.
+    The folder is the one that the cluster names in spark.checkpoint.dir.  Only a local master (tests) may leave that
+    unset and gets a temporary folder.  A lost executor loses nothing: the files are in shared storage.
     """
     spark = session_of(df)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordweave-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="recordweave-"))
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that ``df`` has already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

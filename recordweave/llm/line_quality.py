@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, session_of, small_batches, text_bytes
+from .common import cut, session_of, small_batches, text_bytes, unused
 from .near_duplicates import SIGNATURE, Shingler
 
 #: A host's line in more independent documents than this is removed; on large hosts, in more than this share of the
@@ -231,15 +231,17 @@ def clean_documents(
     """``docs`` without the rejected documents, and the others without lines above the limit; all columns stay.
 
     n_chars, where there is one, follows the text.  Each row is judged as in ``line_quality``, whatever its id: a verdict
-    follows from host and text alone, so it is joined by their hash.
+    follows from host and text alone, so it is joined by their hash.  Null or empty texts have no words and go.  Extra
+    columns stay, whatever their names; an empty table stays empty.
     """
+    key_name, of_name, drop_name = unused(docs, "__key", "__of", "__drop")
     host_key = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))
     keyed = F.md5(F.concat(F.length(host_key).cast("string"), F.lit(":"), host_key, F.coalesce(F.col(text), F.lit(""))).cast("binary"))
-    measured = _measured(docs.select(keyed.alias("__key"), F.col(text), F.col(host)), "__key", text, host)
+    measured = _measured(docs.select(keyed.alias("key"), F.col(text).alias("text"), F.col(host).alias("host")), "key", "text", "host")
     lost = _frequent_lines(measured, max_documents).groupBy("row").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("drop"))
-    kept = _judged(measured, lost, least_left).where("kept").groupBy("doc_id").agg(F.first("drop").alias("__drop"))
+    kept = _judged(measured, lost, least_left).where("kept").groupBy("doc_id").agg(F.first("drop").alias(drop_name))
     # As binary on both sides: the join deals both anew, so Spark can split the rows of a text that very many hold.
-    joined = docs.withColumn("__of", F.unhex(keyed)).join(kept.select(F.unhex("doc_id").alias("__key"), "__drop"), F.col("__of") == F.col("__key"))
+    joined = docs.withColumn(of_name, F.unhex(keyed)).join(kept.select(F.unhex("doc_id").alias(key_name), drop_name), F.col(of_name) == F.col(key_name))
     at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator) -> Iterator:
@@ -252,7 +254,7 @@ def clean_documents(
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = joined.select(*names, "__drop").mapInArrow(run, docs.schema)
+    out = joined.select(*names, drop_name).mapInArrow(run, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
     return out

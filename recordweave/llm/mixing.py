@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, unused, word_count
 
 #: Weights of the sources in code-point order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -73,11 +73,15 @@ def mixed_documents(
     weights: tuple[int, ...] = WEIGHTS,
     repeats: int = MAX_REPEATS,
 ) -> DataFrame:
-    """The rows of ``docs`` as often as ``mix_sources`` takes each of them, whatever their ids; all columns stay."""
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    times = _times(rows, doc_id, text, source, weights, repeats, F.col("__row")).where("times > 0").select("row", "times")
-    taken = rows.join(times, F.col("__row") == times["row"]).select(*[rows[c] for c in docs.columns], times["times"].alias("__times"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("__times", F.lit(1))))).select(*docs.columns)
+    """The rows of ``docs`` as often as ``mix_sources`` takes each of them, whatever their ids; all columns stay.
+
+    Empty and null texts have nothing to take and go.  Extra columns may have any name; an empty table stays empty.
+    """
+    row, place, times_name, copy = unused(docs, "__row", "__place", "__times", "__copy")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    times = _times(rows, doc_id, text, source, weights, repeats, F.col(row)).where("times > 0").select(F.col("row").alias(place), F.col("times").alias(times_name))
+    taken = rows.join(times, F.col(row) == F.col(place))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.greatest(times_name, F.lit(1))))).select(*docs.columns)
 
 
 def _times(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[int, ...], repeats: int, row: Column | None = None) -> DataFrame:

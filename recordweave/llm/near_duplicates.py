@@ -94,8 +94,13 @@ class Shingler:
         return best.tobytes()
 
 
+def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, mark, text): the text's hash tells rows apart that share an id or have none."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(doc_id, n_shingles, key1, key2, signature) of every row."""
+    """(doc_id, mark, n_shingles, key1, key2, signature) of every row."""
     small_batches(session_of(docs))
     kind = dict(docs.dtypes)[doc_id]
 
@@ -107,17 +112,16 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
         shingler = Shingler(size)
         for batch in batches:
             n, keys, signature = [], [], []
-            for t in text_bytes(batch.column(1)):
+            for t in text_bytes(batch.column(2)):
                 s = shingler.shingles(t)
                 n.append(len(s))
                 keys.append(xxh3_128_digest(s.tobytes()))
                 signature.append(shingler.signature(s) if len(s) else None)
             both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(signature, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "key1", "key2", "signature"])
+            arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(signature, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "mark", "n_shingles", "key1", "key2", "signature"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, key1 long, key2 long, signature binary")
+    return _named(docs, doc_id, text).mapInArrow(run, f"doc_id {kind}, mark long, n_shingles long, key1 long, key2 long, signature binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -155,9 +159,9 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _shingle_sets(wanted: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(cid, members): the packed shingle sets of the wanted classes (cid, doc_id, key1, key2), made of the texts again."""
-    wanted = wanted.select("cid", F.col("doc_id").alias("want"), "key1", "key2")
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("want"))).select("cid", "key1", "key2", "text")
+    """(cid, members): the packed shingle sets of the wanted classes (cid, doc_id, mark, key1, key2), made of the texts again."""
+    wanted = wanted.select("cid", F.col("doc_id").alias("want"), F.col("mark").alias("marked"), "key1", "key2")
+    texts = _named(docs, doc_id, text).join(wanted, F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("mark") == F.col("marked"))).select("cid", "key1", "key2", "text")
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -304,6 +308,11 @@ def _cross_links(members: DataFrame, payload: DataFrame, percent: int) -> DataFr
     return cut(dealt.mapInArrow(run, "a long, b long"))
 
 
+def _order():
+    """Which row stands for others: the smallest id (none comes last), then the smallest hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``.
 
@@ -312,9 +321,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     share an id each take part with their own text.  A null id takes part, but never names a component with others
     (nulls are passed over by the minimum).  An empty table gives no rows.  Other columns are not read.
     """
+    out = _components(docs, doc_id, text, shingle, percent)
+    component = F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component; all columns stay.
+
+    It is the row of the smallest id (rows without an id come last), of these the one with the smallest hash of its text.
+    Rows alike in id and text become one.  Null and blank texts are near nothing: they stay.  Extra columns may have any
+    name; an empty table stays empty.
+    """
+    out = _components(docs, doc_id, text, shingle, percent)
+    own = (F.col("n_shingles") == 0) | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
+    kept = out.where(own).select(F.col("doc_id").alias("id"), F.col("mark").alias("marked")).distinct()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("marked")))
+    return joined.dropDuplicates(["doc_id", "mark"]).select("row.*")
+
+
+def _components(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, first): every row with the (none, doc_id, mark) that comes first in its component."""
     signed = cut(signatures(docs, doc_id, text, shingle))
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = full.groupBy("key1", "key2").agg(F.min_by("mark", _order()).alias("mark"), F.min_by("doc_id", _order()).alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
 
     bands = _bands(classes)  # cheaper to make twice than to store: twenty rows a class
@@ -326,7 +357,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = cut(_plausible(star, classes, percent))
     # Sets are made for documents of plausible pairs, and for those that meet others beside a hub.
     met = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(shared.where("size > 2").select("cid")).distinct()
-    sets = cut(_shingle_sets(met.join(classes.select("cid", "doc_id", "key1", "key2"), "cid"), docs, doc_id, text, shingle))
+    sets = cut(_shingle_sets(met.join(classes.select("cid", "doc_id", "mark", "key1", "key2"), "cid"), docs, doc_id, text, shingle))
     links = _star_links(pairs, sets, percent)
 
     # Each bucket's pairs with its hub are settled; what is left are members beside the hub, in different components.
@@ -341,9 +372,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = _cross_links(rest.join(still_open, "bucket"), classes.select("cid", "signature").join(sets, "cid"), percent)
 
     labels = connected_components(links.unionByName(more))
-    named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("key1", "key2", "doc_id", F.coalesce("label", "cid").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "label").select("key1", "key2", "component_id")
-    out = signed.drop("signature").join(named, ["key1", "key2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("key1", "key2", _order().alias("own"), F.coalesce("label", "cid").alias("label"))
+    least = named.groupBy("label").agg(F.min("own").alias("first"))
+    named = named.join(least, "label").select("key1", "key2", "first")
+    return signed.drop("signature").join(named, ["key1", "key2"], "left").select("doc_id", "mark", "n_shingles", "first")

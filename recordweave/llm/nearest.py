@@ -32,6 +32,7 @@ class Codes:
     """Centroids, rotation and the two directions of coding."""
 
     def __init__(self, centroids, seed: int = 5):
+        """Made anew on each worker from the centroids alone: an object would need this library on executors."""
         import numpy as np
 
         self.centroids = centroids
@@ -123,12 +124,12 @@ def nearest_neighbours(vectors: DataFrame, is_query, vec_id: str = "vec_id", emb
     unit = np.stack(sample["embedding"].to_numpy())
     unit = unit / np.sqrt((unit**2).sum(1))[:, None]
     cells = int(max(1, min(MOST_CELLS, len(unit) // 4, round(np.sqrt(length["count"]) / 2))))
-    shared = spark.sparkContext.broadcast(Codes(fit_centroids(unit, cells)))
+    shared = spark.sparkContext.broadcast(fit_centroids(unit, cells))
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codes = shared.value
+        codes = Codes(shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -153,7 +154,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, vec_id: str = "vec_id", emb
     def probe(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codes, (sizes, blocks) = shared.value, plan.value
+        codes, (sizes, blocks) = Codes(shared.value), plan.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -182,7 +183,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, vec_id: str = "vec_id", emb
     def search(key, left, right):
         import pyarrow as pa
 
-        codes, cell = shared.value, key[0].as_py()
+        codes, cell = Codes(shared.value), key[0].as_py()
         out: list = []
         if left.num_rows and right.num_rows:
             matrix = lambda t: t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)

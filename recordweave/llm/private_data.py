@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
 KINDS = ("email", "ip", "card", "phone", "key")
 _CANDIDATE = 9
@@ -246,15 +246,17 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     The spans of all kinds are united first (overlapping ones become one, named by the first), so nothing of an
     identifier is left behind.  Ids may be null or repeated: a row's spans follow from its text, whose hash joins them.
+    Null and empty texts stay as they are, as do extra columns, whatever their names; an empty table stays empty.
     """
+    key_name, of_name, spans_name = unused(docs, "__key", "__of", "__spans")
     keyed = F.md5(F.col(text).cast("binary"))
-    rows, spans = private_spans(docs.select(keyed.alias("__key"), F.col(text)), "__key", text)
-    flat = spans.join(rows, "row").groupBy("doc_id").agg(F.first("spans").alias("__spans"))
+    rows, spans = private_spans(docs.select(keyed.alias("key"), F.col(text).alias("text")), "key", "text")
+    flat = spans.join(rows, "row").groupBy("doc_id").agg(F.first("spans").alias(spans_name))
     # As binary on both sides: the join deals both anew, so Spark can split the rows of a text that very many hold.
-    found = flat.select(F.unhex("doc_id").alias("__key"), "__spans")
+    found = flat.select(F.unhex("doc_id").alias(key_name), spans_name)
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     state = F.struct(F.lit(0).cast("bigint").alias("upto"), F.array().cast("array<string>").alias("parts"))
-    ordered = F.array_sort(F.col("__spans"), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
+    ordered = F.array_sort(F.col(spans_name), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
 
     def step(s: Column, span: Column) -> Column:
         begin, end = span["start"].cast("int"), span["end"].cast("int")
@@ -262,8 +264,8 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         return F.when(span["start"] >= s["upto"], F.struct(span["end"].alias("upto"), new.alias("parts"))).otherwise(F.struct(F.greatest(s["upto"], span["end"]).alias("upto"), s["parts"].alias("parts")))
 
     pieces = F.aggregate(ordered, state, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col(text), s["upto"].cast("int") + 1, F.length(F.col(text)))))
-    joined = docs.withColumn("__of", F.unhex(keyed)).join(found, F.col("__of") == F.col("__key"), "left")
-    out = joined.withColumn(text, F.when(F.size("__spans") > 0, pieces).otherwise(F.col(text)))
+    joined = docs.withColumn(of_name, F.unhex(keyed)).join(found, F.col(of_name) == F.col(key_name), "left")
+    out = joined.withColumn(text, F.when(F.size(spans_name) > 0, pieces).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length(F.col(text)).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans_name) > 0, F.length(F.col(text)).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
