@@ -19,8 +19,8 @@ from .common import session_of, small_batches
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Texts handled at a time, and distinct words whose ids a worker remembers (bounded memory; it starts anew then).
-CALL, REMEMBERED = 64, 300_000
+#: Characters encoded at a time, and distinct words and their characters whose ids a worker remembers (it starts anew then).
+CALL, REMEMBERED, REMEMBERED_CHARS = 1 << 21, 300_000, 8 << 20
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -143,11 +143,37 @@ def _load(model_path: str):
     return model, tokenizer
 
 
+def _calls(texts: list) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CALL characters."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text or "") > CALL:
+            yield begin, i
+            begin, size = i, 0
+        size += len(text or "")
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def _at_words(text: str) -> Iterator[str]:
+    """A normalised text in parts of about CALL characters that begin at the start of a word."""
+    begin = 0
+    while len(text) - begin > CALL:
+        end = text.find(MARK, begin + CALL)
+        while end > 0 and text[end - 1] == MARK:  # a run of marks belongs to the word after it
+            end -= 1
+        if end <= begin:
+            break
+        yield text[begin:end]
+        begin = end
+    yield text[begin:]
+
+
 class Encoder:
     """Encodes and decodes batches on a worker, with the library's ids.
 
-    Where no piece reaches over the start of a word, words are encoded apart: each distinct one once, by the library's
-    model.  Other models are encoded text by text, in batches that the library spreads over its threads.
+    Where no piece reaches over the start of a word, a batch is that of the words which are new to the worker; other
+    models get batches of whole texts.  Either way the library spreads a batch over its threads.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -160,8 +186,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.by_word = self.tokenizer.pre_tokenizer is not None
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.core = self.tokenizer.model
+        self.core = Tokenizer(self.tokenizer.model)  # words are normalised and cut already
         self.known: dict[str, bytes] = {}
+        self.chars = 0
         self.strips = '"Strip"' in tokenizer_json
         vocabulary = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
         byte = re.compile(r"<0x([0-9A-F]{2})>").fullmatch
@@ -175,15 +202,34 @@ class Encoder:
         if not self.by_word:
             return [pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         normal = self.tokenizer.normalizer.normalize_str
-        cut = [self.words(normal(t)) if t else [] for t in texts]
-        new = {w for words in cut for w in words}.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, list[str]]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for part in _at_words(normal(text)) if text else ():
+                waiting.append((i, self.words(part)))
+                size += len(part)
+                if size >= CALL:
+                    self._encode_words(waiting, out)
+                    waiting, size = [], 0
+        self._encode_words(waiting, out)
+        return [b"".join(x) for x in out]
+
+    def _encode_words(self, waiting: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        import numpy as np
+
+        new = list({w for _, words in waiting for w in words}.difference(self.known))
+        chars = sum(map(len, new))
+        if len(self.known) + len(new) > REMEMBERED or self.chars + chars > REMEMBERED_CHARS:
             self.known.clear()
-            new = {w for words in cut for w in words}
-        merge = self.core.tokenize  # the library's model alone: no offsets, no encoding objects
-        for w in new:
-            self.known[w] = pack([t.id for t in merge(w)])
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+            new = list({w for _, words in waiting for w in words})
+            self.chars = chars = sum(map(len, new))
+        else:
+            self.chars += chars
+        for w, e in zip(new, self.core.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, np.int32).tobytes()
+        for i, words in waiting:
+            out[i].append(b"".join(map(self.known.__getitem__, words)))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; same as the library's decoder."""
@@ -217,8 +263,8 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
         encoder = Encoder(shared.value)
         for batch in batches:
             texts, out = batch.column(at).to_pylist(), []
-            for i in range(0, len(texts), CALL):
-                out += encoder.encode([t or "" for t in texts[i : i + CALL]])
+            for begin, end in _calls(texts):
+                out += encoder.encode([t or "" for t in texts[begin:end]])
             sizes = np.fromiter((len(x) // 4 for x in out), np.int64, len(out))
             offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(out), np.int32))
@@ -245,7 +291,7 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "deco
 
         encoder = Encoder(shared.value)
         for batch in batches:
-            out = [None if x is None else encoder.decode(x) for i in range(0, batch.num_rows, CALL) for x in batch.column(at).slice(i, CALL).to_pylist()]
+            out = [None if x is None else encoder.decode(x) for i in range(0, batch.num_rows, 64) for x in batch.column(at).slice(i, 64).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*kept, text])
 
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(text, T.StringType())])
@@ -277,8 +323,8 @@ def piece_report(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         for batch in batches:
             texts, out = [t or "" for t in batch.column(1).to_pylist()], []
-            for i in range(0, len(texts), CALL):
-                part = texts[i : i + CALL]
+            for begin, end in _calls(texts):
+                part = texts[begin:end]
                 for t, packed in zip(part, encoder.encode(part), strict=True):
                     ids = np.frombuffer(packed, np.int32)
                     fallback = int(((ids >= first) & (ids <= last)).sum())
