@@ -6,7 +6,8 @@ code.  For a query the inner products with all codes of a cell are estimated fro
 with an error bound; only vectors whose upper bound reaches the best lower bounds are reranked on original vectors.
 
 Cells are split into blocks of bounded size, queries of a cell too, so a very common vector makes more blocks, not
-larger ones.
+larger ones.  A vector is sent once for each lane of queries, a query once for each block that it looks into, in the
+precision that the table has; blocks and lanes are as large as memory allows, so both are few.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .common import cut, session_of
 SAMPLE = 20_000
 #: Cells at most, and of all cells the share (and the least number) that a query looks into.
 MOST_CELLS, PROBE_SHARE, LEAST_PROBES = 4096, 0.7, 8
-#: Vectors and queries of a block.
-BLOCK, QUERIES = 4096, 1024
+#: Bytes of the vectors of a block, and queries of a lane.
+BLOCK_BYTES, QUERIES = 16 << 20, 8192
 #: Standard errors of the bound of an estimate.
 ERRORS = 3.0
 
@@ -84,7 +85,8 @@ def fit_centroids(unit, cells: int, rounds: int = 8, seed: int = 3):
 
     centroids = unit[np.random.default_rng(seed).choice(len(unit), cells, replace=False)].copy()
     for _ in range(rounds):
-        near = (unit @ centroids.T - 0.5 * (centroids**2).sum(1)).argmax(1)
+        half = 0.5 * (centroids**2).sum(1)
+        near = np.concatenate([(unit[i : i + 2048] @ centroids.T - half).argmax(1) for i in range(0, len(unit), 2048)])
         for k in range(unit.shape[1]):
             sums = np.bincount(near, unit[:, k], cells)
             counts = np.bincount(near, minlength=cells)
@@ -92,6 +94,13 @@ def fit_centroids(unit, cells: int, rounds: int = 8, seed: int = 3):
     return centroids
 
 
+def _matrix(column, rows: int):
+    """An Arrow column of equally long lists as doubles."""
+    import numpy as np
+
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1).astype(np.float64)
+
+
 def cosines(query, vectors):
     """Cosines in double precision; each row is reduced alone, so equal vectors get equal values."""
     import numpy as np
@@ -104,23 +113,24 @@ def nearest_neighbours(vectors: DataFrame, is_query, vec_id: str = "vec_id", emb
 
     Nearest is the largest cosine, ties go to the smaller id.  Fewer than k candidates: all of them.  Vectors that are
     null, zero, empty, of another length than most of the sample, or that hold null or non-finite components take no
-    part.  Rows of one id (or a null id) are dropped but for one each (null: all), since results name ids.  An empty
-    table gives no rows.  Other columns are not read.
+    part.  Results name ids, so of the rows of one id the one with the smallest vector takes part (as a query where any of
+    them is one), and rows without an id don't.  An empty table gives no rows.  Other columns are not read.
     """
     import numpy as np
 
     spark = session_of(vectors)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     e = F.col("embedding")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    kind = "array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("query"))
     finite = F.forall(e, lambda x: F.coalesce((x - x) == 0, F.lit(False))) & F.exists(e, lambda x: x != 0)
-    rows = rows.where("vec_id is not null and embedding is not null").where(finite).dropDuplicates(["vec_id"])
+    rows = rows.where("vec_id is not null and embedding is not null").where(finite).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("query").alias("query"))
     length = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if length is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("embedding") == length["d"])
-    sample = rows.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    sample = rows.select(F.col("embedding").cast("array<double>").alias("embedding")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     unit = np.stack(sample["embedding"].to_numpy())
     unit = unit / np.sqrt((unit**2).sum(1))[:, None]
     cells = int(max(1, min(MOST_CELLS, len(unit) // 4, round(np.sqrt(length["count"]) / 2))))
@@ -133,7 +143,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, vec_id: str = "vec_id", emb
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = _matrix(batch.column(1), batch.num_rows)
             biggest = np.abs(x).max(1)[:, None]
             scaled = x / biggest  # no overflow in the squares
             u = scaled / np.sqrt((scaled**2).sum(1))[:, None]
@@ -142,10 +152,10 @@ def nearest_neighbours(vectors: DataFrame, is_query, vec_id: str = "vec_id", emb
             arrays = [pa.array(cell.astype(np.int32)), pa.array([p.tobytes() for p in packed], pa.binary()), *map(pa.array, (length, agree, with_centre))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *arrays], ["vec_id", "embedding", "query", "cell", "code", "length", "agree", "with_centre"])
 
-    coded = cut(rows.mapInArrow(encode, "vec_id long, embedding array<double>, query boolean, cell int, code binary, length double, agree double, with_centre double"))
+    coded = cut(rows.mapInArrow(encode, f"vec_id long, embedding {kind}, query boolean, cell int, code binary, length double, agree double, with_centre double"))
     counts = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row per cell, at most MOST_CELLS
     sizes = np.array([counts.get(c, 0) for c in range(cells)])
-    blocks = np.maximum(1, -(-sizes // BLOCK))
+    blocks = np.maximum(1, -(-sizes // max(1, BLOCK_BYTES // (8 * length["d"]))))
     probes = max(LEAST_PROBES, int(np.ceil(cells * probe_share)))
     most_queries = coded.where("query").count()
     lanes = max(1, -(-most_queries // QUERIES))
@@ -158,7 +168,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, vec_id: str = "vec_id", emb
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = _matrix(batch.column(1), batch.num_rows)
             order = np.argsort(-(x / np.sqrt((x**2).sum(1))[:, None] @ codes.centroids.T - 0.5 * (codes.centroids**2).sum(1)), 1)
             seen = np.cumsum(sizes[order], 1)
             query, cell, block = [], [], []
@@ -172,7 +182,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, vec_id: str = "vec_id", emb
             take = pa.array(query, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cell, pa.int32()), pa.array(block, pa.int32())], ["vec_id", "embedding", "cell", "block"])
 
-    queries = coded.where("query").select("vec_id", "embedding").mapInArrow(probe, "vec_id long, embedding array<double>, cell int, block int")
+    queries = coded.where("query").select("vec_id", "embedding").mapInArrow(probe, f"vec_id long, embedding {kind}, cell int, block int")
     queries = queries.withColumn("lane", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(lanes)).cast("int"))
     of_cell = F.get(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell")) if cells <= 64 else None
     numbers = spark.createDataFrame([(c, int(b)) for c, b in enumerate(blocks)], "cell int, blocks int")
@@ -180,13 +190,17 @@ def nearest_neighbours(vectors: DataFrame, is_query, vec_id: str = "vec_id", emb
     base = base.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     base = base.select("cell", "block", "lane", "vec_id", "embedding", "code", "length", "agree", "with_centre")
 
+    made: list[Codes] = []  # one for each task
+
     def search(key, left, right):
         import pyarrow as pa
 
-        codes, cell = Codes(shared.value), key[0].as_py()
+        if not made:
+            made.append(Codes(shared.value))
+        codes, cell = made[0], key[0].as_py()
         out: list = []
         if left.num_rows and right.num_rows:
-            matrix = lambda t: t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            matrix = lambda t: _matrix(t.column("embedding").combine_chunks(), t.num_rows)
             qid, q, vid, v = left.column("vec_id").to_numpy(), matrix(left), right.column("vec_id").to_numpy(), matrix(right)
             packed = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(vid), -1)
             length, agree, with_centre = (right.column(c).to_numpy() for c in ("length", "agree", "with_centre"))
