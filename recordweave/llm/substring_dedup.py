@@ -36,7 +36,7 @@ CHUNK = 1 << 19
 #: Documents (about so many at least, and of all the share) whose phrases show common triggers, the distinct phrases there
 #: that make a trigger common, and the most triggers that are demoted (those of most phrases).  Any choice gives the same
 #: result; it only deals the work.
-SAMPLE, SAMPLE_SHARE, COMMON, MOST_COMMON = 20_000, 0.002, 50, 10_000
+SAMPLE, SAMPLE_SHARE, COMMON, MOST_COMMON = 4_000, 0.0005, 20, 10_000
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
