@@ -289,3 +289,105 @@ def test_repeats_in_texts_longer_than_a_piece(documents, monkeypatch):
     rows = [(i, "".join(noise(draw.randint(0, 90)) + draw.choice(shared) for _ in range(draw.randint(1, 12))), "s") for i in range(40)]
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(documents(rows)).collect()}
     assert found == brute_repeats(rows)
+
+
+def test_recall_on_the_embeddings(spark):
+    import os
+
+    import pyarrow.parquet as pq
+    import pytest
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    rows = {r["vec_id"]: r["embedding"] for r in pq.read_table(path).to_pylist()}
+    ids = np.array(sorted(rows))
+    v = np.array([rows[i] for i in ids], float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    found = {}
+    for r in nearest_neighbours(spark.read.parquet(path), F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for k in np.flatnonzero(ids % 50 == 0):
+        score = v @ v[k]
+        score[k] = -9
+        hits += len(found[ids[k]] & set(ids[np.argsort(-score)[:5]].tolist()))
+        total += 5
+    assert hits / total >= 0.9, hits / total
+
+
+def test_vectors_of_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [0.5, 0.5]), (None, [1.0, 0.0])]
+    for order in (rows, rows[::-1]):
+        found = nearest_neighbours(spark.createDataFrame(order, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()
+        assert [(r.rank, r.vec_id) for r in sorted(found)] == [(1, 2), (2, 1)]
+
+
+def test_workers_without_the_library(tmp_path):
+    """op4 and op5 in a process whose workers can't import this repository."""
+    import os
+    import subprocess
+    import sys
+
+    import recordweave
+
+    root = os.path.dirname(os.path.dirname(recordweave.__file__))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+from recordweave.llm.line_crf import quality_scores
+from recordweave.llm.nearest import nearest_neighbours
+
+def there(batches):
+    import importlib.util
+    import pyarrow as pa
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([importlib.util.find_spec("recordweave") is not None])], ["x"])
+
+assert not spark.range(1, numPartitions=1).mapInArrow(there, "x boolean").first().x
+v = spark.range(200).select(F.col("id").alias("vec_id"), F.array(*[F.rand(i) for i in range(8)]).alias("embedding"))
+assert nearest_neighbours(v, F.col("vec_id") % 50 == 0).count() == 20
+d = spark.createDataFrame([(i, "BAD!! LINE!!" if i % 2 else "a good line.") for i in range(60)], "doc_id long, text string")
+assert quality_scores(d, d.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) AS quality")).count() == 60
+print("fine")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("fine"), done.stderr[-2000:]
+
+
+def clashing(spark, rows):
+    names = ["__id", "__row", "__size", "row", "__key", "__of", "__drop", "__spans", "__times", "__copy", "__place", "__decoded", "mark", "ids", "kept", "cid", "label", "size", "h"]
+    full = [(i, t, "en", s, None if t is None else len(t), *range(len(names))) for i, t, s in rows]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+
+
+def test_every_stage_on_odd_tables(spark):
+    import corpus_pipeline
+
+    draw = random.Random(41)
+    prose = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    one, two, three = prose(80), prose(80) + " a.b@c.de", prose(70)
+    rows = [(None, one, "s"), (None, two, None), (None, None, None), (7, two.replace("a.b", "x.y"), "s"), (7, three, "t"), (7, three, "t"), (8, "", "t"), (8, " \n", "t"), (9, None, "t"), (10, one.upper(), "s")]
+    rows += [(20, prose(120_000), "long"), (21, "word " * 200_000, "long"), (22, "x" * 1_000_000, "long")]
+    docs = clashing(spark, rows)
+    some = lambda df: sorted((str(r.doc_id), (r.text or "")[:40], str(r.source)) for r in df.collect())
+    pick = lambda *at: sorted((str(rows[i][0]), (rows[i][1] or "")[:40], str(rows[i][2])) for i in at)
+    stages = dict(corpus_pipeline.STAGES)
+    quality = stages["quality rules"](spark, docs, "")
+    assert some(quality) == pick(0, 1, 3, 4, 5, 9, 10) and quality.columns == docs.columns
+    assert quality.where("__id = 0 and __row = 1 and h = 18").count() == 7
+    near = stages["minhash near-duplicates"](spark, docs, "")
+    # 10 beats the null id with the same words; of the two near copies with a.b and x.y the one with an id stays
+    assert some(near) == pick(2, 3, 4, 6, 7, 8, 9, 10, 11, 12) and near.columns == docs.columns
+    private = stages["private data"](spark, docs, "")
+    assert len(some(private)) == len(rows) and private.columns == docs.columns and not private.where("text like '%@%'").count() and private.where("text like '%<EMAIL>'").count() == 2
+    mixed = stages["source mix"](spark, docs, "")
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.select("doc_id").collect()} <= {None, 7, 10, 20, 21, 22}
+    last = stages["sentencepiece"](spark, docs, "")
+    assert last.count() == len(rows) and last.where("round_trip").count() == len(rows) and last.where("ids is null").count() == 2
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
