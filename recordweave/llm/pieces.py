@@ -19,8 +19,9 @@ from .common import session_of, small_batches
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Characters encoded at a time, and distinct words and their characters whose ids a worker remembers (it starts anew then).
-CALL, REMEMBERED, REMEMBERED_CHARS = 1 << 21, 300_000, 8 << 20
+#: Characters encoded at a time; distinct words whose ids a worker remembers (it starts anew then) and the longest of them
+#: (longer ones hardly come again); threads of the library in a worker.
+CALL, REMEMBERED, LONGEST, THREADS = 1 << 20, 300_000, 64, 2
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -183,12 +184,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.by_word = self.tokenizer.pre_tokenizer is not None
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.core = Tokenizer(self.tokenizer.model)  # words are normalised and cut already
         self.known: dict[str, bytes] = {}
-        self.chars = 0
         self.strips = '"Strip"' in tokenizer_json
         vocabulary = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
         byte = re.compile(r"<0x([0-9A-F]{2})>").fullmatch
@@ -219,17 +220,16 @@ class Encoder:
         import numpy as np
 
         new = list({w for _, words in waiting for w in words}.difference(self.known))
-        chars = sum(map(len, new))
-        if len(self.known) + len(new) > REMEMBERED or self.chars + chars > REMEMBERED_CHARS:
+        if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list({w for _, words in waiting for w in words})
-            self.chars = chars = sum(map(len, new))
-        else:
-            self.chars += chars
         for w, e in zip(new, self.core.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, np.int32).tobytes()
         for i, words in waiting:
             out[i].append(b"".join(map(self.known.__getitem__, words)))
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; same as the library's decoder."""

@@ -91,4 +91,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op1_mix_sources": sql.MIX, "op9_format_conversations": sql.CHAT}
+    return {"op1_mix_sources": sql.MIX, "op8_remove_repeats": sql.REPEATS, "op9_format_conversations": sql.CHAT, "op10_near_duplicates": sql.NEAR}

@@ -47,3 +47,37 @@ SELECT conv_id, part, min(position) AS first_position, count(*) AS n_turns,
        string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY position) AS rendered
 FROM o JOIN kept USING (conv_id) GROUP BY conv_id, part
 """
+
+NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+k AS (SELECT s.doc_id, s.shingle, n.n FROM s JOIN n USING (doc_id)),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, least(a, min(b)) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, COALESCE(l.component_id, d.doc_id) AS component_id, COALESCE(l.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l USING (doc_id)
+"""
+
+REPEATS = r"""
+WITH d AS (SELECT doc_id, encode(COALESCE(text, '')) AS data FROM documents),
+z AS (SELECT doc_id, octet_length(data)::BIGINT AS n, hex(data) AS x FROM d),
+w AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS p FROM z WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hit AS (SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE f.first < w.doc_id),
+run AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
+  SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM hit)),
+gone AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, run),
+part AS (SELECT doc_id, a, b, COALESCE(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM gone),
+cut AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+  FROM part JOIN z USING (doc_id) GROUP BY doc_id)
+SELECT z.doc_id, z.n AS n_bytes, COALESCE(c.n_removed, 0) AS n_removed, COALESCE(c.n_spans, 0) AS n_spans, sha256(unhex(COALESCE(c.kept, z.x))) AS kept_sha256
+FROM z LEFT JOIN cut c USING (doc_id)
+"""
