@@ -68,7 +68,8 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l USING (doc_id)
 REPEATS = r"""
 WITH d AS (SELECT doc_id, encode(COALESCE(text, '')) AS data FROM documents),
 z AS (SELECT doc_id, octet_length(data)::BIGINT AS n, hex(data) AS x FROM d),
-w AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS p FROM z WHERE n >= 50)),
+y AS (SELECT doc_id, k, substr(x, 2000 * k + 1, 2098) AS y FROM (SELECT doc_id, x, unnest(range(0, (n - 50) // 1000 + 1)) AS k FROM z WHERE n >= 50)),
+w AS (SELECT doc_id, 1000 * k + p AS p, substr(y, 2 * p + 1, 100) AS s FROM (SELECT doc_id, k, y, unnest(range(0, len(y) // 2 - 49)) AS p FROM y)),
 f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
 hit AS (SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE f.first < w.doc_id),
 run AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
