@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from ..operators.metrics import MetricRule, extract
+from ..operators.multiline import MultilineSpec, assemble
 from ..operators.parsers import DEFAULT, ParserSpec, parse
 from ..operators.transforms import TransformSpec, transform
+from ..sources.sinks import Output, router, send_bulk, text_output, topic_rows, write_objects
 
 LEVELS, FORMATS = ("debug", "info", "warn", "error", "fatal"), ("json", "console")
 
@@ -24,6 +28,8 @@ class Config:
     transforms: tuple[TransformSpec, ...] = ()
     logging: dict = field(default_factory=dict)
     outputs: dict = field(default_factory=dict)
+    multiline: MultilineSpec | None = None
+    metrics: tuple[MetricRule, ...] = ()
     raw: dict = field(default_factory=dict)
 
 
@@ -33,6 +39,68 @@ def parser_spec(options: dict) -> ParserSpec:
     return ParserSpec(**{names.get(k, k): v for k, v in options.items() if names.get(k, k) in known})
 
 
+def seconds(text: str | float) -> float:
+    """A duration such as 5s, 1m30s, 250ms; a bare number is seconds."""
+    if isinstance(text, int | float):
+        return float(text)
+    unit = {"ns": 1e-9, "us": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
+    parts = re.findall(r"([0-9.]+)(ns|us|ms|s|m|h)", text)
+    if not parts or "".join(a + b for a, b in parts) != text.strip():
+        raise ConfigError(f"no duration: {text!r}")
+    return sum(float(n) * unit[u] for n, u in parts)
+
+
+def multiline_spec(options: dict) -> MultilineSpec:
+    given = {k: options[k] for k in ("pattern", "negate", "match", "max_lines") if k in options}
+    return MultilineSpec(**given, **({"timeout_seconds": seconds(options["timeout"])} if "timeout" in options else {}))
+
+
+def metric_rule(options: dict) -> MetricRule:
+    given = {("kind" if k == "type" else k): v for k, v in options.items() if k in ("name", "type", "field", "pattern", "labels", "label_fields", "buckets")}
+    return MetricRule(**given | ({"buckets": tuple(map(float, given["buckets"]))} if given.get("buckets") else {}))
+
+
+def output(definition: dict) -> Output:
+    """A function that writes a batch of events as an output definition says.
+
+    file: a folder a batch.  s3: objects under the bucket and prefix.  kafka: rows for the broker.  elasticsearch: bulk
+    requests; the batch fails if an item is refused.  stdout: Spark's console.
+    """
+    kind, options = definition.get("type", "stdout"), dict(definition.get(definition.get("type", ""), {}) or {})
+    if kind == "stdout":
+        return lambda df, batch: df.write.format("console").option("truncate", "false").save()
+    if kind == "file":
+        return text_output(definition["path"])
+    if kind == "s3":
+        root = f"{options.get('scheme', 's3a')}://{options['bucket']}/{options.get('prefix', '').strip('/')}"
+        return lambda df, batch: write_objects(df, options.get("path", root), options.get("compression") or "none")
+    if kind == "kafka":
+        given = {"kafka.bootstrap.servers": ",".join(options["brokers"])} | ({"kafka.compression.type": options["compression_codec"]} if options.get("compression_codec") else {})
+        rows = lambda df: topic_rows(df, options["topic"], options.get("topic_field", ""), options.get("partition_key", ""), options.get("partition_strategy") or "hash", int(options.get("partitions", 1)), options.get("partition_field", ""))
+        return lambda df, batch: rows(df).write.format("kafka").options(**given).save()
+    if kind == "elasticsearch":
+
+        def send(df: DataFrame, batch: int) -> None:
+            failed = send_bulk(df, options["addresses"], options["index"], options.get("index_rotation", "daily"), options.get("pipeline", ""), int(options.get("batch_size", 1000)))
+            refused = failed.where("status < 200 OR status >= 300").groupBy("status").count().collect()  # a row a status
+            if refused:
+                raise RuntimeError(f"items refused: { {r['status']: r['count'] for r in refused} }")
+
+        return send
+    raise ConfigError(f"unknown output type: {kind}")
+
+
+def outputs(config: Config) -> Output:
+    """One function for all outputs of the configuration, with its failure policy."""
+    if config.outputs.get("type") != "multi":
+        return output(config.outputs)
+    multi = config.outputs.get("multi") or {}
+    named = {d.get("name") or d["type"]: output(d) for d in multi.get("outputs") or ()}
+    if not named:
+        raise ConfigError("a multi output needs outputs")
+    return router(named, bool(multi.get("parallel", False)), "stop" if multi.get("failure_strategy") in ("stop", "fail", "fail-fast") else "continue")
+
+
 def transform_spec(options: dict) -> TransformSpec:
     names = {"type": "kind", "include_fields": "include", "exclude_fields": "exclude"}
     out = {}
@@ -48,7 +116,7 @@ def loads(text: str) -> Config:
     import yaml
 
     raw = yaml.safe_load(os.path.expandvars(text)) or {}
-    config = Config(raw.get("inputs") or {}, None, (), {"level": "info", "format": "json"} | (raw.get("logging") or {}), raw.get("outputs") or {}, raw)
+    config = Config(raw.get("inputs") or {}, None, (), {"level": "info", "format": "json"} | (raw.get("logging") or {}), raw.get("output") or raw.get("outputs") or {}, None, (), raw)
     if not config.inputs:
         raise ConfigError("at least one input is needed")
     for kind, given in config.inputs.items():
@@ -61,6 +129,11 @@ def loads(text: str) -> Config:
         raise ConfigError(f"logging: {config.logging}")
     if raw.get("parser"):
         config.parser = parser_spec(raw["parser"])
+        if raw["parser"].get("multiline"):
+            config.multiline = multiline_spec(raw["parser"]["multiline"])
+    extraction = (raw.get("metrics") or {}).get("extraction") or {}
+    if extraction.get("enabled", bool(extraction)):
+        config.metrics = tuple(map(metric_rule, extraction.get("rules") or ()))
     config.transforms = tuple(map(transform_spec, raw.get("transforms") or ()))
     return config
 
@@ -90,6 +163,13 @@ def pruned(parser: ParserSpec, transforms: tuple[TransformSpec, ...]) -> ParserS
 
 
 def plan(lines: DataFrame, config: Config) -> DataFrame:
-    """Parsed and transformed events of (line, ts, source)."""
+    """Parsed and transformed events of (line, ts, source); with multi-line records, lines also have ``seq``, their order."""
     parser = config.parser or DEFAULT
+    if config.multiline:
+        lines = assemble(lines, config.multiline)
     return transform(parse(lines, pruned(parser, config.transforms)), *config.transforms)
+
+
+def metrics(events: DataFrame, config: Config) -> DataFrame | None:
+    """The long metric table of the configuration's rules; None without rules."""
+    return extract(events, list(config.metrics)) if config.metrics else None

@@ -19,10 +19,23 @@ def json_lines(events: DataFrame) -> DataFrame:
     return events.select(event_json(events).alias("value"))
 
 
-def topic_rows(events: DataFrame, topic: str, topic_field: str = "", key_field: str = "") -> DataFrame:
-    """(topic, key, value) for a message broker: topic and key from fields where they are set and not empty."""
+def topic_rows(events: DataFrame, topic: str, topic_field: str = "", key_field: str = "", strategy: str = "hash", partitions: int = 1, partition_field: str = "") -> DataFrame:
+    """(topic, key, value) for a message broker: topic and key from fields where they are set and not empty.
+
+    With another strategy than hash (the broker's client deals by key) there is a column partition: at random, in turn
+    (round-robin), or the number in a field (manual; 0 where there is none).
+    """
     field = lambda n: F.nullif(F.try_element_at("fields", F.lit(n)), F.lit("")) if n else F.lit(None).cast("string")
-    return events.select(F.coalesce(field(topic_field), F.lit(topic)).alias("topic"), field(key_field).alias("key"), event_json(events).alias("value"))
+    dealt = {
+        "hash": None,
+        "random": lambda: F.floor(F.rand() * partitions).cast("int"),
+        "round-robin": lambda: F.pmod(F.monotonically_increasing_id(), F.lit(partitions)).cast("int"),
+        "manual": lambda: F.pmod(F.coalesce(field(partition_field).try_cast("int"), F.lit(0)), F.lit(partitions)),
+    }
+    if strategy not in dealt:
+        raise ValueError(f"unknown partition strategy: {strategy}")
+    more = [dealt[strategy]().alias("partition")] if dealt[strategy] else []
+    return events.select(F.coalesce(field(topic_field), F.lit(topic)).alias("topic"), field(key_field).alias("key"), event_json(events).alias("value"), *more)
 
 
 def bulk_lines(events: DataFrame, index: str, rotation: str = "daily", pipeline: str = "") -> DataFrame:
@@ -32,6 +45,40 @@ def bulk_lines(events: DataFrame, index: str, rotation: str = "daily", pipeline:
     return events.select(name.alias("index"), F.concat(F.to_json(F.struct(action.alias("index"))), F.lit("\n"), event_json(events), F.lit("\n")).alias("body"))
 
 
+def send_bulk(events: DataFrame, addresses: list[str], index: str, rotation: str = "daily", pipeline: str = "", batch: int = 1000, headers: dict[str, str] | None = None, timeout: float = 30.0) -> DataFrame:
+    """Sends bulk requests from the executors; (body, status, error) of every event, so failed items can go to dead letters.
+
+    A request that fails as a whole gives all its events its status (0 where there was no answer).
+    """
+    sent_headers = {"Content-Type": "application/x-ndjson"} | (headers or {})
+
+    def run(batches):
+        import json
+        import urllib.error
+        import urllib.request
+
+        import pyarrow as pa
+
+        turn = 0
+        for rows in batches:
+            bodies, out = rows.column(0).to_pylist(), []
+            for i in range(0, len(bodies), batch):
+                part = bodies[i : i + batch]
+                url = addresses[turn % len(addresses)].rstrip("/") + "/_bulk"
+                turn += 1
+                try:
+                    with urllib.request.urlopen(urllib.request.Request(url, "".join(part).encode(), sent_headers), timeout=timeout) as answer:
+                        items = [next(iter(x.values())) for x in json.load(answer)["items"]]
+                    out += [(int(x.get("status", 0)), json.dumps(x["error"]) if "error" in x else None) for x in items]
+                except urllib.error.HTTPError as e:
+                    out += [(e.code, str(e))] * len(part)
+                except OSError as e:
+                    out += [(0, str(e))] * len(part)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s for s, _ in out], pa.int32()), pa.array([e for _, e in out], pa.string())], ["body", "status", "error"])
+
+    return bulk_lines(events, index, rotation, pipeline).select("body").mapInArrow(run, "body string, status int, error string")
+
+
 def write_objects(events: DataFrame, path: str, compression: str = "none") -> None:
     """JSON lines under year/month/day/hour folders."""
     parts = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH"}
