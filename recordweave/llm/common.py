@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch: text batches stay small, whatever a row holds.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 3 << 20
 
 
 def session_of(df: DataFrame) -> SparkSession:

@@ -71,7 +71,7 @@ class Shingler:
         known, n, k = self.words, len(words), self.size
         if not n:
             return np.empty(0, np.uint64)
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxh3_64_intdigest(w)

@@ -21,7 +21,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters encoded at a time; distinct words whose ids a worker remembers (it starts anew then) and the longest of them
 #: (longer ones hardly come again); threads of the library in a worker.
-CALL, REMEMBERED, LONGEST, THREADS = 1 << 20, 300_000, 64, 2
+CALL, REMEMBERED, LONGEST, THREADS = 1 << 19, 200_000, 64, 2
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
