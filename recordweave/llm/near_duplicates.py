@@ -7,9 +7,10 @@
 4. Candidates are verified sequentially: batch after batch of signature values is compared, and a pair is dropped as
    soon as the posterior probability of reaching the threshold is below the chosen miss probability.
 5. Survivors are verified exactly, on full shingle sets.  Links make components.
-6. Buckets that still hold several components get their cross-component pairs compared and verified inside block
-   tasks, likeliest first.  What is already connected is never compared, and a task returns links that join
-   components, at most one less than its members: no group's pairs are ever listed.
+6. Buckets that still hold several components get their cross-component pairs compared inside block tasks: by
+   signatures, which leave the members that have a partner at all, then on the sets of those, likeliest first.  What is
+   already connected is never compared, and a task returns links that join components, at most one less than its
+   members: no group's pairs are ever listed.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ BANDS, BAND_ROWS = 20, 4
 SIGNATURE = 128
 #: Signature values compared at a time, and the posterior probability below which a pair is dropped.
 BATCH, MISS = 16, 1e-6
-#: Members and shingles of a block when a bucket's components are compared, and pairs of a hub per verification task.
-BLOCK, BLOCK_SHINGLES, HUB_PAIRS = 1024, 4 << 20, 512
+#: Members of a block when signatures of a bucket's components are compared; members and shingles of one when sets are;
+#: pairs of a hub per verification task.
+SIGNATURE_BLOCK, BLOCK, BLOCK_SHINGLES, HUB_PAIRS = 4096, 1024, 4 << 20, 512
 PERCENT = 80
 
 
@@ -226,15 +228,15 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(dealt.mapInArrow(compare, "a long, b long"))
 
 
-def _compare_block(rows: list, needed: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links that join components among a block pair's members (bucket, i, j, block, band, cid, label, n, signature, members)."""
+def _in_block(group: tuple, needed: list[int], percent: int) -> Iterator:
+    """(k, ys, matches): for each member k of a block pair the members ys of other components that the sequential test
+    leaves; ``group`` holds the columns (bucket, i, j, block, band, cid, label, n_shingles, signature) of its members."""
     import numpy as np
 
-    _, i, j, block, band, cid, label, n, sig, members = zip(*rows, strict=True)
-    sig = np.frombuffer(b"".join(sig), np.uint32).reshape(len(rows), SIGNATURE)
+    _, i, j, block, band, cid, label, n, sig = group[:9]
+    sig = np.frombuffer(b"".join(sig), np.uint32).reshape(len(cid), SIGNATURE)
     cid, label, n, block = map(np.asarray, (cid, label, n, block))
     left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
-    found = []
     for k in left:
         y = right[cid[right] > cid[k]] if i[0] == j[0] else right
         y = y[(label[y] != label[k]) & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))]
@@ -248,7 +250,28 @@ def _compare_block(rows: list, needed: list[int], percent: int) -> list[tuple[in
             matches = matches + (sig[y, part] == sig[k, part]).sum(1)
             stays = matches >= least
             y, matches = y[stays], matches[stays]
-        found.append(np.stack([matches, np.full(len(y), k), y], 1))
+        yield k, y, matches
+
+
+def _partnered(rows: list, needed: list[int], percent: int) -> list[tuple[int, int]]:
+    """(bucket, cid) of a block pair's members that the sequential test leaves with a partner."""
+    import numpy as np
+
+    group = tuple(zip(*rows, strict=True))
+    alive = np.zeros(len(rows), bool)
+    for k, y, _ in _in_block(group, needed, percent):
+        alive[y] = True
+        alive[k] |= len(y) > 0
+    return [(group[0][x], group[5][x]) for x in np.flatnonzero(alive)]
+
+
+def _compare_block(rows: list, needed: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links that join components among a block pair's members; the last column holds their sets."""
+    import numpy as np
+
+    group = tuple(zip(*rows, strict=True))
+    cid, label, members = group[5], group[6], group[9]
+    found = [np.stack([matches, np.full(len(y), k), y], 1) for k, y, matches in _in_block(group, needed, percent)]
     found = np.concatenate(found) if found else np.empty((0, 3), np.int64)
     parent: dict[int, int] = {}
 
@@ -272,18 +295,15 @@ def _compare_block(rows: list, needed: list[int], percent: int) -> list[tuple[in
     return out
 
 
-def _cross_links(members: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
-    """Links between components inside each bucket of ``members`` (bucket, band, cid, label, n_shingles, blocks), with
-    the signatures and sets of ``payload`` (cid, signature, members).
-
-    A bucket's members are dealt into blocks of bounded size; a task gets two blocks at a time.  Signatures and sets
-    join the dealt rows last, so they are shuffled once.
-    """
+def _block_tasks(members: DataFrame, payload: DataFrame, blocks, work, names: list[str], percent: int) -> DataFrame:
+    """``work`` on each two blocks of each bucket of ``members`` (bucket, band, cid, label, n_shingles) that holds
+    several components.  ``blocks`` is the number of blocks of a bucket; ``payload`` (cid and more) joins the dealt rows last."""
     needed = least_matches(percent)
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int"))
+    several = members.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), blocks.cast("int").alias("blocks")).where("least <> most")
+    dealt = members.join(several.select("bucket", "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "cid", "label", "n_shingles")
-    dealt = dealt.join(payload, "cid").select("bucket", "i", "j", "block", "band", "cid", "label", "n_shingles", "signature", "members")
+    dealt = dealt.join(payload, "cid").select(*dealt.columns, *[c for c in payload.columns if c != "cid"])
     parts = session_of(members).conf.get("spark.sql.shuffle.partitions")
     dealt = dealt.repartition(int(parts), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
@@ -291,21 +311,34 @@ def _cross_links(members: DataFrame, payload: DataFrame, percent: int) -> DataFr
         import pyarrow as pa
 
         def emit(pairs: list):
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([p[x] for p in pairs], pa.int64()) for x in (0, 1)], names)
 
         group: list = []
         for batch in batches:
             found: list = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[-1][:3] != row[:3]:
-                    found += _compare_block(group, needed, percent)
+                    found += work(group, needed, percent)
                     group = []
                 group.append(row)
             yield emit(found)
         if group:
-            yield emit(_compare_block(group, needed, percent))
+            yield emit(work(group, needed, percent))
 
-    return cut(dealt.mapInArrow(run, "a long, b long"))
+    return dealt.mapInArrow(run, f"{names[0]} long, {names[1]} long")
+
+
+def _cross_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside each bucket of ``members`` (bucket, band, cid, label, n_shingles).
+
+    Signatures alone go round first, in large blocks: they tell which members have any partner that the sequential test
+    leaves.  Only those are dealt again, with their sets, into blocks whose sets fit in a task.
+    """
+    signed, count = classes.select("cid", "signature"), F.count(F.lit(1))
+    alive = _block_tasks(members, signed, F.ceil(count / SIGNATURE_BLOCK), _partnered, ["bucket", "cid"], percent)
+    met = cut(members.join(alive.distinct(), ["bucket", "cid"]))
+    small = F.greatest(F.ceil(count / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    return cut(_block_tasks(met, signed.join(sets, "cid"), small, _compare_block, ["a", "b"], percent))
 
 
 def _order():
@@ -365,11 +398,7 @@ def _components(docs: DataFrame, doc_id: str, text: str, shingle: int, percent:
     rest = shared.select("bucket", "band", "cid").join(hubs, "bucket").where("cid <> hub").drop("hub")
     rest = rest.join(labels, F.col("cid") == F.col("node"), "left").select("bucket", "band", "cid", F.coalesce("label", "cid").alias("label"))
     rest = cut(rest.join(classes.select("cid", "n_shingles"), "cid"))
-    still_open = rest.groupBy("bucket").agg(
-        F.min("label").alias("least"), F.max("label").alias("most"),
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
-    ).where("least <> most").select("bucket", "blocks")
-    more = _cross_links(rest.join(still_open, "bucket"), classes.select("cid", "signature").join(sets, "cid"), percent)
+    more = _cross_links(rest, classes, sets, percent)
 
     labels = connected_components(links.unionByName(more))
     named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("key1", "key2", _order().alias("own"), F.coalesce("label", "cid").alias("label"))
