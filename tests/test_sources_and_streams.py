@@ -1,5 +1,7 @@
 import os
 import random
+import socket
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from recordweave.operators.parsers import ParserSpec, event_json
 from recordweave.operators.transforms import TransformSpec
 from recordweave.sources.files import generated_lines, text_lines
 from recordweave.sources.sinks import RoutingError, router, text_output, write_objects
+from recordweave.sources.syslog import SyslogReader, SyslogSource
 from recordweave.sources.tail import TailReader, TailSource
 from recordweave.streaming.reliability import Breaker, OpenError, RateCapped, retry
 from recordweave.streaming.stateful import multiline_stream, rate_limited_stream
@@ -118,6 +121,65 @@ def test_tail_as_a_stream(spark, tmp_path):
     assert sorted(r.line for r in spark.table("tailed").collect()) == ["x", "y"]
 
 
+def _free_port() -> int:
+    with socket.socket() as s:
+        s.bind(("127.0.0.1", 0))
+        return s.getsockname()[1]
+
+
+def _send(port: int) -> None:
+    with socket.create_connection(("127.0.0.1", port)) as s:
+        s.sendall(b"<13>one\r\n<14>two\n")
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.sendto("<15>three\nlines \u00e9".encode(), ("127.0.0.1", port))
+
+
+def test_syslog_reader_spools_lines_and_datagrams(tmp_path):
+    port = _free_port()
+    reader = SyslogReader({"spool": str(tmp_path), "protocol": "both", "host": "127.0.0.1", "port": str(port)})
+    start = reader.initialOffset()
+    _send(port)
+    rows: list = []
+    for _ in range(100):
+        end = reader.latestOffset()
+        rows = [r for p in reader.partitions(start, end) for r in reader.read(p)]
+        if len(rows) == 3:
+            break
+        time.sleep(0.1)
+    assert sorted(rows) == [("127.0.0.1", "<13>one"), ("127.0.0.1", "<14>two"), ("127.0.0.1", "<15>three\nlines \u00e9")]
+    reader.commit(end)
+    assert len(os.listdir(tmp_path)) == 1  # the file that is written to stays
+    reader.spool.most = 0
+    _send(port)
+    while len(os.listdir(tmp_path)) < 4:
+        time.sleep(0.1)
+    reader.commit(end)
+    assert not set(os.listdir(tmp_path)) & {os.path.basename(p) for p in end}  # read to its end and no longer written to
+    reader.stop()
+    with pytest.raises(ValueError):
+        SyslogReader({"spool": str(tmp_path), "protocol": "sctp", "port": "0"}).initialOffset()
+
+
+def test_syslog_as_a_stream(spark, tmp_path):
+    spark.dataSource.register(SyslogSource)
+    port = _free_port()
+    df = spark.readStream.format("syslog").option("spool", str(tmp_path / "s")).option("protocol", "tcp").option("host", "127.0.0.1").option("port", str(port)).load()
+    q = df.writeStream.format("memory").queryName("received").option("checkpointLocation", str(tmp_path / "c")).start()
+    for _ in range(300):
+        try:
+            with socket.create_connection(("127.0.0.1", port)) as s:
+                s.sendall(b"<13>hello\n")
+            break
+        except OSError:
+            time.sleep(0.1)
+    for _ in range(300):
+        if spark.table("received").count():
+            break
+        time.sleep(0.1)
+    q.stop()
+    assert [tuple(r) for r in spark.table("received").collect()] == [("127.0.0.1", "<13>hello")]
+
+
 def test_files_and_sinks(spark, tmp_path):
     lines = generated_lines(spark, 50)
     assert lines.count() == 50 and generated_lines(spark, 50).collect() == lines.collect()
