@@ -10,6 +10,7 @@ its alternatives matches a run of one character class and only looks ahead for t
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -18,8 +19,23 @@ from pyspark.sql import functions as F
 
 from .common import session_of, small_batches
 
-#: Distinct merged strings that a worker remembers; it starts anew when they are this many (bounded memory).
-REMEMBERED = 400_000
+#: Distinct merged strings that a worker remembers, and characters of them; it starts anew beyond either (bounded memory).
+REMEMBERED, REMEMBERED_CHARS = 400_000, 16 << 20
+
+
+def check_layout(tokenizer_json: str) -> None:
+    """Raises ValueError for tokenizers whose counts don't follow from byte-level pre-tokens and plain merges alone."""
+    spec = json.loads(tokenizer_json)
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    faults = [
+        (model.get("type") != "BPE" or any(model.get(x) for x in plain), "a model other than plain BPE"),
+        (cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True), "a splitter other than the byte-level one"),
+        (spec["normalizer"] is not None, "a normaliser"),
+        (any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]), "added tokens that look at what is beside them"),
+    ]
+    if found := [name for fault, name in faults if fault]:
+        raise ValueError("token_counts can't count with " + ", ".join(found))
 
 
 def class_ranges(tokenizer) -> dict[str, str]:
@@ -78,6 +94,7 @@ class Counter:
         self.beyond = re.compile("[\U00010000-\U0010ffff]").search
         self.table = byte_characters()
         self.merged: dict[str, int] = {}
+        self.chars = 0
 
     def pieces(self, text: str) -> list[str]:
         if not self.beyond(text):
@@ -98,9 +115,11 @@ class Counter:
             out.append(total - len(left))
             rest.append(left)
         new = list({p for left in rest for p in left if p not in merged})
-        if len(merged) + len(new) > REMEMBERED:
+        if len(merged) + len(new) > REMEMBERED or self.chars + sum(map(len, new)) > REMEMBERED_CHARS:
             merged.clear()
+            self.chars = 0
             new = list({p for left in rest for p in left})
+        self.chars += sum(map(len, new))
         merge, table = self.tokenizer.model.tokenize, self.table
         for p in new:  # the library's merges alone, without its normaliser, splitter and offsets
             merged[p] = len(merge(p.encode().decode("latin-1").translate(table)))
@@ -112,13 +131,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
 
     Null text counts as empty: 0 bytes, 0 tokens.  Repeated rows and null ids give a row each.  An empty table gives
     no rows.  Added tokens inside a text count as the library's default has it: one token each.  The tokenizer file is
-    read on the driver and travels with the task (its size is that of a vocabulary).
+    read on the driver and travels with the task (its size is that of a vocabulary).  Other than byte-level BPE
+    tokenizers are refused (``check_layout``).
     """
     from tokenizers import Tokenizer
 
     spark = session_of(docs)
     small_batches(spark)
     tokenizer = Tokenizer.from_file(tokenizer_path)
+    check_layout(tokenizer.to_str())
     pattern = split_pattern(class_ranges(tokenizer))
     shared = spark.sparkContext.broadcast((tokenizer.to_str(), pattern, prove_whole_tokens(tokenizer, pattern)))
 

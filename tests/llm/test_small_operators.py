@@ -1,7 +1,9 @@
 """Mixing, token counts, quality rules, classifier, SentencePiece and chat on small tables."""
 
+import json
 import random
 import zlib
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -11,7 +13,7 @@ from recordweave.llm.line_crf import quality_scores
 from recordweave.llm.line_quality import clean_documents, line_quality, repeat_words
 from recordweave.llm.mixing import mix_sources, mixed_documents
 from recordweave.llm.pieces import PROBES, decode, encode, piece_report, read_model, rebuild, verify_parity
-from recordweave.llm.token_counts import token_counts
+from recordweave.llm.token_counts import Counter, check_layout, class_ranges, prove_whole_tokens, split_pattern, token_counts
 
 ODD = [(1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (3, " \n\t ", None), (None, "x y", "b"), (4, "word " * 30_000, "b"), (5, "naïve <|endoftext|> 日本 😀\x1c\x85", "c")]
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -89,6 +91,31 @@ def test_token_counts_agree_with_the_library(documents):
     assert token_counts(documents([]), BPE).count() == 0
 
 
+def test_token_counts_remember_a_bounded_number_of_characters(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr("recordweave.llm.token_counts.REMEMBERED_CHARS", 1000)
+    library, draw = Tokenizer.from_file(BPE), random.Random(2)
+    pattern = split_pattern(class_ranges(library))
+    counter = Counter(library.to_str(), pattern, prove_whole_tokens(library, pattern))
+    for _ in range(20):
+        texts = ["".join(draw.choice("qzxvj") for _ in range(draw.randint(1, 400))) for _ in range(3)]
+        assert counter.count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert sum(map(len, counter.merged)) == counter.chars <= 1200  # one call's own strings at most, or the bound
+
+
+@pytest.mark.parametrize(
+    ("part", "key", "value"),
+    [("model", "type", "Unigram"), ("model", "end_of_word_suffix", "</w>"), ("pre_tokenizer", "add_prefix_space", True), ("pre_tokenizer", "type", "Metaspace"), (None, "normalizer", {"type": "NFC"})],
+)
+def test_token_counts_refuse_other_layouts(part, key, value):
+    spec = json.loads(Path(BPE).read_text())
+    check_layout(json.dumps(spec))
+    (spec[part] if part else spec)[key] = value
+    with pytest.raises(ValueError, match="token_counts can't count"):
+        check_layout(json.dumps(spec))
+
+
 def test_repeat_words_against_brute_force():
     draw = random.Random(3)
     for _ in range(200):
