@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,22 +24,37 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared checkpoint folder and cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from spark.checkpoint.dir where it isn't yet.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir.  Only a local master (tests) may leave that
-    unset and gets a temporary folder.  A lost executor loses nothing: the files are in shared storage.
+    Only a local master (tests) may leave that unset and gets a temporary folder.
     """
-    spark = session_of(df)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="recordweave-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialises ``df`` in the shared checkpoint folder and cuts its lineage.
+
+    A lost executor loses nothing: the files are in shared storage.
+    """
+    shared_folder(session_of(df))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, by: str) -> DataFrame:
+    """Writes ``df`` as a table in the shared checkpoint folder, a part for each value of ``by``, and reads it again."""
+    spark = session_of(df)
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before those that ``df`` has already."""
     taken = {c.lower() for c in df.columns}

@@ -73,6 +73,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress_vectors
+
+    return compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import rebuilt_trie
+
+    return rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_report
+
+    return shard_report(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -85,10 +103,21 @@ def queries() -> dict:
         "op8_remove_repeats": op8_remove_repeats,
         "op9_format_conversations": op9_format_conversations,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_rendezvous_shards": op13_rendezvous_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op1_mix_sources": sql.MIX, "op8_remove_repeats": sql.REPEATS, "op9_format_conversations": sql.CHAT, "op10_near_duplicates": sql.NEAR}
+    return {
+        "op1_mix_sources": sql.MIX,
+        "op8_remove_repeats": sql.REPEATS,
+        "op9_format_conversations": sql.CHAT,
+        "op10_near_duplicates": sql.NEAR,
+        "op11_vector_codes": sql.CODES,
+        "op12_prefix_trie": sql.TRIE,
+        "op13_rendezvous_shards": sql.SHARDS,
+    }

@@ -82,3 +82,67 @@ cut AS (
 SELECT z.doc_id, z.n AS n_bytes, COALESCE(c.n_removed, 0) AS n_removed, COALESCE(c.n_spans, 0) AS n_spans, sha256(unhex(COALESCE(c.kept, z.x))) AS kept_sha256
 FROM z LEFT JOIN cut c USING (doc_id)
 """
+
+# CRC-32 with its table made by its rule; ``c`` is a list of bytes.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+SHARDS = rf"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS text, COALESCE('=' || doc_id, '') AS key FROM documents),
+s AS (
+  SELECT doc_id, octet_length(encode(text))::BIGINT + 1 AS size, {_CRC.format("text")}::BIGINT AS text_crc32,
+         list_transform(range(17), lambda i: {{'score': -ln((('0x' || substr(md5('shard:' || i || key), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE), 'shard': i,
+                                               'draw': ('0x' || substr(md5('shard:' || i || key), 1, 13))::BIGINT}}) AS drawn
+  FROM d, {_CRC_TABLE}),
+p AS (SELECT *, list_min(drawn[:16]) AS best, list_min(drawn).shard AS grown FROM s)
+SELECT doc_id, size, text_crc32, 'key' AS law, best.shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY best.shard ORDER BY best.draw, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown::INTEGER AS grown_shard
+FROM p
+"""
+
+TRIE = rf"""
+WITH t AS (
+  SELECT conv_id, turn, md5(length(COALESCE(role, '')) || ':' || COALESCE(role, '') || COALESCE(text, '')) AS m, length(COALESCE(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, m, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS p FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC.format("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t), {_CRC_TABLE}),
+r AS (
+  SELECT c.conv_id, 0 AS own, o.p, m, chars FROM c JOIN o ON o.conv_id = c.base AND o.p <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.p, m, chars FROM c JOIN o ON o.conv_id = c.conv_id AND o.p > c.h),
+l AS (SELECT conv_id, list(m ORDER BY own, p) AS ms, list(chars ORDER BY own, p) AS cs FROM r GROUP BY conv_id),
+b AS (SELECT conv_id, COALESCE(ms, []) AS ms, COALESCE(cs, []) AS cs FROM c LEFT JOIN l USING (conv_id)),
+n AS (SELECT conv_id, d AS depth, md5(array_to_string(ms[:d], ',')) AS node, md5(array_to_string(ms[:d - 1], ',')) AS parent, COALESCE(cs[d], 0) AS chars, d = len(ms) AS ends
+      FROM (SELECT *, unnest(range(0, len(ms) + 1)) AS d FROM b)),
+g AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(parent) AS parent, any_value(chars) AS chars, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ended
+      FROM n GROUP BY node, depth),
+k AS (SELECT parent, count(*) AS n FROM g WHERE depth > 0 GROUP BY parent),
+v AS (SELECT g.node, g.depth, g.conv_id, (COALESCE(k.n, 0) = 0)::INT AS leaf, (g.n_convs - 1) * chars AS saved FROM g LEFT JOIN k ON k.parent = g.node),
+u AS (SELECT a.node, a.depth, sum(v.leaf)::BIGINT AS n_leaves, sum(v.saved)::BIGINT AS saved_tokens FROM v JOIN n a ON a.conv_id = v.conv_id AND a.depth <= v.depth GROUP BY a.node, a.depth)
+SELECT g.conv_id, g.depth, up.conv_id AS parent_conv_id, g.n_convs, COALESCE(k.n, 0) AS n_children, u.n_leaves, u.saved_tokens, sha256(COALESCE(g.ended, '')) AS ends_sha256
+FROM g JOIN u USING (node, depth) LEFT JOIN k ON k.parent = g.node LEFT JOIN g up ON g.depth > 0 AND up.node = g.parent AND up.depth = g.depth - 1
+"""
+
+
+def _codes(rounds: int = 2) -> str:
+    near = "(SELECT vec_id, p.part, arg_min(entry, far * 64 + entry) AS entry, min(far) AS far FROM (SELECT p.vec_id, p.part, c.entry, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS far FROM p JOIN c{k} c ON c.part = p.part) p GROUP BY vec_id, part)"
+    steps = []
+    for k in range(rounds):
+        steps.append(f"a{k} AS {near.format(k=k)}")
+        steps.append(f"m{k} AS (SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY i) AS x FROM (SELECT part, entry, i, sum(p.x[i])::DOUBLE AS s, count(*) AS n FROM p JOIN a{k} USING (vec_id, part), range(1, 5) r(i) GROUP BY part, entry, i) GROUP BY part, entry)")
+        steps.append(f"c{k + 1} AS (SELECT part, entry, COALESCE(m{k}.x, c{k}.x) AS x FROM c{k} LEFT JOIN m{k} USING (part, entry))")
+    made = ",\n".join(steps)
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+p AS (SELECT vec_id, part, q[part * 4 + 1:part * 4 + 4] AS x FROM v, range(16) r(part)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+{made},
+f AS {near.format(k=rounds)},
+g AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM f GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, label, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN g USING (vec_id), h
+"""
+
+
+#: Of 64 dimensions, as the table has them.
+CODES = _codes()
