@@ -44,6 +44,8 @@ CONFIDENT, SUPPORT, ROUNDS = 0.7, 5, 3
 #: Parts of a pattern's key where it joins instances: a very common word is spread over so many tasks.
 SALT = 16
 _LEFT = 80
+#: Code points in a block of a text that is cut at spans.
+_BLOCK = 512
 
 
 def _stream(kind: int, text: Column, pattern: str, needed: Column) -> Column:
@@ -130,7 +132,8 @@ def _marked(spans: DataFrame, base: DataFrame) -> DataFrame:
     fixed = base.select("row", "start", "end", F.lit(0).alias("added"))
     both = spans.withColumn("added", F.lit(1)).unionByName(fixed, allowMissingColumns=True)
     back = Window.partitionBy("row").orderBy("start", "added").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("row").orderBy("start", "added").rowsBetween(1, Window.unboundedFollowing)
+    # What follows is what precedes in the opposite order: a frame that ends at the last row would be gone through for each row.
+    ahead = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("added")).rowsBetween(Window.unboundedPreceding, -1)
     fixed_end, fixed_start = F.when(F.col("added") == 0, F.col("end")), F.when(F.col("added") == 0, F.col("start"))
     both = both.withColumn("end_before", F.max(fixed_end).over(back)).withColumn("start_after", F.min(fixed_start).over(ahead))
     clear = (F.coalesce("end_before", F.lit(0)) <= F.col("start")) & (F.coalesce("start_after", F.col("end")) >= F.col("end"))
@@ -241,6 +244,17 @@ def find_private_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def _united(spans: DataFrame) -> DataFrame:
+    """(row, united): disjoint spans in order; overlapping ones are one, of the kind of the first (the longest of equal starts)."""
+    s = spans.select("row", F.explode("spans").alias("s")).select("row", "s.*")
+    order = Window.partitionBy("row").orderBy("start", F.desc("end"), "kind")
+    s = s.withColumn("upto", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    s = s.withColumn("group", F.count_if(F.coalesce(F.col("start") >= F.col("upto"), F.lit(True))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    one = F.struct("start", (-F.col("end")).alias("longest"), "kind")
+    s = s.groupBy("row", "group").agg(F.min(one).alias("first"), F.max("end").alias("end"))
+    return s.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first.start", "end", "first.kind"))).alias("united"))
+
+
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; all columns stay, n_chars follows the text.
 
@@ -248,24 +262,27 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     identifier is left behind.  Ids may be null or repeated: a row's spans follow from its text, whose hash joins them.
     Null and empty texts stay as they are, as do extra columns, whatever their names; an empty table stays empty.
     """
-    key_name, of_name, spans_name = unused(docs, "__key", "__of", "__spans")
+    key_name, of_name, spans_name, blocks_name = unused(docs, "__key", "__of", "__spans", "__blocks")
     keyed = F.md5(F.col(text).cast("binary"))
     rows, spans = private_spans(docs.select(keyed.alias("key"), F.col(text).alias("text")), "key", "text")
-    flat = spans.join(rows, "row").groupBy("doc_id").agg(F.first("spans").alias(spans_name))
+    flat = _united(spans).join(rows, "row").groupBy("doc_id").agg(F.first("united").alias(spans_name))
     # As binary on both sides: the join deals both anew, so Spark can split the rows of a text that very many hold.
     found = flat.select(F.unhex("doc_id").alias(key_name), spans_name)
+    joined = docs.withColumn(of_name, F.unhex(keyed)).join(found, F.col(of_name) == F.col(key_name), "left")
+    # The text in blocks, so that a piece is found without walking all of it; a generator, so that they are made once a row.
+    blocks = F.when(F.size(spans_name) > 0, F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)))
+    joined = joined.select("*", F.explode(F.array(blocks)).alias(blocks_name))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    state = F.struct(F.lit(0).cast("bigint").alias("upto"), F.array().cast("array<string>").alias("parts"))
-    ordered = F.array_sort(F.col(spans_name), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
 
-    def step(s: Column, span: Column) -> Column:
-        begin, end = span["start"].cast("int"), span["end"].cast("int")
-        new = F.concat(s["parts"], F.array(F.substring(F.col(text), s["upto"].cast("int") + 1, begin - s["upto"].cast("int")), F.get(names, span["kind"])))
-        return F.when(span["start"] >= s["upto"], F.struct(span["end"].alias("upto"), new.alias("parts"))).otherwise(F.struct(F.greatest(s["upto"], span["end"]).alias("upto"), s["parts"].alias("parts")))
+    def between(a: Column, b: Column) -> Column:
+        block = lambda k: F.substring(F.get(blocks_name, k), F.greatest(a - k * _BLOCK, F.lit(0)) + 1, F.least(b - k * _BLOCK, F.lit(_BLOCK)) - F.greatest(a - k * _BLOCK, F.lit(0)))
+        of = lambda x: F.floor(x / _BLOCK).cast("int")
+        return F.array_join(F.transform(F.sequence(of(a), of(F.greatest(a, b - 1))), block), "")
 
-    pieces = F.aggregate(ordered, state, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col(text), s["upto"].cast("int") + 1, F.length(F.col(text)))))
-    joined = docs.withColumn(of_name, F.unhex(keyed)).join(found, F.col(of_name) == F.col(key_name), "left")
-    out = joined.withColumn(text, F.when(F.size(spans_name) > 0, pieces).otherwise(F.col(text)))
+    ended = lambda i: F.coalesce(F.get(spans_name, i - 1)["end"], F.lit(0)).cast("int")
+    pieces = F.transform(F.col(spans_name), lambda s, i: F.concat(between(ended(i), s["start"].cast("int")), F.get(names, s["kind"])))
+    rest = between(ended(F.size(spans_name)), F.size(blocks_name) * _BLOCK)
+    out = joined.withColumn(text, F.when(F.size(spans_name) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans_name) > 0, F.length(F.col(text)).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
