@@ -5,9 +5,11 @@ corpus; lines above the limit (navigation, licence notes, template text) are rem
 its words that way is rejected.  Base rules (word counts, symbols, repeats inside the document) come with it.
 
 Copies of a document count as one document, so a group of copies doesn't condemn its own text; leaving one of them is
-the task of deduplication.  Exact copies have one normalised content.  Near copies are told by MinHash signatures of
-their five-word shingles, where it matters: for a line that enough distinct contents hold, its documents are taken one
-after another, and one that is like none of those counted before counts anew.  The limit follows the host's size.
+the task of deduplication.  Exact copies have one normalised content.  Near copies are told by 16 MinHash values of their
+five-word shingles, where it matters: among the contents that hold a line above the limit.  A content's copies are as many
+as share a value with it, at the eighth largest of its 16 values, so about half of its shingles must be theirs; of n copies each
+counts as one nth of a document.  That is a count by keys: no contents are compared, and no line's documents meet in one task.
+The limit follows the host's size.
 """
 
 from __future__ import annotations
@@ -18,23 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, session_of, small_batches, text_bytes, unused
-from .near_duplicates import SIGNATURE, Shingler
+from .near_duplicates import Shingler
 
-#: A host's line in more independent documents than this is removed; on large hosts, in more than this share of the
-#: host's distinct contents.
+#: A host's line in more independent documents than this is removed; on hosts with more than 20 000 distinct contents, in more
+#: than this share of them.  Both are parameters: a share of 0 holds every host to the number.
 MAX_DOCUMENTS_PER_HOST, MAX_SHARE_OF_HOST = 20, 0.001
-#: Documents whose signatures agree in this share are near copies.  Two that are 0.8 like a third are 0.6 like each
-#: other at least; the rest is room for the estimate.
-ALIKE = 0.55
-#: Documents of a line that are compared in one task (more where the limit is high).
-PART = 4000
+#: MinHash values of a content; copies are counted at this rank among them.  Of copies that are 0.8 like their original one in
+#: 700 is missed (and counts as a document of its own), of those that are 0.9 like it one in some hundred thousands.
+VALUES, RANK = 16, 8
+#: A document counts in units of this size, so sums are exact.
+_WHOLE = 1 << 32
 #: A document is rejected when less than this share of its words is left.
 LEAST_SHARE_LEFT = 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Parts of a line's key in the removal join: a line that a third of all documents hold is spread over so many tasks.
-SALT = 16
 
-_FIELDS = "doc_id {id}, host {host}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<long>, line_words array<int>, signature binary"
+_FIELDS = "doc_id {id}, host {host}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<long>, line_words array<int>, minima array<int>"
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(n for n in range(256) if n not in _SYMBOLS)
 
@@ -94,6 +94,17 @@ def profile(text: bytes) -> tuple:
     return len(words), chars, len(joined.translate(None, _NOT_SYMBOLS)), again, repeat_words(words), key, list(held), list(held.values())
 
 
+def minima(shingler: Shingler, text: bytes):
+    """The least value of each of the first hash functions over the text's shingles."""
+    import numpy as np
+
+    best, shingles = np.full(VALUES, 0xFFFFFFFF, np.uint32), shingler.shingles(text)
+    for i in range(0, len(shingles), 4096):
+        x = (shingles[i : i + 4096, None] * shingler.a[:VALUES] + shingler.b[:VALUES]) >> np.uint64(32)
+        best = np.minimum(best, x.min(0).astype(np.uint32))
+    return best.view(np.int32)
+
+
 def document_lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     """One row per document: its base measures, content hash, distinct line hashes and their words."""
     small_batches(session_of(docs))
@@ -103,82 +114,46 @@ def document_lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFr
         import pyarrow as pa
 
         kinds = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content", "lines", "line_words", "signature"]
+        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content", "lines", "line_words", "minima"]
         shingler = Shingler(5)
         for batch in batches:
             if batch.num_rows:
                 texts = text_bytes(batch.column(2))
                 columns = zip(*map(profile, texts), strict=True)
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                arrays.append(pa.array([shingler.signature(shingler.shingles(t)) for t in texts], pa.binary()))
+                arrays.append(pa.array([minima(shingler, t) for t in texts], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "host", *names])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
     return rows.mapInArrow(run, _FIELDS.format(id=kinds[doc_id], host=kinds[host]))
 
 
-def _independent(rows: DataFrame, whole: bool) -> DataFrame:
-    """Documents of each (host, line, part) that are no near copies of one another, in the order of their contents.
+def _frequent_lines(measured: DataFrame, max_documents: int, share: float) -> DataFrame:
+    """(row, line, words) of every line of a document that is above the limit on the document's host.
 
-    ``rows`` (host, line, part, top, content, signature).  Where more than ``top`` are found no further ones are looked
-    for, and one row without a signature stands for them.  With ``whole`` only such rows are given.
+    Small tables of keys are materialised before they are joined: a join then deals both sides, and Spark splits the rows
+    of a key that very many documents hold, or broadcasts the keys after measuring them.
     """
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        at, found, n, full = None, np.empty((64, SIGNATURE), np.uint32), 0, False
-        for batch in batches:
-            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            out = []
-            for i, (key, top, signature) in enumerate(zip(keys, batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                if key != at:
-                    at, n, full = key, 0, False
-                if full:
-                    continue
-                if signature is not None:
-                    s = np.frombuffer(signature, np.uint32)
-                    if n and (found[:n] == s).sum(1).max() >= ALIKE * SIGNATURE:
-                        continue
-                    if n == len(found):
-                        found = np.concatenate([found, np.empty_like(found)])
-                    found[n] = s
-                    n += 1
-                full = signature is None or n > top
-                if full or not whole:
-                    out.append((i, None if full else signature))
-            kept = batch.take(pa.array([i for i, _ in out], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:5], pa.array([s for _, s in out], pa.binary())], batch.schema.names)
-
-    small_batches(session_of(rows))
-    keys = ["host", "line", "part"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "content").mapInArrow(run, rows.schema)
-
-
-def _frequent_lines(measured: DataFrame, max_documents: int) -> DataFrame:
-    """(row, line, words) of every line of a document that is above the limit on the document's host."""
     host_key = F.coalesce(F.concat(F.lit("h"), F.col("host").cast("string")), F.lit(""))
     measured = measured.withColumn("host", F.xxhash64(host_key))
     held = measured.select("row", "host", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("line"))
     held = held.select("row", "host", "content", F.col("line.lines").alias("line"), F.col("line.line_words").alias("words"))
     contents = measured.where(F.size("lines") > 0).groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("contents"))
-    tops = contents.select("host", F.greatest(F.lit(max_documents), F.floor(F.col("contents") * MAX_SHARE_OF_HOST)).cast("long").alias("top"))
+    tops = cut(contents.select("host", F.greatest(F.lit(max_documents), F.floor(F.col("contents") * share)).cast("long").alias("top")))
     counted = held.groupBy("host", "line", "content").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("one").alias("documents"))
-    counted = counted.where(F.col("documents") > max_documents).join(F.broadcast(tops), "host").where(F.col("documents") > F.col("top"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
-    salted = held.select("row", "host", "line", "words", "content", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int").alias("salt"))
-    hits = cut(salted.join(counted.select("host", "line", "top", "documents", salts), ["host", "line", "salt"]).select("row", "host", "line", "words", "content", "top", "documents"))
-
-    # Which of these lines do more independent documents hold: parts of a line's documents first, then what they leave.
-    once = hits.groupBy("host", "line", "top", "documents", "content").agg(F.min("row").alias("row"))
-    parts = F.ceil(F.col("documents") / F.greatest(F.lit(PART), 4 * F.col("top"))).cast("long")
-    once = once.select("row", "host", "line", F.pmod(F.xxhash64("content"), parts).alias("part"), "top")
-    rows = once.join(measured.select("row", "content", "signature"), "row").select("host", "line", "part", "top", "content", "signature")
-    left = _independent(rows, False).withColumn("part", F.lit(0).cast("long"))
-    frequent = _independent(left, True).select("host", "line", salts)
-    salted = hits.select("row", "host", "line", "words", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int").alias("salt"))
-    return salted.join(frequent, ["host", "line", "salt"]).select("row", "line", "words")
+    over = cut(counted.where(F.col("documents") > max_documents).join(tops, "host").where(F.col("documents") > F.col("top")).select("host", "line", "top"))
+    hits = cut(held.join(over, ["host", "line"]).select("row", "host", "line", "words", "content", "top"))
+
+    # Which of these lines do more independent documents hold.
+    once = hits.groupBy("host", "content").agg(F.min("row").alias("row")).join(measured.select("row", "minima"), "row")
+    values = once.select("host", "content", F.posexplode("minima").alias("at", "value"))
+    crowds = cut(values.groupBy("host", "at", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    copies = values.join(crowds, ["host", "at", "value"]).groupBy("host", "content").agg(F.get(F.sort_array(F.collect_list("n"), False), F.lit(RANK - 1)).alias("copies"))
+    copies = cut(copies.where("copies is not null"))
+    each = hits.join(copies, ["host", "content"], "left").groupBy("host", "line", "content").agg(F.min("top").alias("top"), F.max(F.coalesce("copies", F.lit(1))).alias("copies"))
+    documents = each.groupBy("host", "line").agg(F.sum(F.floor(F.lit(_WHOLE) / F.col("copies"))).alias("documents"), F.min("top").alias("top"))
+    frequent = cut(documents.where(F.col("documents") > F.col("top") * _WHOLE).select("host", "line"))
+    return hits.join(frequent, ["host", "line"]).select("row", "line", "words")
 
 
 def _measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
@@ -187,7 +162,7 @@ def _measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
 
 def _judged(measured: DataFrame, lost: DataFrame, least_left: float) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = measured.drop("content", "lines", "line_words", "signature").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
+    out = measured.drop("content", "lines", "line_words", "minima").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     out = out.withColumn("base_failed", failed).withColumn("share_left", F.when(F.col("n_words") > 0, 1 - F.col("n_removed_words") / F.col("n_words")).otherwise(0.0))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("share_left") >= least_left))
 
@@ -199,14 +174,18 @@ def line_quality(
     host: str = "source",
     max_documents: int = MAX_DOCUMENTS_PER_HOST,
     least_left: float = LEAST_SHARE_LEFT,
+    share: float = MAX_SHARE_OF_HOST,
 ) -> DataFrame:
     """Base measures and verdict of each row of ``docs``; columns n_removed_words and share_left tell what lines cost.
 
+    A line is removed on a host where more than ``max_documents`` independent documents hold it, and more than ``share`` of
+    the host's distinct contents; a document with less than ``least_left`` of its words left is rejected.
+
     Null or empty text: no words, so the base rules reject it.  A null host is a host of its own.  Repeated rows and
     null ids get a row each.  An empty table gives no rows.  Other columns are not read.
     """
     measured = _measured(docs, doc_id, text, host)
-    lost = _frequent_lines(measured, max_documents).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
+    lost = _frequent_lines(measured, max_documents, share).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
     out = _judged(measured, lost, least_left)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", "share_left")
 
@@ -227,6 +206,7 @@ def clean_documents(
     host: str = "source",
     max_documents: int = MAX_DOCUMENTS_PER_HOST,
     least_left: float = LEAST_SHARE_LEFT,
+    share: float = MAX_SHARE_OF_HOST,
 ) -> DataFrame:
     """``docs`` without the rejected documents, and the others without lines above the limit; all columns stay.
 
@@ -238,7 +218,7 @@ def clean_documents(
     host_key = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))
     keyed = F.md5(F.concat(F.length(host_key).cast("string"), F.lit(":"), host_key, F.coalesce(F.col(text), F.lit(""))).cast("binary"))
     measured = _measured(docs.select(keyed.alias("key"), F.col(text).alias("text"), F.col(host).alias("host")), "key", "text", "host")
-    lost = _frequent_lines(measured, max_documents).groupBy("row").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("drop"))
+    lost = _frequent_lines(measured, max_documents, share).groupBy("row").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("drop"))
     kept = _judged(measured, lost, least_left).where("kept").groupBy("doc_id").agg(F.first("drop").alias(drop_name))
     # As binary on both sides: the join deals both anew, so Spark can split the rows of a text that very many hold.
     joined = docs.withColumn(of_name, F.unhex(keyed)).join(kept.select(F.unhex("doc_id").alias(key_name), drop_name), F.col(of_name) == F.col(key_name))
