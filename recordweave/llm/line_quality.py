@@ -5,9 +5,9 @@ corpus; lines above the limit (navigation, licence notes, template text) are rem
 its words that way is rejected.  Base rules (word counts, symbols, repeats inside the document) come with it.
 
 Copies of a document count as one document, so a group of copies doesn't condemn its own text; leaving one of them is
-the task of deduplication.  Exact copies have one normalised content.  Near copies are told by 16 MinHash values of their
+the task of deduplication.  Exact copies have one normalised content.  Near copies are told by 24 MinHash values of their
 five-word shingles, where it matters: among the contents that hold a line above the limit.  A content's copies are as many
-as share a value with it, at the eighth largest of its 16 values, so about half of its shingles must be theirs; of n copies each
+as share a value with it, at the 14th largest of 24 counts, so more than half of its shingles must be theirs; of n copies each
 counts as one nth of a document.  That is a count by keys: no contents are compared, and no line's documents meet in one task.
 The limit follows the host's size.
 """
@@ -26,8 +26,8 @@ from .near_duplicates import Shingler
 #: than this share of them.  Both are parameters: a share of 0 holds every host to the number.
 MAX_DOCUMENTS_PER_HOST, MAX_SHARE_OF_HOST = 20, 0.001
 #: MinHash values of a content; copies are counted at this rank among them.  Of copies that are 0.8 like their original one in
-#: 700 is missed (and counts as a document of its own), of those that are 0.9 like it one in some hundred thousands.
-VALUES, RANK = 16, 8
+#: 500 is missed (and counts as a document of its own), of those that are 0.85 like it one in ten thousand.
+VALUES, RANK = 24, 14
 #: A document counts in units of this size, so sums are exact.
 _WHOLE = 1 << 32
 #: A document is rejected when less than this share of its words is left.
