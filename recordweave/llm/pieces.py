@@ -241,11 +241,13 @@ class Encoder:
         return text[1:] if self.strips and text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", round_trip: str = "") -> DataFrame:
     """``docs`` with a column of piece ids (array<int>) of each whole text; all columns stay.
 
     Null text gives null ids, an empty one an empty list.  No begin, end or special tokens.  A column already named
-    ``ids`` is replaced.  The model file is read on the driver and travels with the tasks.
+    ``ids`` is replaced.  With ``round_trip`` there is a column of that name: whether decoding the ids gives the text back
+    (true for null); the same worker decodes, so no second one holds the model.  The model file is read on the driver and
+    travels with the tasks.
     """
     from pyspark.sql import types as T
 
@@ -253,7 +255,8 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     small_batches(spark)
     _, tokenizer = _load(model_path)
     shared = spark.sparkContext.broadcast(tokenizer.to_str())
-    kept = [c for c in docs.columns if c != ids]
+    kept = [c for c in docs.columns if c not in (ids, round_trip)]
+    added = [ids, round_trip] if round_trip else [ids]
     at = kept.index(text)
 
     def run(batches: Iterator) -> Iterator:
@@ -262,16 +265,19 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
 
         encoder = Encoder(shared.value)
         for batch in batches:
-            texts, out = batch.column(at).to_pylist(), []
+            texts, out, same = batch.column(at).to_pylist(), [], []
             for begin, end in _calls(texts):
                 out += encoder.encode([t or "" for t in texts[begin:end]])
+                if round_trip:
+                    same += [encoder.decode(np.frombuffer(x, np.int32).tolist()) == (t or "") for x, t in zip(out[begin:], texts[begin:end], strict=True)]
             sizes = np.fromiter((len(x) // 4 for x in out), np.int64, len(out))
             offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(out), np.int32))
             lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([t is None for t in texts], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*kept, ids])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, *([pa.array(same, pa.bool_())] if round_trip else [])], [*kept, *added])
 
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(round_trip, T.BooleanType())]
+    schema = T.StructType([*docs.select(*kept).schema.fields, *fields[: len(added)]])
     return docs.select(*kept).mapInArrow(run, schema)
 
 
