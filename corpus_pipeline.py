@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from recordweave.llm.common import cut, unused
+from recordweave.llm.common import cut
 from recordweave.llm.line_quality import clean_documents
 from recordweave.llm.mixing import mixed_documents
 from recordweave.llm.near_duplicates import without_near_duplicates
-from recordweave.llm.pieces import decode, encode
+from recordweave.llm.pieces import encode
 from recordweave.llm.private_data import redact
 
 
@@ -46,10 +45,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    (decoded,) = unused(docs, "__decoded")
-    coded = decode(encode(docs, model), model, text=decoded)
-    return coded.withColumn("round_trip", F.col(decoded).eqNullSafe(F.col("text"))).drop(decoded)
+    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), round_trip="round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
