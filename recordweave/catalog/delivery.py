@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import constant_backoff, exponential_backoff, linear_backoff
 from ..functions.names import index_name, object_key
 from ..operators import delivery as D
+from ..operators.batches import batches_by_bytes
 from ..operators.inputs import rate_limited
 from ..operators.parsers import ParserSpec, parse
 from ..sources.sinks import bulk_lines, topic_rows
@@ -47,7 +48,26 @@ f AS (SELECT "by", rn, seq, 0 AS batch, 1 AS n, size AS bytes, seq AS first_seq
 SELECT "by", batch::BIGINT AS batch, max(n)::BIGINT AS n, max(bytes)::BIGINT AS bytes, min(first_seq) AS first_seq, max(seq) AS last_seq FROM f GROUP BY 1, 2""",
 )
 def batch_by_bytes(spark, sf_dir):
-    return D.batches_by_bytes(_seq(spark, sf_dir), 200, 50, "event_type")
+    return batches_by_bytes(_seq(spark, sf_dir), 200, 50, "event_type")
+
+
+_BATCHES = """WITH RECURSIVE e AS (SELECT {key} AS k, {tick} AS tick, event_id AS seq, strlen(props) AS size, row_number() OVER w AS rn, sum(strlen(props)) OVER w - strlen(props) AS before FROM events
+ WINDOW w AS (PARTITION BY {key}, {tick} ORDER BY event_id)),
+nx AS (SELECT a.k, a.tick, a.rn, min(b.rn) AS next FROM (SELECT *, unnest(range(1, {most} + 1)) AS d FROM e) a JOIN e b ON b.k = a.k AND b.tick = a.tick AND b.rn = a.rn + a.d
+ WHERE b.before >= a.before + {bytes} OR a.d = {most} GROUP BY a.k, a.tick, a.rn),
+h AS (SELECT DISTINCT k, tick, 1::BIGINT AS rn FROM e UNION ALL SELECT nx.k, nx.tick, nx.next FROM h JOIN nx ON nx.k = h.k AND nx.tick = h.tick AND nx.rn = h.rn),
+b AS (SELECT k, tick, rn, row_number() OVER (PARTITION BY k ORDER BY tick, rn) - 1 AS batch FROM h)
+SELECT e.k AS "by", b.batch, count(*) AS n, sum(e.size)::BIGINT AS bytes, min(e.seq) AS first_seq, max(e.seq) AS last_seq FROM e ASOF JOIN b ON e.k = b.k AND e.tick = b.tick AND e.rn >= b.rn GROUP BY 1, 2"""
+
+
+@register("batch_by_bytes_one_key", _BATCHES.format(key="'all'", tick="0", most=40, bytes=300))
+def batch_by_bytes_one_key(spark, sf_dir):
+    return batches_by_bytes(_seq(spark, sf_dir).withColumn("all", F.lit("all")), 300, 40, "all", rows_per_block=2048, cell=1024)
+
+
+@register("batch_by_interval", _BATCHES.format(key="event_type", tick="floor(epoch(ts) / 21600)::BIGINT", most=40, bytes=500))
+def batch_by_interval(spark, sf_dir):
+    return batches_by_bytes(_seq(spark, sf_dir), 500, 40, "event_type", interval_seconds=21_600)
 
 
 def _log(spark, sf_dir):

@@ -48,9 +48,11 @@ def metric_labels(spark, sf_dir):
     return M.counter(rows, M.MetricRule("n", "counter", "one", labels={"kind": "static"}, label_fields={"kind": "type", "none": "missing"}))
 
 
-@register("metric_skips", "SELECT CAST(NULL AS DOUBLE) AS value WHERE false")
+@register("metric_skips", "SELECT event_type AS kind, CAST(sum(event_id % 100) AS DOUBLE) AS value FROM events WHERE event_id % 3 = 0 GROUP BY 1")
 def metric_skips(spark, sf_dir):
-    return M.counter(_events(spark, sf_dir), M.MetricRule("bad", "counter", "bad")).where("value is not null").select("value")
+    mixed = F.when(F.col("seq") % 3 == 0, (F.col("seq") % 100).cast("string")).when(F.col("seq") % 3 == 1, F.lit("x"))
+    rows = _events(spark, sf_dir).withColumn("fields", F.map_concat("fields", F.create_map(F.lit("mixed"), mixed)))
+    return M.counter(rows, M.MetricRule("mixed", "counter", "mixed", label_fields={"kind": "type"}))
 
 
 @register("metric_long", "SELECT 'extracted_n' AS metric, count(*)::DOUBLE AS value FROM events UNION ALL SELECT 'extracted_last', arg_max(value, (ts, event_id)) FROM events")
@@ -88,6 +90,31 @@ def sum_rate(spark, sf_dir):
     return M.rate(events(spark, sf_dir), F.lit(1)).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("at"), "rate")
 
 
+_WINDOW = "time_bucket(INTERVAL '6 hours', ts)"
+_SCRAPED = "(floor(epoch(ts) / 60)::BIGINT % 500)"
+_COUNTER = f"""WITH s AS (SELECT event_type, {_WINDOW} AS w, ts, max({_SCRAPED})::DOUBLE AS v FROM events GROUP BY ALL),
+l AS (SELECT *, lag(v) OVER (PARTITION BY event_type, w ORDER BY ts) AS was FROM s),
+e AS (SELECT event_type, w, count(*) AS n, arg_min(v, ts) AS f, arg_max(v, ts) - arg_min(v, ts) + COALESCE(sum(was) FILTER (v < was), 0.0) AS grown, epoch(max(ts)) - epoch(min(ts)) AS sampled,
+ epoch(min(ts)) - epoch(w) AS t0, epoch(w) + 21600 - epoch(max(ts)) AS t1 FROM l GROUP BY event_type, w HAVING count(*) > 1),
+g AS (SELECT *, CASE WHEN t0 >= 1.1 * sampled / (n - 1) THEN sampled / (n - 1) / 2 ELSE t0 END AS s0, CASE WHEN t1 >= 1.1 * sampled / (n - 1) THEN sampled / (n - 1) / 2 ELSE t1 END AS s1 FROM e),
+r AS (SELECT event_type, strftime(w, '%Y-%m-%d %H:%M:%S') AS "at", grown * (sampled + least(s0, CASE WHEN grown > 0 AND f >= 0 THEN sampled * f / grown END) + s1) / sampled AS increase FROM g)"""
+
+
+@register("counter_rate_resets", f'{_COUNTER} SELECT event_type, "at", round(increase, 6) AS increase, round(increase / 21600, 8) AS rate FROM r')
+def counter_rate_resets(spark, sf_dir):
+    """A counter of minutes that falls back to 0 every 500 minutes, scraped at the events' times."""
+    s = events(spark, sf_dir).withColumn("scraped", F.floor(F.col("ts").cast("double") / 60) % 500)
+    r = M.counter_rate(s, "scraped", ("event_type",), seconds=21_600)
+    return r.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("at"), F.round("increase", 6).alias("increase"), F.round("rate", 8).alias("rate"))
+
+
+@register("sum_counter_rate", f'{_COUNTER} SELECT "at", round(sum(increase / 21600), 8) AS rate FROM r GROUP BY "at"')
+def sum_counter_rate(spark, sf_dir):
+    s = events(spark, sf_dir).withColumn("scraped", F.floor(F.col("ts").cast("double") / 60) % 500)
+    r = M.counter_rate(s, "scraped", ("event_type",), seconds=21_600).groupBy("window_start").agg(F.round(F.sum("rate"), 8).alias("rate"))
+    return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("at"), "rate")
+
+
 @register("min_health", "SELECT user_id % 5 AS component, min(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) AS health FROM events GROUP BY 1")
 def min_health(spark, sf_dir):
     return events(spark, sf_dir).groupBy((F.col("user_id") % 5).alias("component")).agg(F.min(F.when(F.col("event_type") == "error", 0).otherwise(1)).alias("health"))
@@ -113,6 +140,35 @@ _quantile("hist_quantile_p95", 0.95, "event_type", lambda: F.col("event_type"))
 _quantile("hist_quantile_by_le", 0.99, "'all'", lambda: F.lit("all"))
 
 
+def _window_quantiles(by: str, bucket: str) -> str:
+    bounds = (0.0, *_BOUNDS)
+    counts = ", ".join(f"count(*) FILTER (value <= {b}) AS b{i}" for i, b in enumerate(_BOUNDS, 1))
+    cases = lambda q: " ".join(f"WHEN b{i} >= {q} * n THEN {bounds[i - 1]} + {bounds[i] - bounds[i - 1]} * ({q} * n - {f'b{i - 1}' if i > 1 else 0}) / (b{i} - {f'b{i - 1}' if i > 1 else 0})" for i in range(1, len(bounds)))
+    shown = ", ".join(f"round(CASE {cases(q)} ELSE {bounds[-1]} END, 6) AS p{name}" for q, name in ((0.5, 50), (0.95, 95), (0.99, 99)))
+    return f"WITH c AS (SELECT {by}{bucket} AS w, count(*) AS n, {counts} FROM events GROUP BY ALL) SELECT {'event_type, ' if by else ''}strftime(w, '%Y-%m-%d %H:%M:%S') AS at, round(n / 300.0, 8) AS rate, {shown} FROM c"
+
+
+def _sampled(spark, sf_dir):
+    return events(spark, sf_dir).select(F.col("ts").alias("timestamp"), F.create_map(F.lit("v"), F.col("value").cast("string"), F.lit("type"), F.col("event_type")).alias("fields"))
+
+
+_LATENCY = M.MetricRule("latency", "histogram", "v", label_fields={"event_type": "type"}, buckets=_BOUNDS)
+
+
+def _shown(q):
+    return q.withColumn("at", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).drop("window_start").withColumns({"rate": F.round("rate", 8), **{p: F.round(p, 6) for p in ("p50", "p95", "p99")}})
+
+
+@register("rate_quantiles_5m", _window_quantiles("event_type, ", _BUCKET))
+def rate_quantiles_5m(spark, sf_dir):
+    return _shown(M.windowed_quantiles(_sampled(spark, sf_dir), _LATENCY, by=("event_type",)))
+
+
+@register("rate_quantiles_by_le", _window_quantiles("", _BUCKET))
+def rate_quantiles_by_le(spark, sf_dir):
+    return _shown(M.windowed_quantiles(_sampled(spark, sf_dir), _LATENCY))
+
+
 #: A batch of each output for each user; latency is a whole number, so both engines fold it alike.
 _BATCHES = """b AS (SELECT event_type AS output, user_id AS seq, count(*) AS events, count(*) FILTER (event_id % 10 = 0) AS failed, sum(event_id)::BIGINT AS bytes, (sum(event_id) % 500 + 1)::DOUBLE AS latency_ms,
  max(ts) AS sent_at, CASE WHEN count(*) FILTER (event_id % 10 = 0) > 0 THEN 'error of ' || user_id END AS error FROM events GROUP BY 1, 2)"""
@@ -160,10 +216,10 @@ _STATUS = "CASE event_type WHEN 'error' THEN 'unhealthy' WHEN 'view' THEN 'degra
 
 @register(
     "health_rollup",
-    f"""SELECT user_id, CASE max(CASE {_STATUS} WHEN 'unhealthy' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END) WHEN 2 THEN 'unhealthy' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS status FROM events WHERE event_id % 5 = 0 GROUP BY 1""",
+    f"""SELECT user_id, CASE max(CASE {_STATUS} WHEN 'unhealthy' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END) WHEN 2 THEN 'unhealthy' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS status FROM events GROUP BY 1""",
 )
 def health_rollup(spark, sf_dir):
-    c = events(spark, sf_dir).where("event_id % 5 = 0").select("user_id", F.expr(_STATUS).alias("status"))
+    c = events(spark, sf_dir).select("user_id", F.expr(_STATUS).alias("status"))
     return D.overall_health(c, "user_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.grok import BASE, compile_grok
 from ..functions.regexes import matches
 from ..functions.times import infer_time
+from ..operators.blocks import ROWS
 from ..operators.multiline import MultilineSpec, assemble
 from ..operators.parsers import DEFAULT, ParserSpec, event_json, explode_fields, normal_level, parse
 from .common import ID, LEVEL, NORMAL, NUMBER, UPPER, USER, duck_line, duck_lines, events, lines, register, spark_line
@@ -232,10 +233,10 @@ def events_union_inputs(spark, sf_dir):
 _STACK = f"CASE WHEN event_type = 'click' THEN 'START ' || {ID} WHEN event_type = 'view' AND event_id % 9 = 0 THEN '' ELSE '  at ' || {ID} END"
 
 
-def _multiline(name: str, spec: MultilineSpec):
+def _multiline(name: str, spec: MultilineSpec, one_source: bool = False, rows_per_block: int = ROWS):
     start = "line LIKE 'START%'" if not spec.negate else "line NOT LIKE 'START%'"
     order = "DESC" if spec.match == "before" else "ASC"
-    sql = f"""WITH l AS (SELECT * FROM ({duck_lines(_STACK)}) WHERE line <> ''),
+    sql = f"""WITH l AS (SELECT event_id, ts, line, {"'all'" if one_source else 'source'} AS source FROM ({duck_lines(_STACK)}) WHERE line <> ''),
 m AS (SELECT *, CASE WHEN {start} OR epoch(ts) - epoch(lag(ts) OVER w) > {spec.timeout_seconds} THEN 1 ELSE 0 END AS fresh FROM l WINDOW w AS (PARTITION BY source ORDER BY event_id)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY source ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS grp FROM m),
 c AS (SELECT *, (row_number() OVER (PARTITION BY source, grp ORDER BY event_id) - 1) // {max(spec.max_lines, 2)} AS chunk FROM g)
@@ -243,7 +244,9 @@ SELECT source, min(event_id) AS seq, string_agg(line, chr(10) ORDER BY event_id
 
     @register(name, sql)
     def run(spark, sf_dir):
-        return assemble(lines(spark, sf_dir, _STACK), spec, order="event_id").drop("ts")
+        rows = lines(spark, sf_dir, _STACK)
+        rows = rows.withColumn("source", F.lit("all")) if one_source else rows
+        return assemble(rows, spec, order="event_id", rows_per_block=rows_per_block).drop("ts")
 
     return run
 
@@ -253,6 +256,8 @@ _multiline("multiline_before", MultilineSpec("^START", match="before", timeout_s
 _multiline("multiline_negate", MultilineSpec("^START", negate=True, timeout_seconds=1e9))
 _multiline("multiline_maxlines", MultilineSpec("^START", max_lines=3, timeout_seconds=1e9))
 _multiline("multiline_timeout", MultilineSpec("^START", timeout_seconds=20_000.0))
+#: All lines are one source's: it is scanned in blocks.
+_multiline("multiline_one_source", MultilineSpec("^START", max_lines=4, timeout_seconds=600.0), one_source=True, rows_per_block=2048)
 
 
 @register(

@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import ROWS, bounds, running
 
 
-def numbered(events: DataFrame, order: str, name: str = "rank") -> DataFrame:
-    """Adds the global rank (from 1) by a numeric order column without a single task: ranks inside ranges of the order
-    column, plus the sizes of the ranges before."""
-    ranges = events.withColumn("__range", F.floor(F.col(order) / 65536))
-    sizes = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row per 65536 order values
-    sizes = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__range").orderBy(order)
-    out = ranges.withColumn("__inside", F.row_number().over(inside)).join(sizes, "__range")
-    return out.withColumn(name, F.col("__inside") + F.col("__before")).drop("__range", "__inside", "__before")
+def numbered(events: DataFrame, order: str, name: str = "rank", rows_per_block: int = ROWS) -> DataFrame:
+    """Adds the global rank (from 1) by a numeric order column without a single task: ranks inside blocks of the order
+    column (however its values are spread), plus the sizes of the blocks before."""
+    return running(events, (), order, {name: F.lit(1)}, bounds(events, order, rows_per_block))
 
 
 def buffer_drop(events: DataFrame, capacity: int, order: str = "seq") -> DataFrame:
@@ -40,43 +35,6 @@ def batches_by_count(events: DataFrame, size: int, order: str = "seq") -> DataFr
     return numbered(events, order, "__rank").withColumn("batch", F.floor((F.col("__rank") - 1) / size)).drop("__rank")
 
 
-def batches_by_bytes(events: DataFrame, most_bytes: int, most_events: int, by: str, order: str = "seq", raw: str = "raw") -> DataFrame:
-    """Rows (by, batch, n, bytes, first_seq, last_seq): a batch closes with the event that reaches either limit.
-
-    Each value of ``by`` (an output, a partition) is batched on its own; the fold runs over its events in order.
-    """
-    kinds = dict(events.dtypes)
-
-    def fold(batches):
-        import pyarrow as pa
-
-        state = None
-        for batch in batches:
-            out: list[tuple] = []
-            for key, seq, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if state is None or state[0] != key:
-                    if state is not None and state[2]:
-                        out.append(tuple(state))
-                    state = [key, 0, 0, 0, seq, seq]
-                if not state[2]:
-                    state[4] = seq
-                state[2], state[3], state[5] = state[2] + 1, state[3] + size, seq
-                if state[2] >= most_events or state[3] >= most_bytes:
-                    out.append(tuple(state))
-                    state = [key, state[1] + 1, 0, 0, seq, seq]
-            if out:
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in columns[1:])], ["by", "batch", "n", "bytes", "first_seq", "last_seq"])
-            kind = batch.schema.field(0).type
-        if state is not None and state[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([state[0]], kind), *(pa.array([x], pa.int64()) for x in state[1:])], ["by", "batch", "n", "bytes", "first_seq", "last_seq"])
-
-    slim = events.select(F.col(by).alias("by"), F.col(order).cast("long").alias("seq"), F.octet_length(raw).cast("long").alias("size"))
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = slim.repartition(parts, "by").sortWithinPartitions("by", "seq")
-    return ordered.mapInArrow(fold, f"by {kinds[by]}, batch long, n long, bytes long, first_seq long, last_seq long")
-
-
 def write_ahead_log(events: DataFrame, order: str = "seq", segment_events: int = 1000) -> DataFrame:
     """Adds ``offset`` (from 0) and the ``segment`` that holds it."""
     out = numbered(events, order, "__rank").withColumn("offset", F.col("__rank") - 1).drop("__rank")
@@ -121,15 +79,34 @@ def retry_letters(letters: DataFrame, now: Column) -> DataFrame:
     return letters.withColumn("retries", F.col("retries") + 1).withColumn("failed_at", now)
 
 
+#: Halvings after which a double is nothing: older batches have no weight in a mean that halves.
+_HALVINGS = 1100
+
+
+def halving_mean(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """(by, mean): the mean that starts with the first value that isn't 0 and then goes half-way to each further one, in order.
+
+    Steps that go half-way compose to a weighted sum: the newest value weighs 1/2, the one before 1/4, and the first one as
+    much as the second.  Weights beyond the range of a double are 0, so the newest values of each group give the result,
+    and Spark keeps no more than these before it shuffles.
+    """
+    newest = Window.partitionBy(by).orderBy(F.desc(order))
+    ranked = rows.select(by, order, F.col(value).cast("double").alias("__x")).where("__x is not null").withColumn("__rank", F.row_number().over(newest)).where(F.col("__rank") <= _HALVINGS)
+    weight = F.pow(F.lit(2.0), -F.col("__rank"))
+    first = F.min_by(F.col("__x") * weight, F.when(F.col("__x") != 0, F.col(order)))
+    return ranked.groupBy(by).agg((F.sum(F.col("__x") * weight) + F.coalesce(first, F.lit(0.0))).alias("mean"))
+
+
 def output_metrics(batches: DataFrame, by: str = "output") -> DataFrame:
     """Per output: sums and averages of its batches (output, events, failed, bytes, latency_ms, seq)."""
-    folded = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("seq", "latency_ms"))), lambda x: x["latency_ms"]), F.lit(0.0), lambda a, x: F.when(a == 0, x).otherwise((a + x) / 2))
     last_failed = F.when(F.col("error").isNotNull(), F.struct("sent_at", "seq"))
-    return batches.groupBy(by).agg(
+    sums = batches.groupBy(by).agg(
         F.sum("events").alias("events_sent"), F.sum("failed").alias("events_failed"), F.sum("bytes").alias("bytes_sent"), F.count(F.lit(1)).alias("batches_sent"),
-        (F.sum("events") / F.count(F.lit(1))).alias("avg_batch_size"), folded.alias("avg_latency_ms"), F.max("sent_at").alias("last_sent"),
+        (F.sum("events") / F.count(F.lit(1))).alias("avg_batch_size"), F.max("sent_at").alias("last_sent"),
         F.max_by("error", last_failed).alias("last_error"), F.max(last_failed).alias("last_error_at"),
     ).withColumn("last_error_at", F.col("last_error_at.sent_at"))
+    means = halving_mean(batches, by, "latency_ms", "seq").select(F.col(by).alias("__of"), F.col("mean").alias("avg_latency_ms"))
+    return sums.join(means, F.col(by).eqNullSafe(F.col("__of")), "left").drop("__of")
 
 
 def router_metrics(outputs: DataFrame, by: str = "output") -> DataFrame:

@@ -115,6 +115,62 @@ def rate(samples: DataFrame, value: Column, by: tuple[str, ...] = (), time: str
     return samples.groupBy(*by, window.alias("w")).agg((F.sum(value) / seconds).alias("rate")).select(*by, F.col("w.start").alias("window_start"), "rate")
 
 
+def windowed_quantiles(
+    events: DataFrame, rule: MetricRule, qs: tuple[float, ...] = (0.5, 0.95, 0.99), by: tuple[str, ...] = (), time: str = "timestamp", seconds: int = 300, slide: int | None = None, late: str = ""
+) -> DataFrame:
+    """(labels ``by``, window_start, rate, p50, p95, p99): quantiles of what a histogram rule counts in each window.
+
+    That is the quantile of the buckets' rates, summed over all labels but ``by``: linear inside a bucket, the first one
+    from 0; beyond the highest bound it is that bound.  ``rate`` is observations per second.  One aggregation, so it
+    also runs on a stream; there ``late`` is the watermark's delay (``10 minutes``), and a window comes out when it is past.
+    """
+    bounds = tuple(sorted(rule.buckets or DEFAULT_BUCKETS))
+    labels = [c for c in metric_labels(F.col("fields"), rule)]
+    rows = events.withWatermark(time, late) if late else events
+    rows = rows.select(*labels, metric_value(F.col("fields"), rule).alias("__value"), F.col(time).alias("__time")).where("__value is not null")
+    counts = [F.count_if(F.col("__value") <= b).alias(f"__b{i}") for i, b in enumerate(bounds)]
+    wide = rows.groupBy(*by, F.window("__time", f"{seconds} seconds", f"{slide or seconds} seconds").alias("__w")).agg(*counts, F.count(F.lit(1)).alias("__n"))
+
+    def quantile(q: float) -> Column:
+        wanted, below, low = F.col("__n") * q, F.lit(0), 0.0
+        cases = []
+        for i, b in enumerate(bounds):
+            n = F.col(f"__b{i}")
+            # only an empty first bucket can be reached without observations in it (q of 0)
+            cases.append(F.when(n >= wanted, F.coalesce(F.lit(low) + F.lit(b - low) * F.try_divide(wanted - below, (n - below).cast("double")), F.lit(low))))
+            below, low = n, b
+        return F.coalesce(*cases, F.lit(bounds[-1]))
+
+    names = [f"p{100 * q:g}".replace(".", "_") for q in qs]
+    return wide.select(*by, F.col("__w.start").alias("window_start"), (F.col("__n") / seconds).alias("rate"), *[quantile(q).alias(n) for q, n in zip(qs, names, strict=True)])
+
+
+def counter_rate(samples: DataFrame, value: str = "value", by: tuple[str, ...] = (), time: str = "ts", seconds: int = 300, slide: int | None = None) -> DataFrame:
+    """(labels ``by``, window_start, increase, rate) of scraped counters, which grow and fall back to 0 when their process restarts.
+
+    ``by`` names all labels of a series: rates are taken of each series and summed afterwards.  In a window of a series the
+    increase is the last value less the first one, and the value before each fall.  It is carried on to the window's edges
+    where these are nearer than 1.1 times the mean distance of samples, else for half of that distance, and at the start
+    never below 0.  A window with fewer than two times has no rate.  Samples of one time count as one, the largest.
+    """
+    w = F.window(time, f"{seconds} seconds", f"{slide or seconds} seconds")
+    s = samples.where(F.col(value).isNotNull() & F.col(time).isNotNull()).groupBy(*by, w.alias("__w"), F.col(time).alias("__time")).agg(F.max(F.col(value).cast("double")).alias("__v"))
+    order = Window.partitionBy(*by, "__w").orderBy("__time")  # the samples of a series in one window
+    s = s.withColumn("__was", F.lag("__v").over(order))
+    e = s.groupBy(*by, "__w").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("__v", "__time").alias("first"), F.max_by("__v", "__time").alias("last"), F.coalesce(F.sum(F.when(F.col("__v") < F.col("__was"), F.col("__was"))), F.lit(0.0)).alias("lost"),
+        F.min("__time").cast("double").alias("t0"), F.max("__time").cast("double").alias("t1"),
+    ).where("n > 1")
+    grown, sampled = F.col("last") - F.col("first") + F.col("lost"), F.col("t1") - F.col("t0")
+    between = sampled / (F.col("n") - 1)
+    near = lambda gap: F.when(gap >= between * 1.1, between / 2).otherwise(gap)
+    to_zero = F.when((grown > 0) & (F.col("first") >= 0), sampled * F.try_divide("first", grown))
+    before = F.least(near(F.col("t0") - F.col("__w.start").cast("double")), to_zero)
+    after = near(F.col("__w.end").cast("double") - F.col("t1"))
+    increase = grown * (sampled + before + after) / sampled
+    return e.select(*by, F.col("__w.start").alias("window_start"), increase.alias("increase"), (increase / seconds).alias("rate"))
+
+
 def histogram_quantile(buckets: DataFrame, q: float, by: tuple[str, ...] = ()) -> DataFrame:
     """(labels, quantile) from cumulative buckets (labels, le, bucket_count): linear inside the bucket, the first one
     from 0, the infinite one gives the highest finite bound, no observations give NaN."""
