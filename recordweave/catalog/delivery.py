@@ -201,3 +201,30 @@ def kafka_project(spark, sf_dir):
 @register("es_bulk", f"""SELECT 'logs-' || strftime(ts, '%Y.%m.%d') AS "index", '{{"index":{{"_index":"logs-' || strftime(ts, '%Y.%m.%d') || '"}}}}' || chr(10) || {_EVENT} || chr(10) AS body FROM events""")
 def es_bulk(spark, sf_dir):
     return bulk_lines(_parsed(spark, sf_dir), "logs", "daily")
+
+
+_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: ('0x' || x)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
+
+
+@register(
+    "kafka_hash_partition",
+    f"""WITH h AS (SELECT event_type AS topic, 'u' || user_id || 'é' AS key, {_FNV.format("'u' || user_id || 'é'")} AS h FROM events)
+SELECT topic, key, abs((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 12)::INT AS "partition" FROM h""",
+)
+def kafka_hash_partition(spark, sf_dir):
+    keyed = _parsed(spark, sf_dir)
+    keyed = keyed.withColumn("fields", F.transform_values("fields", lambda k, v: F.when(k == "user", F.concat(v, F.lit("é"))).otherwise(v)))
+    return topic_rows(keyed, "logs", topic_field="type", key_field="user", partitions=12).drop("value")
+
+
+@register(
+    "object_batches",
+    """WITH b AS (SELECT event_id, ts, (row_number() OVER (ORDER BY event_id) - 1) // 250 AS batch FROM events),
+k AS (SELECT batch, count(*) AS n, 'p/' || strftime(arg_min(ts, event_id), '%Y/%m/%d/%H') AS plain FROM b GROUP BY 1)
+SELECT batch, n, plain || CASE WHEN r > 0 THEN '-' || r ELSE '' END || '.json' AS key FROM (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY batch) - 1 AS r FROM k)""",
+)
+def object_batches(spark, sf_dir):
+    from ..sources.objects import keyed_batches
+
+    e = D.batches_by_count(events(spark, sf_dir).selectExpr("event_id AS seq", "ts AS timestamp", "event_type AS message", "map('k', props) AS fields"), 250)
+    return keyed_batches(e, "{{.Year}}/{{.Month}}/{{.Day}}/{{.Hour}}.json", "p/").groupBy("batch", "key").agg(F.count(F.lit(1)).alias("n"))

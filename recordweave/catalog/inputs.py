@@ -105,3 +105,67 @@ def k8s_flat(spark, sf_dir):
 def k8s_paths(spark, sf_dir):
     paths = events(spark, sf_dir).selectExpr("event_id", f"'/var/log/pods/ns' || CAST(user_id % 3 AS STRING) || '_pod-' || {USER} || '_0f/web/0.log' AS path")
     return I.with_pod_path(paths).drop("path")
+
+
+def _pod_lines(spark, sf_dir):
+    return events(spark, sf_dir).selectExpr(
+        "event_id AS seq", "ts", "'ns' || CAST(user_id % 3 AS STRING) AS namespace", f"'pod-' || {USER} AS pod", "CASE WHEN event_id % 2 = 0 THEN 'web-main' ELSE 'sidecar' END AS container",
+        "CASE WHEN event_id % 5 = 0 THEN 'Pending' ELSE 'Running' END AS phase", "CASE WHEN event_id % 7 = 0 THEN map('app', event_type) ELSE map('app', event_type, 'tier', 't' || CAST(user_id % 4 AS STRING)) END AS labels",
+        "CAST(NULL AS map<string,string>) AS annotations", f"'line ' || {ID} AS message", "CAST(floor(event_id / 4000) AS INT) AS restart",
+    )
+
+
+@register(
+    "k8s_selectors",
+    "SELECT event_id, user_id FROM events WHERE event_type IN ('click', 'view', 'error') AND NOT (event_id % 7 <> 0 AND user_id % 4 = 1) AND event_id % 5 <> 0 AND user_id % 3 = 2",
+)
+def k8s_selectors(spark, sf_dir):
+    rows = _pod_lines(spark, sf_dir).drop("restart").withColumn("user_id", F.regexp_extract("pod", "[0-9]+", 0).cast("long"))
+    picked = I.select_pods(rows, labels="app in (click, view, error), tier != t1, !gone", fields="status.phase=Running,metadata.namespace==ns2")
+    return picked.select(F.col("seq").alias("event_id"), "user_id")
+
+
+@register(
+    "k8s_tail_lines",
+    """WITH p AS (SELECT event_id, 'pod-' || user_id AS pod, event_id % 2 AS c, event_id // 4000 AS restart FROM events),
+l AS (SELECT *, max(restart) OVER (PARTITION BY pod, c) AS last FROM p)
+SELECT event_id, pod FROM l WHERE restart = last QUALIFY row_number() OVER (PARTITION BY pod, c ORDER BY event_id DESC) <= 3""",
+)
+def k8s_tail_lines(spark, sf_dir):
+    return I.select_pods(_pod_lines(spark, sf_dir), tail_lines=3).select(F.col("seq").alias("event_id"), "pod")
+
+
+@register(
+    "k8s_previous",
+    "WITH p AS (SELECT event_id, user_id, event_id % 2 AS c, event_id // 4000 AS restart FROM events) SELECT event_id FROM (SELECT *, max(restart) OVER (PARTITION BY user_id, c) AS last FROM p) WHERE restart = last - 1",
+)
+def k8s_previous(spark, sf_dir):
+    return I.select_pods(_pod_lines(spark, sf_dir), previous=True).select(F.col("seq").alias("event_id"))
+
+
+_CONFIGURATION = """
+inputs:
+  http: [{name: web, address: ':8080', table: landed_requests, api_keys: [k1, k2], parser: {type: json}}]
+  syslog: [{name: net, address: ':514', table: landed_messages, format: '3164', parser: {type: regex, pattern: '^<(?P<pri>[0-9]+)>.* did (?P<id>[0-9]+)$'}}]
+  kubernetes: [{name: pods, table: landed_pods, namespace: ns1, label_selector: 'app in (click, error)', enrich_metadata: true}]
+parser: {type: regex, pattern: '^line (?P<id>[0-9]+)$', custom_fields: {origin: pods}}
+transforms: [{type: add, add: {seen: 'yes'}}]
+output: {type: stdout}
+"""
+
+
+@register(
+    "configured_inputs",
+    f"""SELECT 'web' AS input, CASE event_id % 3 WHEN 0 THEN 'm' || event_id WHEN 1 THEN '<nil>' ELSE 'plain ' || event_id END AS said, NULL AS id, 'http' AS input_type, 'yes' AS seen FROM events
+ WHERE event_id % 10 <> 9 AND event_id % 20 <> 0 AND event_id % 4 IN (0, 1, 2)
+UNION ALL SELECT 'net', {_SYSLOG.replace('CAST(event_id % 192 AS STRING)', '(event_id % 192)').replace('CAST(event_id AS STRING)', 'event_id')}, event_id::VARCHAR, 'syslog', 'yes' FROM events
+UNION ALL SELECT 'pods', 'line ' || event_id, event_id::VARCHAR, 'kubernetes', 'yes' FROM events WHERE user_id % 3 = 1 AND event_type IN ('click', 'error') AND event_id % 5 <> 0""",
+)
+def configured_inputs(spark, sf_dir):
+    from ..plans.config import loads, read
+
+    _requests(spark, sf_dir).createOrReplaceTempView("landed_requests")
+    _messages(spark, sf_dir).createOrReplaceTempView("landed_messages")
+    _pod_lines(spark, sf_dir).drop("restart").createOrReplaceTempView("landed_pods")
+    get = lambda k: F.try_element_at("fields", F.lit(k)).alias(k)
+    return read(spark, loads(_CONFIGURATION)).select("input", F.col("raw").alias("said"), get("id"), get("input_type"), get("seen"))

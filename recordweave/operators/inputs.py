@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.selectors import field_selector, label_selector
 from ..functions.values import value_texts
+from .blocks import same
 
 _NONE = "<nil>"
 EXEMPT_PATHS = ("/health", "/metrics")
@@ -91,6 +93,36 @@ def pod_events(lines: DataFrame, container: str = "", metadata: bool = False) ->
     return ok.withColumn("fields", F.map_concat(F.create_map(*names, *kind), under("labels"), under("annotations")))
 
 
+#: What names a container's log.
+_CONTAINER = ("namespace", "pod", "container")
+
+
+def select_pods(
+    lines: DataFrame, namespace: str = "", labels: str = "", fields: str = "", container: str = "", previous: bool = False, tail_lines: int = 0, order: str = "seq", restart: str = "restart"
+) -> DataFrame:
+    """The rows of pod log lines (namespace, pod, container, phase, labels) that a collector would read.
+
+    ``labels`` and ``fields`` are selectors (fields: metadata.name, metadata.namespace, status.phase, and spec.nodeName
+    where there is a column node); ``container`` is part of the container's name.  Where there is a column ``restart``, lines are
+    those of each container's last run, or with ``previous`` of the run before it.  ``tail_lines`` keeps that many last lines
+    of each container; Spark drops the others before it shuffles.
+    """
+    known = {"metadata.name": F.col("pod"), "metadata.namespace": F.col("namespace"), "status.phase": F.col("phase")}
+    known |= {"spec.nodeName": F.col("node")} if "node" in lines.columns else {}
+    ok = label_selector(F.col("labels"), labels) & field_selector(fields, known) & F.col("container").contains(container)
+    out = lines.where(ok & (F.col("namespace") == namespace) if namespace else ok)
+    if restart in lines.columns:
+        of = [f"__of_{c}" for c in _CONTAINER]
+        last = out.groupBy(*_CONTAINER).agg(F.max(restart).alias("__last")).withColumnsRenamed(dict(zip(_CONTAINER, of, strict=True)))
+        out = out.join(last, same(list(_CONTAINER), of)).where(F.col(restart) == F.col("__last") - int(previous)).select(*lines.columns)
+    elif previous:
+        raise ValueError("the run before needs a column that numbers runs")
+    if tail_lines > 0:
+        from_end = Window.partitionBy(*_CONTAINER).orderBy(F.desc(order))
+        out = out.withColumn("__rank", F.row_number().over(from_end)).where(F.col("__rank") <= tail_lines).drop("__rank")
+    return out
+
+
 def with_pod_path(lines: DataFrame, path: str = "path") -> DataFrame:
     """namespace, pod and container out of a node's log path."""
     pattern = r"/var/log/pods/([^_/]+)_([^_/]+)_[^/]*/([^/]+)/[^/]*\.log\z"

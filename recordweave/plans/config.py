@@ -5,15 +5,26 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.selectors import SelectorError
 from ..operators.metrics import MetricRule, extract
 from ..operators.multiline import MultilineSpec, assemble
-from ..operators.parsers import DEFAULT, ParserSpec, parse
+from ..operators.parsers import DEFAULT, ParserSpec, merge_input, parse
 from ..operators.transforms import TransformSpec, transform
-from ..sources.sinks import Output, router, send_bulk, text_output, topic_rows, write_objects
-
+from ..sources.inputs import InputError, configured, expanded
+from ..sources.objects import write_batches
+from ..sources.sinks import Output, deliver_bulk, router, text_output, topic_rows
+from ..storage import materialised
+from ..streaming.stateful import multiline_stream
+
+#: Columns of the events that inputs give.
+EVENTS = ("input", "timestamp", "message", "level", "source", "fields", "raw", "is_error")
+#: Key of an object where none is configured.
+DEFAULT_KEY = "{{.Year}}/{{.Month}}/{{.Day}}/{{.Hour}}-{{.Minute}}-{{.Second}}-{{.Timestamp}}.json"
 LEVELS, FORMATS = ("debug", "info", "warn", "error", "fatal"), ("json", "console")
 
 
@@ -63,8 +74,9 @@ def metric_rule(options: dict) -> MetricRule:
 def output(definition: dict) -> Output:
     """A function that writes a batch of events as an output definition says.
 
-    file: a folder a batch.  s3: objects under the bucket and prefix.  kafka: rows for the broker.  elasticsearch: bulk
-    requests; the batch fails if an item is refused.  stdout: Spark's console.
+    file: a folder a batch.  s3: an object for each batch of events, under the first one's key.  kafka: rows for the broker.
+    elasticsearch: bulk requests with ids, refused items go to dead letters where a folder is given.  stdout: Spark's
+    console.  Files, objects and documents of a repeated batch replace themselves.
     """
     kind, options = definition.get("type", "stdout"), dict(definition.get(definition.get("type", ""), {}) or {})
     if kind == "stdout":
@@ -72,19 +84,27 @@ def output(definition: dict) -> Output:
     if kind == "file":
         return text_output(definition["path"])
     if kind == "s3":
-        root = f"{options.get('scheme', 's3a')}://{options['bucket']}/{options.get('prefix', '').strip('/')}"
-        return lambda df, batch: write_objects(df, options.get("path", root), options.get("compression") or "none")
+        root, size = options.get("path") or f"{options.get('scheme', 's3')}://{options['bucket']}", int(options.get("batch_size") or 1000)
+        prefix = options["prefix"].strip("/") + "/" if options.get("prefix") else ""
+        template, compression = options.get("key_template") or DEFAULT_KEY, options.get("compression") or "none"
+
+        def put(df: DataFrame, batch: int) -> None:
+            # Batches are runs of a partition's rows, in their order; a repeated micro-batch deals them alike.
+            placed = df.withColumn("__seq", F.monotonically_increasing_id())
+            placed = materialised(placed.withColumn("__batch", F.shiftright("__seq", 33) * (1 << 33) + F.floor(F.col("__seq").bitwiseAND((1 << 33) - 1) / size)))
+            write_batches(placed, root, f"batch-{batch}", template, prefix, compression, "__batch", "__seq")
+
+        return put
     if kind == "kafka":
         given = {"kafka.bootstrap.servers": ",".join(options["brokers"])} | ({"kafka.compression.type": options["compression_codec"]} if options.get("compression_codec") else {})
-        rows = lambda df: topic_rows(df, options["topic"], options.get("topic_field", ""), options.get("partition_key", ""), options.get("partition_strategy") or "hash", int(options.get("partitions", 1)), options.get("partition_field", ""))
+        rows = lambda df: topic_rows(df, options["topic"], options.get("topic_field", ""), options.get("partition_key", ""), options.get("partition_strategy") or "hash", int(options.get("partitions", 0)), options.get("partition_field", ""))
         return lambda df, batch: rows(df).write.format("kafka").options(**given).save()
     if kind == "elasticsearch":
 
         def send(df: DataFrame, batch: int) -> None:
-            failed = send_bulk(df, options["addresses"], options["index"], options.get("index_rotation", "daily"), options.get("pipeline", ""), int(options.get("batch_size", 1000)))
-            refused = failed.where("status < 200 OR status >= 300").groupBy("status").count().collect()  # a row a status
-            if refused:
-                raise RuntimeError(f"items refused: { {r['status']: r['count'] for r in refused} }")
+            identity = tuple(options.get("identity") or [c for c in ("input", "source", "timestamp", "raw") if c in df.columns])
+            letters, tries = definition.get("dead_letters") or options.get("dead_letters", ""), int(options.get("max_retries") or 3)
+            deliver_bulk(df, str(batch), options["addresses"], options["index"], options.get("index_rotation", "daily"), options.get("pipeline", ""), int(options.get("batch_size") or 1000), identity, letters, tries)
 
         return send
     raise ConfigError(f"unknown output type: {kind}")
@@ -112,19 +132,20 @@ def transform_spec(options: dict) -> TransformSpec:
 
 
 def loads(text: str) -> Config:
-    """Expands $NAME and ${NAME} in the text, reads it, fills defaults and checks it."""
+    """Expands $NAME and ${NAME} in the text (unset ones are empty), reads it, fills defaults and checks it."""
     import yaml
 
-    raw = yaml.safe_load(os.path.expandvars(text)) or {}
+    raw = yaml.safe_load(expanded(text, dict(os.environ))) or {}
     config = Config(raw.get("inputs") or {}, None, (), {"level": "info", "format": "json"} | (raw.get("logging") or {}), raw.get("output") or raw.get("outputs") or {}, None, (), raw)
     if not config.inputs:
         raise ConfigError("at least one input is needed")
-    for kind, given in config.inputs.items():
-        for one in given if isinstance(given, list) else [given]:
-            if kind == "files" and not (one or {}).get("paths"):
-                raise ConfigError("a file input needs paths")
-            if kind in ("syslog", "http") and not ((one or {}).get("name") and (one or {}).get("address")):
-                raise ConfigError(f"a {kind} input needs name and address")
+    try:
+        for one in configured(config.inputs):
+            for section in ("parser", "transforms"):
+                if one.options.get(section):
+                    (parser_spec if section == "parser" else lambda given: list(map(transform_spec, given)))(one.options[section])
+    except (InputError, SelectorError) as e:
+        raise ConfigError(str(e)) from e
     if config.logging["level"] not in LEVELS or config.logging["format"] not in FORMATS:
         raise ConfigError(f"logging: {config.logging}")
     if raw.get("parser"):
@@ -170,6 +191,30 @@ def plan(lines: DataFrame, config: Config) -> DataFrame:
     return transform(parse(lines, pruned(parser, config.transforms)), *config.transforms)
 
 
+def read(spark: SparkSession, config: Config, stream: bool = False) -> DataFrame:
+    """Events (input, timestamp, message, level, source, fields, raw, is_error) of all inputs of the configuration, in one plan.
+
+    Each input is read as a batch or a stream, parsed and transformed by its own section where it has one, else by the
+    configuration's; fields that the input makes lie over the parsed ones.  Multi-line records of a stream are assembled
+    with state, of a batch in blocks.
+    """
+    out = []
+    for one in configured(config.inputs):
+        options = one.options.get("parser") or config.raw.get("parser") or {}
+        parser = parser_spec(options) if options else DEFAULT
+        transforms = tuple(map(transform_spec, one.options["transforms"])) if one.options.get("transforms") is not None else config.transforms
+        lines = one.stream(spark) if stream else one.batch(spark)
+        fields = F.col("input_fields")
+        if options.get("multiline"):
+            # a record has one source and no fields of single lines
+            spec = multiline_spec(options["multiline"])
+            lines = multiline_stream(lines, spec).withColumn("ts", F.current_timestamp()) if stream else assemble(lines, spec)
+            lines, fields = lines.withColumn("input", F.lit(one.name)), F.lit(None).cast("map<string,string>")
+        parsed = parse(lines.withColumn("input_fields", fields), pruned(parser, transforms))
+        out.append(transform(merge_input(parsed), *transforms).select(*EVENTS))
+    return reduce(DataFrame.unionByName, out)
+
+
 def metrics(events: DataFrame, config: Config) -> DataFrame | None:
     """The long metric table of the configuration's rules; None without rules."""
     return extract(events, list(config.metrics)) if config.metrics else None

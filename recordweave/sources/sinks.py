@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashes import hash_partition
 from ..functions.names import index_name, writer_compression
 from ..operators.parsers import event_json
+from ..storage import materialised
 
 Output = Callable[[DataFrame, int], None]
 
@@ -19,18 +23,20 @@ def json_lines(events: DataFrame) -> DataFrame:
     return events.select(event_json(events).alias("value"))
 
 
-def topic_rows(events: DataFrame, topic: str, topic_field: str = "", key_field: str = "", strategy: str = "hash", partitions: int = 1, partition_field: str = "") -> DataFrame:
+def topic_rows(events: DataFrame, topic: str, topic_field: str = "", key_field: str = "", strategy: str = "hash", partitions: int = 0, partition_field: str = "") -> DataFrame:
     """(topic, key, value) for a message broker: topic and key from fields where they are set and not empty.
 
-    With another strategy than hash (the broker's client deals by key) there is a column partition: at random, in turn
-    (round-robin), or the number in a field (manual; 0 where there is none).
+    There is a column partition where the number of partitions is given, or the strategy isn't hash: by the key's hash
+    (null, and so the client's choice, without a key), at random, in turn (round-robin), or the number in a field
+    (manual; 0 where there is none).
     """
+    n = max(partitions, 1)
     field = lambda n: F.nullif(F.try_element_at("fields", F.lit(n)), F.lit("")) if n else F.lit(None).cast("string")
     dealt = {
-        "hash": None,
-        "random": lambda: F.floor(F.rand() * partitions).cast("int"),
-        "round-robin": lambda: F.pmod(F.monotonically_increasing_id(), F.lit(partitions)).cast("int"),
-        "manual": lambda: F.pmod(F.coalesce(field(partition_field).try_cast("int"), F.lit(0)), F.lit(partitions)),
+        "hash": (lambda: hash_partition(field(key_field), n)) if partitions else None,
+        "random": lambda: F.floor(F.rand() * n).cast("int"),
+        "round-robin": lambda: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"),
+        "manual": lambda: F.pmod(F.coalesce(field(partition_field).try_cast("int"), F.lit(0)), F.lit(n)),
     }
     if strategy not in dealt:
         raise ValueError(f"unknown partition strategy: {strategy}")
@@ -38,17 +44,22 @@ def topic_rows(events: DataFrame, topic: str, topic_field: str = "", key_field:
     return events.select(F.coalesce(field(topic_field), F.lit(topic)).alias("topic"), field(key_field).alias("key"), event_json(events).alias("value"), *more)
 
 
-def bulk_lines(events: DataFrame, index: str, rotation: str = "daily", pipeline: str = "") -> DataFrame:
-    """(index, body): action and document lines for a search engine's bulk request."""
+def bulk_lines(events: DataFrame, index: str, rotation: str = "daily", pipeline: str = "", identity: tuple[str, ...] = ()) -> DataFrame:
+    """(index, body): action and document lines for a search engine's bulk request.
+
+    With ``identity`` (columns that tell events apart, such as source and offset) documents have an id made of them, so
+    one that is sent again replaces itself.
+    """
     name = index_name(index, rotation, F.col("timestamp"))
-    action = F.struct(name.alias("_index"), *([F.lit(pipeline).alias("pipeline")] if pipeline else []))
+    told = F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity])), 256) if identity else None
+    action = F.struct(name.alias("_index"), *([told.alias("_id")] if identity else []), *([F.lit(pipeline).alias("pipeline")] if pipeline else []))
     return events.select(name.alias("index"), F.concat(F.to_json(F.struct(action.alias("index"))), F.lit("\n"), event_json(events), F.lit("\n")).alias("body"))
 
 
-def send_bulk(events: DataFrame, addresses: list[str], index: str, rotation: str = "daily", pipeline: str = "", batch: int = 1000, headers: dict[str, str] | None = None, timeout: float = 30.0) -> DataFrame:
-    """Sends bulk requests from the executors; (body, status, error) of every event, so failed items can go to dead letters.
+def send_bodies(bodies: DataFrame, addresses: list[str], batch: int = 1000, headers: dict[str, str] | None = None, timeout: float = 30.0) -> DataFrame:
+    """Sends the column ``body`` as bulk requests from the executors; (body, status, error) of each item.
 
-    A request that fails as a whole gives all its events its status (0 where there was no answer).
+    A request that fails as a whole gives all its items its status (0 where there was no answer).
     """
     sent_headers = {"Content-Type": "application/x-ndjson"} | (headers or {})
 
@@ -76,7 +87,46 @@ def send_bulk(events: DataFrame, addresses: list[str], index: str, rotation: str
                     out += [(0, str(e))] * len(part)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s for s, _ in out], pa.int32()), pa.array([e for _, e in out], pa.string())], ["body", "status", "error"])
 
-    return bulk_lines(events, index, rotation, pipeline).select("body").mapInArrow(run, "body string, status int, error string")
+    return bodies.select("body").mapInArrow(run, "body string, status int, error string")
+
+
+def send_bulk(
+    events: DataFrame, addresses: list[str], index: str, rotation: str = "daily", pipeline: str = "", batch: int = 1000, headers: dict[str, str] | None = None, timeout: float = 30.0, identity: tuple[str, ...] = ()
+) -> DataFrame:
+    """Sends the events; (body, status, error) of each, so failed items can go to dead letters."""
+    return send_bodies(bulk_lines(events, index, rotation, pipeline, identity), addresses, batch, headers, timeout)
+
+
+def deliver_bulk(
+    events: DataFrame, run: str, addresses: list[str], index: str, rotation: str = "daily", pipeline: str = "", batch: int = 1000, identity: tuple[str, ...] = (), dead_letters: str = "", attempts: int = 3, wait: float = 1.0
+) -> int:
+    """Sends the events until each is accepted or refused, and gives the number of refused ones.
+
+    Only items that may pass later (429, 500 and above, no answer) are sent again; if some are left after all attempts,
+    that is an error, and the batch comes again: with ``identity`` its accepted documents then replace themselves.  Refused
+    items are written under ``dead_letters`` in a folder of the run, which a repeated run overwrites; without that
+    folder they are an error as well.
+    """
+    passing = (F.col("status") == 429) | (F.col("status") >= 500) | (F.col("status") < 200)
+    waiting, refused = bulk_lines(events, index, rotation, pipeline, identity), []
+    for attempt in range(attempts):
+        if attempt:
+            time.sleep(wait * 2 ** (attempt - 1))
+        # Materialised: reading an answer again would send again.
+        failed = materialised(send_bodies(waiting, addresses, batch).where("status < 200 OR status >= 300"))
+        refused.append(failed.where(~passing))
+        waiting = failed.where(passing)
+        if not waiting.limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"items not accepted: { {r['status']: r['count'] for r in waiting.groupBy('status').count().collect()} }")  # a row a status
+    letters = reduce(DataFrame.unionByName, refused)
+    n = letters.count()
+    if n and not dead_letters:
+        raise RuntimeError(f"items refused: { {r['status']: r['count'] for r in letters.groupBy('status').count().collect()} }")
+    if dead_letters:
+        letters.write.mode("overwrite").json(f"{dead_letters}/batch={run}")
+    return n
 
 
 def write_objects(events: DataFrame, path: str, compression: str = "none") -> None:

@@ -106,3 +106,71 @@ def rate_limited_stream(requests: DataFrame, per_second: float, lifetime: float
     """(client, seq, allowed) of a stream of (client, seq, ts)."""
     slim = requests.selectExpr("cast(client AS string) AS client", "seq", "cast(ts AS double) AS t")
     return slim.groupBy("client").transformWithStateInPandas(Bucket(per_second, lifetime), "client string, seq long, allowed boolean", "Append", "None")
+
+
+class Batcher(StatefulProcessor):
+    """The open batch of an output; it leaves when it has the events or bytes of a limit, or at the next tick of the clock."""
+
+    def __init__(self, most_events: int, most_bytes: int, interval_seconds: float):
+        self.most_events, self.most_bytes, self.interval = most_events, most_bytes, int(interval_seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "seqs array<long>, raws array<string>, bytes long")
+
+    def _rows(self, key, full: list[tuple[list, list, int]], reason: str) -> pd.DataFrame:
+        return pd.DataFrame({
+            "by": [key[0]] * len(full), "n": [len(s) for s, _, _ in full], "bytes": [b for _, _, b in full], "first_seq": [s[0] for s, _, _ in full], "last_seq": [s[-1] for s, _, _ in full],
+            "events": [r for _, r, _ in full], "reason": [reason] * len(full),
+        })
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seqs, raws, size = [], [], 0
+        if self.state.exists():
+            got = self.state.get()
+            seqs, raws, size = list(got[0]), list(got[1]), got[2]
+        new = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        full = []
+        for seq, raw in zip(new["seq"], new["raw"], strict=True):
+            raw = raw or ""
+            seqs.append(int(seq))
+            raws.append(raw)
+            size += len(raw.encode())
+            if len(seqs) >= self.most_events or size >= self.most_bytes:
+                full.append((seqs, raws, size))
+                seqs, raws, size = [], [], 0
+        timers = list(self.handle.listTimers())
+        if seqs:
+            self.state.update((seqs, raws, size))
+            if not timers:
+                now = timerValues.getCurrentProcessingTimeInMs()
+                self.handle.registerTimer((now // self.interval + 1) * self.interval)
+        else:
+            self.state.clear()
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+        if full:
+            yield self._rows(key, full, "full")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.state.exists():
+            seqs, raws, size = self.state.get()
+            self.state.clear()
+            yield self._rows(key, [(list(seqs), list(raws), size)], "tick")
+
+    def close(self) -> None:
+        pass
+
+
+def batched_stream(events: DataFrame, most_events: int, most_bytes: int, interval_seconds: float) -> DataFrame:
+    """(by, n, bytes, first_seq, last_seq, events, reason) of a stream of (by, seq, raw): greedy batches of each output.
+
+    A batch closes with the event that reaches a limit (reason full), or at a tick, a multiple of the interval in
+    processing time (reason tick).  Its texts are in order.  The state of an output is one batch at most.  Null texts are
+    empty.  Needs the RocksDB state store; ``operators.batches`` gives the batches of a finished table.
+    """
+    if most_events < 1 or most_bytes < 1 or interval_seconds <= 0:
+        raise ValueError("limits are 1 or more, and the interval is above 0")
+    slim = events.selectExpr("cast(by AS string) AS by", "seq", "raw")
+    kind = "by string, n int, bytes long, first_seq long, last_seq long, events array<string>, reason string"
+    return slim.groupBy("by").transformWithStateInPandas(Batcher(most_events, most_bytes, interval_seconds), kind, "Append", "ProcessingTime")

@@ -15,7 +15,7 @@ TEXT = """
 inputs: {{files: [{{paths: [/tmp/x]}}]}}
 parser: {{type: regex, pattern: '^START (?P<id>\\d+)', multiline: {{pattern: '^START', timeout: 1h, max_lines: 10}}}}
 metrics: {{enabled: true, extraction: {{enabled: true, rules: [{{name: ids, type: counter, field: id}}, {{name: h, type: histogram, field: id, buckets: [1, 10]}}]}}}}
-output: {{type: multi, multi: {{parallel: true, failure_strategy: continue, outputs: [{{name: a, type: file, path: '{0}/a'}}, {{name: b, type: s3, s3: {{bucket: x, path: '{0}/b', compression: gzip}}}}, {{name: c, type: elasticsearch, elasticsearch: {{addresses: ['http://127.0.0.1:9'], index: i}}}}]}}}}
+output: {{type: multi, multi: {{parallel: true, failure_strategy: continue, outputs: [{{name: a, type: file, path: '{0}/a'}}, {{name: b, type: s3, s3: {{bucket: x, path: '{0}/b', compression: gzip, key_template: '{{{{.Year}}}}/{{{{.Hour}}}}/x.json'}}}}, {{name: c, type: elasticsearch, elasticsearch: {{addresses: ['http://127.0.0.1:9'], index: i}}}}]}}}}
 """
 
 
@@ -29,8 +29,8 @@ def test_configuration_to_outputs(spark, tmp_path):
     assert found["extracted_ids", None] == 12 and found["extracted_h", 10.0] == 2 and found["extracted_h_sum", None] == 12
     send = C.outputs(config)
     send(events, 0)
-    assert list(send.failures[0]) == ["c"]  # nobody answers there
-    assert spark.read.text(f"{tmp_path}/a/batch=0").count() == 2 and spark.read.text(f"{tmp_path}/b").where("year = 2024 and hour = 10").count() == 2
+    assert list(send.failures[0]) == ["c"], send.failures  # nobody answers there
+    assert spark.read.text(f"{tmp_path}/a/batch=0").count() == 2 and spark.read.text(f"{tmp_path}/b/2024/10").count() == 2
 
 
 @pytest.mark.parametrize(("text", "value"), [("5s", 5), ("1m30s", 90), ("250ms", 0.25), (3, 3)])
