@@ -16,7 +16,7 @@ SCHEMA = "source string, offset long, line string"
 
 
 class TailSource(DataSource):
-    """Options: paths (globs, comma-separated), from (``end``, the default, or ``start``)."""
+    """Options: paths (globs, comma-separated), from (``end``, the default, or ``start``), piece_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -29,9 +29,15 @@ class TailSource(DataSource):
         return TailReader(self.options)
 
 
+#: Bytes of a piece of a file; a longer backlog is read by several tasks.
+PIECE = 64 << 20
+
+
 class Piece(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
-        self.path, self.begin, self.end = path, begin, end
+    """The lines of a file that begin from ``begin`` on and before ``end``; ``first`` says that a line begins at ``begin``."""
+
+    def __init__(self, path: str, begin: int, end: int, first: bool = True):
+        self.path, self.begin, self.end, self.first = path, begin, end, first
 
 
 def complete_end(path: str, begin: int, size: int) -> int:
@@ -51,12 +57,14 @@ def complete_end(path: str, begin: int, size: int) -> int:
 class TailReader(DataSourceStreamReader):
     """Offsets are {path: [inode, byte]}.  A changed inode or a shrunken file is a rotation: reading starts at 0.
 
-    The driver only looks at sizes and last newlines; executors read the pieces, one task per file.
+    The driver only looks at sizes and last newlines; executors read the pieces: a long backlog of one file is cut at
+    fixed places, and a piece begins with the first line that begins in it.
     """
 
     def __init__(self, options: dict):
         self.patterns = [p.strip() for p in options["paths"].split(",")]
         self.from_end = options.get("from", "end") == "end"
+        self.piece = int(options.get("piece_bytes", PIECE))
 
     def files(self) -> list[str]:
         return sorted({p for pattern in self.patterns for p in glob.glob(pattern) if os.path.isfile(p)})
@@ -80,14 +88,16 @@ class TailReader(DataSourceStreamReader):
         for path, (inode, to) in end.items():
             was, begin = start.get(path, [inode, 0])
             begin = begin if was == inode and begin <= to else 0
-            if begin < to:
-                out.append(Piece(path, begin, to))
+            out += [Piece(path, at, min(at + self.piece, to), at == begin) for at in range(begin, to, self.piece)]
         return out
 
     def read(self, partition: Piece) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            f.seek(partition.begin)
             at = partition.begin
+            if not partition.first:  # a line that begins just here follows a line end
+                f.seek(at - 1)
+                at += len(f.readline()) - 1
+            f.seek(at)
             while at < partition.end:
                 line = f.readline()
                 yield partition.path, at, line.rstrip(b"\n").decode("utf-8", "replace")

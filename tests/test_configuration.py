@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordweave.plans import config as C
 from recordweave.sources.sinks import send_bulk, topic_rows
-from recordweave.streaming.observed import PipelineSeries, observed
+from recordweave.streaming.observed import PipelineSeries, counted, observed, timed
 
 TEXT = """
 inputs: {{files: [{{paths: [/tmp/x]}}]}}
@@ -91,7 +91,8 @@ def test_series_of_a_stream(spark, tmp_path):
     spark.streams.addListener(series)
     try:
         lines = spark.readStream.text(str(tmp_path / "in")).selectExpr("value AS line", "current_timestamp() AS ts")
-        events = observed(parse(observed(lines, "input", "files", "file", text="line")), "parser", "regex")
+        lines = counted(lines, "input_dropped", F.col("line") == "", "files", "file", "empty")
+        events = observed(timed(observed(lines, "input", "files", "file", text="line"), parse, "regex"), "parser", "regex")
         query = observed(events, "output", "memory", "memory").writeStream.format("memory").queryName("observed_rows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         query.awaitTermination(60)
         for _ in range(100):
@@ -103,5 +104,26 @@ def test_series_of_a_stream(spark, tmp_path):
     said = series.lines("p_")
     for line in ('p_input_events_received_total{input_name="files",input_type="file"} 3', 'p_parser_events_processed_total{parser_type="regex"} 2', 'p_parser_events_failed_total{parser_type="regex"} 1', 'p_output_events_sent_total{output_name="memory",output_type="memory"} 3'):
         assert line in said, said
+    assert 'p_input_events_dropped_total{input_name="files",input_type="file",reason="empty"} 1' in said
+    buckets = [x for x in said if x.startswith('p_parser_duration_seconds_bucket{parser_type="regex",le="')]
+    counts = [int(x.rpartition(" ")[2]) for x in buckets]
+    assert len(buckets) == 16 and counts == sorted(counts) and counts[-1] == 3 and 'p_parser_duration_seconds_count{parser_type="regex"} 3' in said
+    took = next(float(x.rpartition(" ")[2]) for x in said if x.startswith("p_parser_duration_seconds_sum"))
+    assert 0 < took < 60
     with pytest.raises(ValueError, match="labels"):
         observed(events, "input", "only one")
+
+
+def test_gauges_are_what_was_said_last(spark):
+    from pyspark.sql import Observation
+
+    series = PipelineSeries()
+    for n in (5, 2):
+        table, now = Observation("table"), Observation("now")
+        rows = observed(observed(_events(spark, n), "dlq_table", observation=table), "dlq", observation=now)
+        counted(rows, "output_refused", F.col("message") == "m1", "o", "s3", "full").collect()
+        series.report("dlq_table", table.get)
+        series.report("dlq", now.get)
+    assert series.lines() == ["dlq_events_written_total 7", "dlq_size_bytes 6"]
+    with pytest.raises(ValueError, match="labels"):
+        counted(rows, "input_dropped", F.lit(True), "a")

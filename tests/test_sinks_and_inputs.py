@@ -283,3 +283,16 @@ def test_halving_mean_is_the_fold(spark):
         want[key] = mean
     got = {r.k: r["mean"] for r in halving_mean(spark.createDataFrame(rows, "k string, seq long, x double"), "k", "x", "seq").collect()}
     assert got == {k: pytest.approx(v, rel=1e-12) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("piece", [1, 3, 7, 1000])
+def test_a_long_backlog_is_read_in_pieces(tmp_path, piece):
+    from recordweave.sources.tail import TailReader
+
+    lines = ["", "a", "bc", "", "long line äö", "x" * 20, "", "end"]
+    (tmp_path / "a.log").write_bytes("\n".join([*lines, "open"]).encode())
+    reader = TailReader({"paths": str(tmp_path / "*.log"), "from": "start", "piece_bytes": str(piece)})
+    pieces = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    got = [row for p in pieces for row in reader.read(p)]
+    assert [r[2] for r in got] == lines and [r[1] for r in got] == [len("\n".join([*lines[:i], ""]).encode()) for i in range(len(lines))]
+    assert len(pieces) == -(-len(("\n".join(lines) + "\n").encode()) // piece)
