@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..storage import materialised
 from .blocks import ROWS, block, bounds, running, same
 
-#: Least events of a cell.
-CELL = 1 << 13
+#: Least events of a cell: a row of arrays in memory.
+CELL = 1 << 15
 
 
 def _pointers(events: DataFrame, most_bytes: int, most_events: int, begins: list[float], cell: int) -> DataFrame:
@@ -71,7 +71,7 @@ def _heads(entry: Column, pointers: Column, cell: int) -> Column:
 
 def _entries(heads: DataFrame, links: DataFrame) -> DataFrame:
     """``heads`` (by, cell, at) and all that ``links`` (by, cell, at, to_cell, to_at) lead to from them, doubling links."""
-    heads, links = materialised(heads), materialised(links)
+    links = materialised(links)
     while links.limit(1).count():
         ahead = links.select(F.col("by").alias("b"), F.col("cell").alias("c"), F.col("at").alias("a"), F.col("to_cell").alias("tc"), F.col("to_at").alias("ta"))
         reached = heads.join(ahead, same(["by", "cell", "at"], ["b", "c", "a"])).select("by", F.col("tc").alias("cell"), F.col("ta").alias("at"))

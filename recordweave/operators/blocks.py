@@ -18,10 +18,12 @@ ROWS, MOST = 1 << 20, 4096
 
 def bounds(rows: DataFrame, order: str, rows_per_block: int = ROWS) -> list[float]:
     """Values of the order column (a number or a time) that begin blocks of about so many rows; none for a small table."""
+    blocks = min(MOST, -(-rows.count() // max(rows_per_block, 1)))
+    if blocks < 2:
+        return []
     steps = F.array(*[F.lit(i / MOST) for i in range(1, MOST)])
-    n, found = rows.agg(F.count(F.lit(1)), F.percentile_approx(F.col(order).cast("double"), steps, F.lit(8 * MOST))).first()
-    blocks = min(MOST, -(-n // max(rows_per_block, 1)))
-    if blocks < 2 or not found:
+    found = rows.agg(F.percentile_approx(F.col(order).cast("double"), steps, F.lit(8 * MOST))).first()[0]
+    if not found:
         return []
     return sorted({found[i * MOST // blocks - 1] for i in range(1, blocks)})
 
