@@ -108,9 +108,12 @@ def cosines(query, vectors):
     return (vectors * query).sum(1) / (np.sqrt((vectors * vectors).sum(1)) * np.sqrt((query * query).sum()))
 
 
-def nearest_neighbours(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, probe_share: float = PROBE_SHARE) -> DataFrame:
+def nearest_neighbours(
+    vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, probe_share: float = PROBE_SHARE, most_cells: int = MOST_CELLS, sample_rows: int = SAMPLE, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each row with ``is_query`` its k nearest among all other rows.
 
+    Centroids are fitted on ``sample_rows`` rows (every row is indexed), a query looks into ``probe_share`` of the cells.
     Nearest is the largest cosine, ties go to the smaller id.  Fewer than k candidates: all of them.  Vectors that are
     null, zero, empty, of another length than most of the sample, or that hold null or non-finite components take no
     part.  Results name ids, so of the rows of one id the one with the smallest vector takes part (as a query where any of
@@ -130,10 +133,10 @@ def nearest_neighbours(vectors: DataFrame, is_query, vec_id: str = "vec_id", emb
     if length is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("embedding") == length["d"])
-    sample = rows.select(F.col("embedding").cast("array<double>").alias("embedding")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    sample = rows.select(F.col("embedding").cast("array<double>").alias("embedding")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
     unit = np.stack(sample["embedding"].to_numpy())
     unit = unit / np.sqrt((unit**2).sum(1))[:, None]
-    cells = int(max(1, min(MOST_CELLS, len(unit) // 4, round(np.sqrt(length["count"]) / 2))))
+    cells = int(max(1, min(most_cells, len(unit) // 4, round(np.sqrt(length["count"]) / 2))))
     shared = spark.sparkContext.broadcast(fit_centroids(unit, cells))
 
     def encode(batches: Iterator) -> Iterator:
@@ -153,9 +156,9 @@ def nearest_neighbours(vectors: DataFrame, is_query, vec_id: str = "vec_id", emb
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *arrays], ["vec_id", "embedding", "query", "cell", "code", "length", "agree", "with_centre"])
 
     coded = cut(rows.mapInArrow(encode, f"vec_id long, embedding {kind}, query boolean, cell int, code binary, length double, agree double, with_centre double"))
-    counts = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row per cell, at most MOST_CELLS
+    counts = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row per cell, at most most_cells
     sizes = np.array([counts.get(c, 0) for c in range(cells)])
-    blocks = np.maximum(1, -(-sizes // max(1, BLOCK_BYTES // (8 * length["d"]))))
+    blocks = np.maximum(1, -(-sizes // max(1, block_bytes // (8 * length["d"]))))
     probes = max(LEAST_PROBES, int(np.ceil(cells * probe_share)))
     most_queries = coded.where("query").count()
     lanes = max(1, -(-most_queries // QUERIES))
