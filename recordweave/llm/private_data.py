@@ -41,8 +41,6 @@ _KEY_CHARS = 64
 _OPENING, _CLOSING = r"[\"'(\[{<]*", r"[\"')\]}>.,;:!?]+\z"
 #: Least confidence of a pattern and of an instance, least known instances behind a pattern, rounds of scoring.
 CONFIDENT, SUPPORT, ROUNDS = 0.7, 5, 3
-#: Parts of a pattern's key where it joins instances: a very common word is spread over so many tasks.
-SALT = 16
 _LEFT = 80
 #: Code points in a block of a text that is cut at spans.
 _BLOCK = 512
@@ -179,11 +177,11 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Edges are distinct (pattern, instance) pairs with their shape.  Known instances start at 1 for their seed's kind.
     A pattern's confidence for a kind is the sum of its instances' scores over the number of its instances plus one;
     an instance gets 1 - product(1 - confidence) over its confident patterns.  Only confident patterns (few) are
-    kept between rounds.
+    kept between rounds; as a written table, so that Spark deals both sides of its joins and splits the rows of a very
+    common word, or broadcasts the patterns after measuring them.
     """
     edges = found.select(F.explode("patterns").alias("pattern"), "value", "shape", "seed").groupBy("pattern", "shape", "value").agg(F.max("seed").alias("seed"))
     edges = cut(edges)
-    spread = F.pmod(F.xxhash64("value"), F.lit(SALT)).cast("int")
     all_of = edges.groupBy("pattern", "shape").agg(F.count(F.lit(1)).alias("instances"))
     score = edges.where("seed is not null").select("pattern", "shape", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
     known = score
@@ -192,8 +190,7 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         kinds = score.groupBy("pattern", "shape", "kind").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT)
         scored = kinds.join(all_of, ["pattern", "shape"]).withColumn("confidence", F.col("mass") / (F.col("instances") + 1))
         patterns = cut(scored.where(F.col("confidence") >= CONFIDENT).select("pattern", "shape", "kind", "confidence"))
-        salted = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        reached = edges.where("seed is null").withColumn("salt", spread).join(salted, ["pattern", "shape", "salt"])
+        reached = edges.where("seed is null").join(patterns, ["pattern", "shape"])
         values = reached.groupBy("value", "shape", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
         values = values.where(F.col("score") >= CONFIDENT)
         score = known.unionByName(edges.where("seed is null").join(values, ["value", "shape"]).select("pattern", "shape", "kind", "score"))
@@ -202,9 +199,8 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def discovered_spans(found: DataFrame, patterns: DataFrame) -> DataFrame:
     """Key seeds, and instances that confident patterns precede."""
-    salted = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    rest = found.where("seed is null").select("row", "start", "end", "shape", F.explode("patterns").alias("pattern"), F.pmod(F.xxhash64("value"), F.lit(SALT)).cast("int").alias("salt"))
-    hits = rest.join(salted, ["pattern", "shape", "salt"]).groupBy("row", "start", "end").agg(F.max(F.struct("confidence", F.col("kind"))).alias("best"))
+    rest = found.where("seed is null").select("row", "start", "end", "shape", F.explode("patterns").alias("pattern"))
+    hits = rest.join(patterns, ["pattern", "shape"]).groupBy("row", "start", "end").agg(F.max(F.struct("confidence", F.col("kind"))).alias("best"))
     return hits.select("row", F.col("best.kind").alias("kind"), "start", "end").unionByName(found.where("seed = 4").select("row", F.lit(4).alias("kind"), "start", "end"))
 
 
