@@ -19,8 +19,9 @@ from .common import cut, unused, word_count
 WEIGHTS = (5, 2, 1)
 #: No source (and so no document) is taken more often than this.
 MAX_REPEATS = 3
-#: Hash ranges per source, and ranges of virtual time, for the two-level running sums.
-RANGES = 1024
+#: Hash ranges per source, and ranges of virtual time, for the two-level running sums: as many as give ranges of this many
+#: rows, within these bounds.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1 << 16, 1024, 1 << 20
 
 
 def _order_key(doc_id: str):
@@ -88,8 +89,9 @@ def _times(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[
     """(row, doc_id, size, source_size, target, times) of each row of ``docs``; ``row`` is null if none is given."""
     row = F.lit(None).cast("long") if row is None else row
     sized = cut(docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _order_key(doc_id).alias("h")))
+    ranges_of = min(MOST_RANGES, max(LEAST_RANGES, sized.count() // RANGE_ROWS))
     targets = cut(source_targets(sized, weights, repeats).withColumn("share", F.coalesce(F.try_divide("target", "budget"), F.lit(0.0))))
-    sized = sized.withColumn("range", (F.col("h") / F.lit(float(1 << 60) / RANGES)).cast("int"))
+    sized = sized.withColumn("range", (F.col("h") / F.lit(float(1 << 60) / ranges_of)).cast("int"))
 
     # Running words of each source: sums of earlier ranges plus a window inside the range.
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
@@ -103,7 +105,7 @@ def _times(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[
     # A repeat finishes a whole source later; only repeats that can finish within the budget are made.
     passes = F.when((F.col("size") > 0) & (F.col("share") > 0), F.least(F.lit(repeats), F.ceil(F.try_divide("target", "source_size")).cast("int"))).otherwise(0)
     queued = cut(queued.select("row", "doc_id", "source", "size", "h", "source_size", "target", "budget", "share", "words", passes.alias("passes")))
-    copies = _copies(queued)
+    copies = _copies(queued, ranges_of)
 
     # The global sort by finish time, in slots: sums place whole slots, only the slot that holds the cut is sorted.
     slots = copies.groupBy("slot").agg(F.sum("size").alias("slot_words"), F.first("budget").alias("budget"))
@@ -116,7 +118,7 @@ def _times(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[
     one = slot.agg(F.min("slot").alias("cut_slot")).crossJoin(last)  # aggregates without keys: one row each
 
     # Each row then counts the repeats that stand at or before the cut.
-    finished = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda c: F.when((c < F.col("passes")) & _before_cut(c), 1).otherwise(0))
+    finished = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda c: F.when((c < F.col("passes")) & _before_cut(c, ranges_of), 1).otherwise(0))
     taken = F.aggregate(finished, F.lit(0), lambda x, y: x + y)
     return queued.crossJoin(F.broadcast(one)).select("row", "doc_id", "size", "source_size", "target", taken.alias("times"))
 
@@ -125,8 +127,8 @@ def _finish(copy):
     return F.try_divide(F.col("words") + copy * F.col("source_size"), F.col("share"))
 
 
-def _slot(copy):
-    return F.least(F.floor(F.try_divide(_finish(copy), F.col("budget")) * RANGES), F.lit(2 * RANGES)).cast("int")
+def _slot(copy, ranges_of: int):
+    return F.least(F.floor(F.try_divide(_finish(copy), F.col("budget")) * ranges_of), F.lit(2 * ranges_of)).cast("int")
 
 
 def _place(copy):
@@ -134,11 +136,11 @@ def _place(copy):
     return F.struct(_finish(copy).alias("finish"), F.col("source").isNull().alias("none"), F.col("source").alias("source"), F.col("h").alias("h"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"), copy.alias("copy"))
 
 
-def _before_cut(copy):
-    slot = _slot(copy)
+def _before_cut(copy, ranges_of: int):
+    slot = _slot(copy, ranges_of)
     return F.col("cut_slot").isNull() | (slot < F.col("cut_slot")) | ((slot == F.col("cut_slot")) & F.coalesce(_place(copy) <= F.col("last_place"), F.lit(False)))
 
 
-def _copies(queued: DataFrame) -> DataFrame:
+def _copies(queued: DataFrame, ranges_of: int) -> DataFrame:
     copies = queued.where("passes > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    return copies.select("size", "budget", _slot(F.col("copy")).alias("slot"), _place(F.col("copy")).alias("place"))
+    return copies.select("size", "budget", _slot(F.col("copy"), ranges_of).alias("slot"), _place(F.col("copy")).alias("place"))
