@@ -113,6 +113,17 @@ def dlq_cap(spark, sf_dir):
     return D.cap_dead_letters(_letters(spark, sf_dir), 100).select("seq")
 
 
+@register(
+    "dlq_dequeue",
+    """WITH l AS (SELECT event_id AS seq, row_number() OVER (ORDER BY event_id) <= 25 AS taken FROM events WHERE event_id % 7 = 2)
+SELECT taken, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM l GROUP BY 1""",
+)
+def dlq_dequeue(spark, sf_dir):
+    taken, rest = D.dequeue(_letters(spark, sf_dir), 25)
+    both = taken.select(F.lit(True).alias("taken"), "seq").unionByName(rest.select(F.lit(False).alias("taken"), "seq"))
+    return both.groupBy("taken").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
 @register("dlq_ageout", "SELECT event_id AS seq FROM events WHERE event_id % 7 = 2 AND ts >= TIMESTAMP '2024-01-29 00:00:00' - INTERVAL 24 HOUR")
 def dlq_ageout(spark, sf_dir):
     return D.age_out(_letters(spark, sf_dir), F.lit("2024-01-29 00:00:00").cast("timestamp"), 86_400).select("seq")

@@ -71,6 +71,14 @@ def cap_dead_letters(letters: DataFrame, size: int, order: str = "seq") -> DataF
     return letters.orderBy(order).limit(size)
 
 
+def dequeue(letters: DataFrame, n: int, order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """The ``n`` oldest letters (one: what a peek shows), and those that stay, by a numeric order without ties."""
+    last = letters.orderBy(order).limit(n).agg(F.max(order).alias("__last"))
+    marked = letters.join(F.broadcast(last))  # an aggregate without keys: one row
+    taken = F.coalesce(F.col(order) <= F.col("__last"), F.lit(False))
+    return marked.where(taken).drop("__last"), marked.where(~taken).drop("__last")
+
+
 def age_out(letters: DataFrame, now: Column, max_age_seconds: int, time: str = "failed_at") -> DataFrame:
     return letters.where(F.col(time) >= now - F.make_dt_interval(secs=F.lit(max_age_seconds)))
 

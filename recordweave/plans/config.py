@@ -211,6 +211,7 @@ def read(spark: SparkSession, config: Config, stream: bool = False) -> DataFrame
             lines = multiline_stream(lines, spec).withColumn("ts", F.current_timestamp()) if stream else assemble(lines, spec)
             lines, fields = lines.withColumn("input", F.lit(one.name)), F.lit(None).cast("map<string,string>")
         parsed = parse(lines.withColumn("input_fields", fields), pruned(parser, transforms))
+        parsed = parsed.withColumn("source", F.lit(one.name)) if getattr(one, "names_source", False) else parsed
         out.append(transform(merge_input(parsed), *transforms).select(*EVENTS))
     return reduce(DataFrame.unionByName, out)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import ClassVar, Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +73,9 @@ class Files:
 
 @dataclass(frozen=True)
 class Landing:
-    """Rows that a receiver landed.  Subclasses make lines of them."""
+    """Rows that a receiver landed.  Subclasses make lines of them; the source of their events is the input's name."""
 
+    names_source: ClassVar[bool] = True
     name: str
     options: dict = field(default_factory=dict)
     kind: str = ""

@@ -195,6 +195,7 @@ def test_a_configuration_from_inputs_to_outputs(spark, landed):
         ("logs", "S1\n more", "1", "here", None), ("logs", "S2", "2", "here", None), ("logs", "S3", "3", "here", None),
         ("web", "one", None, "here", "http"), ("web", "three", None, "here", "http"), ("web", "two", None, "here", "http"),
     ]
+    assert {r.source.rpartition("/")[2] for r in events.collect()} == {"web", "kubernetes-0", "a.log", "b.log"}
     send = C.outputs(config)
     for _ in range(2):
         send(events, 0)
