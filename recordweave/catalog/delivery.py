@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.checks import constant_backoff, exponential_backoff, linear_backoff
@@ -11,6 +13,7 @@ from ..operators.batches import batches_by_bytes
 from ..operators.inputs import rate_limited
 from ..operators.parsers import ParserSpec, parse
 from ..sources.sinks import bulk_lines, topic_rows
+from ..storage import shared_folder
 from .common import NORMAL, events, lines, register
 from .parsing import _BAD, JSON
 
@@ -239,3 +242,20 @@ def object_batches(spark, sf_dir):
 
     e = D.batches_by_count(events(spark, sf_dir).selectExpr("event_id AS seq", "ts AS timestamp", "event_type AS message", "map('k', props) AS fields"), 250)
     return keyed_batches(e, "{{.Year}}/{{.Month}}/{{.Day}}/{{.Hour}}.json", "p/").groupBy("batch", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("router_fanout", f"SELECT output, {_EVENT} AS line FROM events, (SELECT unnest(['first', 'second']) AS output)")
+def router_fanout(spark, sf_dir):
+    """Every event goes to all outputs; one that fails doesn't keep it from the others, and a repeated batch replaces itself."""
+    from ..sources.sinks import router, text_output
+
+    folder = f"{shared_folder(spark)}/outputs-{uuid.uuid4().hex}"
+
+    def down(df, batch):
+        raise OSError("down")
+
+    send = router({"first": text_output(f"{folder}/first"), "down": down, "second": text_output(f"{folder}/second")})
+    for _ in range(2):
+        send(_parsed(spark, sf_dir), 0)
+    written = [spark.read.text(f"{folder}/{name}/batch=0").select(F.lit(name).alias("output"), F.col("value").alias("line")) for name in ("first", "second")]
+    return written[0].unionByName(written[1])

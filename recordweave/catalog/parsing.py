@@ -271,3 +271,22 @@ def multiline_parsed(spark, sf_dir):
     records = assemble(lines(spark, sf_dir, _STACK), MultilineSpec("^START", timeout_seconds=1e9), order="event_id")
     spec = ParserSpec("regex", pattern=r"^(?P<kind>\w+) (?P<id>\d+)")
     return parse(records, spec).select("source", "seq", F.try_element_at("fields", F.lit("id")).alias("id"), "n_lines")
+
+
+@register(
+    "parser_names",
+    """SELECT parser, count(*) FILTER (event_id % 7 <> 2) AS parsed, count(*) FILTER (event_id % 7 = 2) AS failed, count(*) FILTER (parser = 'json' AND event_id % 7 > 2) AS structured
+FROM events, (SELECT unnest(['json', 'regex', 'grok(java)']) AS parser) GROUP BY 1""",
+)
+def parser_names(spark, sf_dir):
+    """What each parser made of the same lines, under the name that it goes by."""
+    specs = (JSON, ParserSpec("regex", pattern=r"^nothing (?P<x>\d+)$"), ParserSpec("grok", grok_pattern="java"))
+    rows = lines(spark, sf_dir, _BAD)
+
+    def one(spec):
+        parsed = parse(rows, spec)
+        structured = F.count_if(F.try_element_at("fields", F.lit("user")).isNotNull())
+        return parsed.agg(F.count_if(~F.col("is_error")).alias("parsed"), F.count_if("is_error").alias("failed"), structured.alias("structured")).select(F.lit(spec.name).alias("parser"), "*")
+
+    out = [one(s) for s in specs]
+    return out[0].unionByName(out[1]).unionByName(out[2])
