@@ -296,12 +296,24 @@ def _compare_block(rows: list, needed: list[int], percent: int) -> list[tuple[in
 
 
 def _block_tasks(members: DataFrame, payload: DataFrame, blocks, work, names: list[str], percent: int) -> DataFrame:
-    """``work`` on each two blocks of each bucket of ``members`` (bucket, band, cid, label, n_shingles) that holds
-    several components.  ``blocks`` is the number of blocks of a bucket; ``payload`` (cid and more) joins the dealt rows last."""
+    """``work`` on blocks of each bucket of ``members`` (bucket, band, cid, label, n_shingles) that holds several components.
+
+    Members of the bucket's largest component are never compared with one another: their blocks only meet those of the
+    other members, which meet each other as well.  So a large group of copies costs a pass for each block of strangers
+    among it, not one for each two blocks of its own.  ``blocks`` gives the number of blocks for a condition on members;
+    ``payload`` (cid and more) joins the dealt rows last.
+    """
     needed = least_matches(percent)
-    several = members.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), blocks.cast("int").alias("blocks")).where("least <> most")
-    dealt = members.join(several.select("bucket", "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+    # Written, so that Spark deals both sides of the joins by bucket and can split the rows of a large one.
+    largest = cut(largest)
+    sided = members.join(largest, "bucket").withColumn("stranger", F.col("label") != F.col("largest")).drop("largest")
+    counts = cut(sided.groupBy("bucket").agg(F.greatest(blocks(~F.col("stranger")), F.lit(1)).cast("int").alias("own"), F.greatest(blocks(F.col("stranger")), F.lit(1)).cast("int").alias("strange")))
+    dealt = sided.join(counts, "bucket")
+    place = lambda n: F.pmod(F.xxhash64("cid", F.lit(7)), F.col(n)).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("stranger"), F.col("own") + place("strange")).otherwise(place("own")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("stranger"), F.lit(0)).otherwise(F.col("own")), F.col("own") + F.col("strange") - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "cid", "label", "n_shingles")
     dealt = dealt.join(payload, "cid").select(*dealt.columns, *[c for c in payload.columns if c != "cid"])
     parts = session_of(members).conf.get("spark.sql.shuffle.partitions")
@@ -334,10 +346,10 @@ def _cross_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percen
     Signatures alone go round first, in large blocks: they tell which members have any partner that the sequential test
     leaves.  Only those are dealt again, with their sets, into blocks whose sets fit in a task.
     """
-    signed, count = classes.select("cid", "signature"), F.count(F.lit(1))
-    alive = _block_tasks(members, signed, F.ceil(count / SIGNATURE_BLOCK), _partnered, ["bucket", "cid"], percent)
+    signed = classes.select("cid", "signature")
+    alive = _block_tasks(members, signed, lambda c: F.ceil(F.count_if(c) / SIGNATURE_BLOCK), _partnered, ["bucket", "cid"], percent)
     met = cut(members.join(alive.distinct(), ["bucket", "cid"]))
-    small = F.greatest(F.ceil(count / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    small = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK), F.ceil(F.sum(F.when(c, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES))
     return cut(_block_tasks(met, signed.join(sets, "cid"), small, _compare_block, ["a", "b"], percent))
 
 
