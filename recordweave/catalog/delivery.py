@@ -10,7 +10,7 @@ from ..functions.checks import constant_backoff, exponential_backoff, linear_bac
 from ..functions.names import index_name, object_key
 from ..operators import delivery as D
 from ..operators.batches import batches_by_bytes
-from ..operators.inputs import rate_limited
+from ..operators.limits import rate_limited
 from ..operators.parsers import ParserSpec, parse
 from ..sources.sinks import bulk_lines, topic_rows
 from ..storage import shared_folder

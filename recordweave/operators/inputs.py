@@ -1,4 +1,4 @@
-"""Network inputs over landing tables: HTTP bodies, syslog messages, pod logs, client limits."""
+"""Network inputs over landing tables: HTTP bodies, syslog messages, pod logs."""
 
 from __future__ import annotations
 
@@ -127,33 +127,3 @@ def with_pod_path(lines: DataFrame, path: str = "path") -> DataFrame:
     """namespace, pod and container out of a node's log path."""
     pattern = r"/var/log/pods/([^_/]+)_([^_/]+)_[^/]*/([^/]+)/[^/]*\.log\z"
     return lines.select("*", *[F.regexp_extract(path, pattern, i + 1).alias(n) for i, n in enumerate(("namespace", "pod", "container"))])
-
-
-def rate_limited(requests: DataFrame, per_second: float, client: str = "client", order: str = "seq", ts: str = "ts", lifetime: float = 300.0) -> DataFrame:
-    """Rows (client, seq, allowed): a token bucket for each client, burst twice the rate, made anew ``lifetime`` seconds
-    after it was made.  A rate of 0 or less allows all.  The fold needs a client's requests in order."""
-    slim = requests.select(F.col(client).alias("client"), F.col(order).cast("long").alias("seq"), F.col(ts).cast("double").alias("t"))
-    if per_second <= 0:
-        return slim.select("client", "seq", F.lit(True).alias("allowed"))
-    kind = dict(requests.dtypes)[client]
-
-    def fold(batches):
-        import pyarrow as pa
-
-        key = made = None
-        tokens = last = 0.0
-        for batch in batches:
-            out: list[tuple] = []
-            for k, seq, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if made is None or k != key or t - made >= lifetime:
-                    key, made, tokens, last = k, t, 2 * per_second, t
-                tokens, last = min(2 * per_second, tokens + (t - last) * per_second), t
-                allowed = tokens >= 1
-                tokens -= allowed
-                out.append((k, seq, allowed))
-            if out:
-                a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b, pa.int64()), pa.array(c)], ["client", "seq", "allowed"])
-
-    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return slim.repartition(parts, "client").sortWithinPartitions("client", "seq").mapInArrow(fold, f"client {kind}, seq long, allowed boolean")

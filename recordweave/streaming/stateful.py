@@ -89,7 +89,8 @@ class Bucket(StatefulProcessor):
         state = self.state.get() if self.state.exists() else None
         new = pd.concat(list(rows)).sort_values("seq", kind="stable")
         allowed = []
-        for t in new["t"]:
+        for t in new["t"].fillna(float("-inf")):
+            t = max(t, state[1]) if state is not None else max(t, 0.0)  # a clock never goes back
             if state is None or t - state[2] >= self.lifetime:
                 state = (2 * self.rate, t, t)
             tokens = min(2 * self.rate, state[0] + (t - state[1]) * self.rate)

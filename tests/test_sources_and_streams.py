@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from recordweave.functions.names import writer_compression
 from recordweave.operators.delivery import breaker_states
-from recordweave.operators.inputs import rate_limited
+from recordweave.operators.limits import rate_limited
 from recordweave.operators.multiline import MultilineSpec, assemble
 from recordweave.plans.config import ConfigError, load_or_default, loads, plan, pruned
 from recordweave.operators.parsers import ParserSpec, event_json
