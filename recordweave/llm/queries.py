@@ -27,6 +27,11 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(documents(spark, sf_dir))
 
 
+def line_quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 measures inside each document, for SQL; its verdict on lines has none."""
+    return op3_line_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -47,6 +52,11 @@ def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private_data(documents(spark, sf_dir))
 
 
+def private_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 finds by the fixed patterns, for SQL; the spans of its contexts have none."""
+    return op6_private_data(spark, sf_dir).drop("spans")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -106,6 +116,8 @@ def queries() -> dict:
         "op11_vector_codes": op11_vector_codes,
         "op12_prefix_trie": op12_prefix_trie,
         "op13_rendezvous_shards": op13_rendezvous_shards,
+        "line_quality_base": line_quality_base,
+        "private_data_base": private_data_base,
     }
 
 
@@ -120,4 +132,6 @@ def oracle_sql() -> dict[str, str]:
         "op11_vector_codes": sql.CODES,
         "op12_prefix_trie": sql.TRIE,
         "op13_rendezvous_shards": sql.SHARDS,
+        "line_quality_base": sql.LINE_BASE,
+        "private_data_base": sql.PRIVATE_BASE,
     }

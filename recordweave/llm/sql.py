@@ -83,6 +83,42 @@ SELECT z.doc_id, z.n AS n_bytes, COALESCE(c.n_removed, 0) AS n_removed, COALESCE
 FROM z LEFT JOIN cut c USING (doc_id)
 """
 
+LINE_BASE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+again AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+       COALESCE(dup.n, 0) AS n_dup_lines, COALESCE(again.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * COALESCE(again.n, 0) > 50 * len(w) AS base_failed
+FROM w LEFT JOIN dup USING (r) LEFT JOIN again USING (r)
+"""
+
+PRIVATE_BASE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(text, '') AS text FROM documents),
+p(k, kind, pattern) AS (VALUES
+  (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+  (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
+m AS (SELECT r, k, kind, regexp_extract_all(text, pattern) AS hits, regexp_split_to_array(text, pattern) AS gaps FROM d, p),
+h AS (SELECT r, k, kind, n, hits[n] AS hit, length(gaps[n]) AS gap FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS n FROM m)),
+s AS (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS digits, sum(gap + length(hit)) OVER (PARTITION BY r, k ORDER BY n ROWS UNBOUNDED PRECEDING)::BIGINT AS b FROM h),
+f AS (
+  SELECT *, b - length(hit) AS a FROM s
+  WHERE CASE k WHEN 0 THEN true
+    WHEN 1 THEN list_bool_and(list_transform(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND COALESCE(TRY_CAST(ltrim(x, '0') AS INT), 0) <= 255))
+    WHEN 2 THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN digits[length(digits) - i]::INT
+      ELSE 2 * digits[length(digits) - i]::INT // 10 + 2 * digits[length(digits) - i]::INT % 10 END)) % 10 = 0
+    ELSE length(digits) BETWEEN 8 AND 15 END),
+o AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+         string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a) AS spans
+  FROM f GROUP BY r)
+SELECT doc_id, COALESCE(n_email, 0) AS n_email, COALESCE(n_ip, 0) AS n_ip, COALESCE(n_card, 0) AS n_card, COALESCE(n_phone, 0) AS n_phone, sha256(COALESCE(spans, '')) AS base_sha256
+FROM d LEFT JOIN o USING (r)
+"""
+
 # CRC-32 with its table made by its rule; ``c`` is a list of bytes.
 _CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
 _CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
