@@ -20,6 +20,8 @@ LEVEL = "CASE event_type WHEN 'click' THEN 'INFO' WHEN 'purchase' THEN 'informat
 NORMAL = "CASE event_type WHEN 'click' THEN 'info' WHEN 'purchase' THEN 'info' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'debug' END"
 UPPER = "CASE event_type WHEN 'click' THEN 'INFO' WHEN 'purchase' THEN 'DEBUG' WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' ELSE 'FATAL' END"
 NUMBER = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
+#: Rows that one task parses at most; an event that is kept in memory takes about 300 bytes.
+ROWS_PER_TASK = 1 << 18
 ID, USER = "CAST(event_id AS STRING)", "CAST(user_id AS STRING)"
 
 
@@ -47,10 +49,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores where the files make fewer partitions than that: parsing costs more than moving lines.
-    Tables of many files stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt over all cores where the files make fewer partitions than that (parsing costs more than moving lines), and over
+    more tasks where a partition has more than ROWS_PER_TASK, so a task doesn't grow with the table.
+    Tables of many small partitions stay as they are."""
+    cores, rows = df.sparkSession.sparkContext.defaultParallelism, df.count()  # counts read no column
+    tasks = max(cores, -(-rows // ROWS_PER_TASK))
+    enough = df.rdd.getNumPartitions() >= tasks
+    if enough and rows > ROWS_PER_TASK:
+        enough = df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= ROWS_PER_TASK
+    return df if enough else df.repartition(tasks)
 
 
 def lines(spark: SparkSession, sf_dir: str, expression: str, *more: str) -> DataFrame:

@@ -5,8 +5,10 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from recordweave import catalog
+from recordweave.catalog.common import spread
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -34,3 +36,18 @@ def test_query(spark, name):
     wanted = con.execute(sql).df()
     assert sorted(found.columns) == sorted(wanted.columns)
     assert rows(found) == rows(wanted)
+
+
+def _largest(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+
+
+def test_tasks_do_not_grow_with_the_table(spark):
+    few = spread(spark.range(0, 3_000_000, 1, 2))
+    uneven = spread(spark.range(0, 600_000, 1, 1).union(spark.range(600_000, 600_010, 1, 10)))
+    assert (_largest(few)[0], _largest(uneven)[0]) == (3_000_000, 600_010)
+    assert _largest(few)[1] < 300_000 and _largest(uneven)[1] < 300_000
+    assert few.agg(F.count_distinct("id")).first()[0] == 3_000_000
+    # small tables go over the cores, and stay where they are in more partitions than that
+    assert [spread(spark.range(0, 1000, 1, n)).rdd.getNumPartitions() for n in (1, 30)] == [spark.sparkContext.defaultParallelism, 30]
+    assert spread(spark.range(0)).count() == 0
